@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, langid, mixing, packing, secret_scan, simhash
+from . import fingerprints, langid, mixing, packing, pii, secret_scan, simhash, substring_dedup
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pieces(table(spark, sf_dir, "documents"))
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digested(table(spark, sf_dir, "documents"))
+
+
 def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprinted(table(spark, sf_dir, "documents"))
 
@@ -23,6 +27,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detected(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -37,8 +45,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
+    "op4_repeats": op4_repeats,
     "op5_order_minhash": op5_order_minhash,
     "op6_simhash": op6_simhash,
+    "op7_pii": op7_pii,
     "op8_mixing": op8_mixing,
     "op9_secrets": op9_secrets,
     "op10_language": op10_language,
