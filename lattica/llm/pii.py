@@ -245,9 +245,9 @@ def fit(proposed: DataFrame) -> SpanModel:
     return learn([(r["kind"], tuple(r["votes"]), r["n"]) for r in counted.collect()])
 
 
-def _found(docs: DataFrame) -> DataFrame:
-    """Adds base and proposals to a DataFrame with a column text."""
-    text = F.col("text")
+def _found(docs: DataFrame, column: str = "text") -> DataFrame:
+    """Adds base and proposals to a DataFrame with a column of texts."""
+    text = F.col(column)
     both = let(base_spans(text), lambda b: F.struct(b.alias("base"), proposals(text, b).alias("proposals")))
     return docs.withColumn("found", both).withColumn("base", F.col("found.base")).withColumn("proposals", F.col("found.proposals")).drop("found")
 
@@ -287,13 +287,14 @@ def redacted(docs: DataFrame) -> DataFrame:
     Overlapping spans become one replacement, named after the first. n_chars, where there is
     such a column, is counted anew; null texts stay null.
     """
-    own = docs.withColumn("text", F.col("text").cast("string"))
-    model = fit(_found(own.select(empty_if_null("text").alias("text"))))
-    found = _found(own.select(F.struct(*docs.columns).alias("row"), empty_if_null("text").alias("text")))
+    # Another name than ``text``: lambdas would take the alias of the select below for the column.
+    whole = empty_if_null("text").cast("string").alias("whole")
+    model = fit(_found(docs.select(whole), "whole"))
+    found = _found(docs.select(F.struct(*docs.columns).alias("row"), whole), "whole")
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
 
     def step(done: Column, s: Column) -> Column:
-        gap = F.substring(F.col("text"), done["at"] + 1, F.greatest(s["start"] - done["at"], F.lit(0)))
+        gap = F.substring(F.col("whole"), done["at"] + 1, F.greatest(s["start"] - done["at"], F.lit(0)))
         return F.when(
             s["start"] >= done["at"],
             F.struct(F.concat(done["out"], gap, F.get(names, s["kind"])).alias("out"), s["end"].alias("at")),
@@ -304,9 +305,9 @@ def redacted(docs: DataFrame) -> DataFrame:
         by_start,
         F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
         step,
-        lambda done: F.concat(done["out"], F.substring(F.col("text"), done["at"] + 1, F.length("text"))),
+        lambda done: F.concat(done["out"], F.substring(F.col("whole"), done["at"] + 1, F.length("whole"))),
     )
-    changed = F.when(F.col("row.text").isNull(), None).when(F.size(F.col("base")) + F.size(F.col("proposals")) == 0, F.col("text")).otherwise(clean)
+    changed = F.when(F.col("row.text").isNull(), None).when(F.size(F.col("base")) + F.size(F.col("proposals")) == 0, F.col("whole")).otherwise(clean)
     fields = [
         changed.alias(c) if c == "text" else F.length(changed).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c)
         for c in docs.columns
