@@ -6,14 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, langid, mixing, packing, pii, secret_scan, simhash, substring_dedup
+from . import embedding_dedup, fingerprints, langid, mixing, packing, pii, secret_scan, simhash, substring_dedup, token_counts
 from .common import table
 
 
+def op1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pieces(table(spark, sf_dir, "documents"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counted(table(spark, sf_dir, "documents"))
+
+
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digested(table(spark, sf_dir, "documents"))
 
@@ -44,7 +52,9 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embeddings": op1_embeddings,
     "op2_packing": op2_packing,
+    "op3_token_counts": op3_token_counts,
     "op4_repeats": op4_repeats,
     "op5_order_minhash": op5_order_minhash,
     "op6_simhash": op6_simhash,
