@@ -36,18 +36,28 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def chunks(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, so that what is worked out for a batch stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def encoded(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
     """row, doc_id, source, n and ids (little-endian, 16 or 32 bits each) of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer)
-        small = len(coder.ends) <= 1 << 16 and end < 1 << 16
-        for batch in batches:
-            ids = [np.append(coder.encode(t or ""), np.uint32(end)) for t in batch.column("text").to_pylist()]
+        small = len(coder.stops) <= 1 << 16 and end < 1 << 16
+        for batch in chunks(batches):
+            ids, sizes = coder.encode_many([t or "" for t in batch.column("text").to_pylist()])
+            whole = np.insert(ids, np.cumsum(sizes), end).astype("<u2" if small else "<u4").tobytes()
+            width = 2 if small else 4
+            ends = (np.cumsum(sizes + 1) * width).tolist()
             yield pa.record_batch({
                 "doc_id": batch.column("doc_id"), "source": batch.column("source"),
-                "n": pa.array([len(i) for i in ids], pa.int64()), "width": pa.array([2 if small else 4] * len(ids), pa.int32()),
-                "ids": pa.array([i.astype("<u2" if small else "<u4").tobytes() for i in ids], pa.binary()),
+                "n": pa.array(sizes + 1, pa.int64()), "width": pa.array([width] * len(ends), pa.int32()),
+                "ids": pa.array([whole[a:b] for a, b in zip([0, *ends], ends, strict=False)], pa.binary()),
             })
 
     own = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))
