@@ -1,0 +1,116 @@
+"""Landed provider responses: JSON and XML pages to records, raw record identities, contract checks."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator, Sequence
+from html.parser import HTMLParser
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def decoded_json(body: Column, schema: str) -> Column:
+    """The body as a struct; text that isn't JSON gives a null struct, the caller keeps the text."""
+    return F.from_json(body, schema, {"mode": "PERMISSIVE"})
+
+
+def decoded_xml(body: Column, schema: str) -> Column:
+    """Name spaces ignored, text trimmed; a repeated child needs an array in the schema, one child then gives one element."""
+    return F.from_xml(body, schema, {"ignoreNamespace": "true", "ignoreSurroundingSpaces": "true"})
+
+
+def record_json(body: Column, path: str) -> Column:
+    """Records at ``a.b.c[]`` of a JSON text as an array of JSON texts.
+
+    A single object counts as one record; a missing node is null; ``.`` is the whole body.
+    """
+    inner = path.removesuffix("[]")
+    node = body if inner in (".", "") else F.get_json_object(body, f"$.{inner}")
+    trimmed = F.trim(node)
+    listed = F.from_json(trimmed, "array<variant>").cast("array<variant>")
+    return F.when(trimmed.startswith("["), F.transform(listed, lambda v: F.to_json(v))).when(trimmed.isNotNull(), F.array(trimmed))
+
+
+def records(pages: DataFrame, body: str, path: str, total: str) -> DataFrame:
+    """One row for each record of each page, with its place in the page.
+
+    A page without the record node is legal only where its total is zero; else it raises an error.
+    """
+    count = F.get_json_object(body, f"$.{total}").cast("long")
+    found = record_json(F.col(body), path)
+    legal = F.when(found.isNotNull(), found).when(count == 0, F.array().cast("array<string>")).otherwise(
+        F.raise_error(F.concat(F.lit("no records but a total of "), F.coalesce(count.cast("string"), F.lit("nothing"))))
+    )
+    return pages.select(*[c for c in pages.columns if c != body], F.posexplode(legal).alias("place", "payload"))
+
+
+def raw_records(payloads: DataFrame, payload: str = "payload") -> DataFrame:
+    """Adds the hash of the payload's canonical form: keys sorted, no white space."""
+    return payloads.withColumn("source_record_hash", F.sha2(F.to_json(F.parse_json(payload)), 256))
+
+
+def page_count(total: Column, size: int, most: int) -> Column:
+    """Pages to fetch until page * size reaches the total, the first in any case, ``most`` at most."""
+    return F.least(F.greatest(F.ceil(total / size), F.lit(1)), F.lit(most)).cast("int")
+
+
+def diagnostics(rows: DataFrame, key: Sequence[str], rules: dict[str, Column]) -> DataFrame:
+    """One row for each broken rule of each row: key and code, where the rule isn't true."""
+    codes = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(code)) for code, ok in rules.items()]))
+    return rows.select(*key, F.explode(codes).alias("code"))
+
+
+class _Tables(HTMLParser):
+    """Rows of data cells of the tables of one class; inner tables belong to their cell."""
+
+    def __init__(self, wanted: str | None) -> None:
+        super().__init__(convert_charrefs=True)
+        self.wanted, self.depth = wanted, 0
+        self.rows: list[list[str]] = []
+        self.row: list[str] | None = None
+        self.cell: list[str] | None = None
+        self.header = False
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag == "table":
+            classes = (dict(attrs).get("class") or "").split()
+            if self.depth or self.wanted is None or self.wanted in classes:
+                self.depth += 1
+        elif self.depth == 1 and tag == "tr":
+            self.row, self.header = [], False
+        elif self.depth == 1 and tag in ("td", "th") and self.row is not None:
+            self.cell = []
+            self.header |= tag == "th"
+        elif tag == "br" and self.cell is not None:
+            self.cell.append(" ")
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag == "table" and self.depth:
+            self.depth -= 1
+        elif self.depth == 1 and tag in ("td", "th") and self.cell is not None:
+            self.row.append(" ".join("".join(self.cell).split()))
+            self.cell = None
+        elif self.depth == 1 and tag == "tr" and self.row is not None:
+            if self.row and not self.header:
+                self.rows.append(self.row)
+            self.row = None
+
+    def handle_data(self, data: str) -> None:
+        if self.cell is not None:
+            self.cell.append(data)
+
+
+def html_rows(pages: DataFrame, key: str, html: str, table_class: str | None = None) -> DataFrame:
+    """Data rows of the HTML tables of a class: key, place and cells. Rows with header cells are left out."""
+    import pandas as pd
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for k, text in zip(batch[key], batch[html], strict=True):
+                parser = _Tables(table_class)
+                parser.feed(text or "")
+                out += [(k, i, cells) for i, cells in enumerate(parser.rows)]
+            yield pd.DataFrame(out, columns=[key, "place", "cells"])
+
+    return pages.select(key, html).mapInPandas(run, f"{key} long, place int, cells array<string>")
