@@ -6,6 +6,7 @@ that a writer can put it in place atomically; ``now`` is always a parameter.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 from functools import reduce
 
@@ -13,6 +14,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts the lineage through the shared folder in spark.checkpoint.dir; a temporary one only where that is unset."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return df.checkpoint()
+
+
 def _differs(columns: Sequence[str], old: str = "o", new: str = "n") -> Column:
     tests = [~F.col(f"{new}.{c}").eqNullSafe(F.col(f"{old}.{c}")) for c in columns]
     return reduce(lambda a, b: a | b, tests, F.lit(False))
@@ -116,7 +125,7 @@ def covered(rows: DataFrame, group: str, failed: Column, links: Sequence[str], k
         for link in links:
             known = state.where(F.col(link).isNotNull()).groupBy(group, link).agg(F.max("covered").alias("_via"))
             reached = reached.join(known, [group, link], "left").withColumn("covered", F.col("covered") | F.coalesce("_via", F.lit(False))).drop("_via")
-        state = reached.checkpoint()
+        state = checkpointed(reached)
         now = state.where("covered").count()
         if now == before:
             break
