@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from .codecs import period_end, period_start
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is evaluated once, also where lambdas use it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def word_runs(words: Column, n: int) -> Column:
+    """Hashes of all runs of n words; shorter texts are one run."""
+    return let(words, lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0))), lambda i: F.xxhash64(F.slice(w, i + 1, n))))
+
+
 def squeezed(c: Column) -> Column:
     """Lower case, without white space and the signs - _ , . / ( )."""
     return F.lower(F.regexp_replace(c, r"[\s\-_,./()]", ""))

@@ -75,20 +75,20 @@ def identified(rows: DataFrame, mapping: Mapping) -> DataFrame:
         for name in role.identity:
             complete = complete & values[name].isNotNull()
         for parent in role.parents:
-            complete = complete & F.col(f"_{parent}.id").isNotNull()
+            complete = complete & F.col(f"role_{parent}.id").isNotNull()
         identity = {n: values[n] for n in role.identity}
         if role.parents:
-            identity["parents"] = F.array(*[F.col(f"_{p}.id") for p in role.parents])
+            identity["parents"] = F.array(*[F.col(f"role_{p}.id") for p in role.parents])
         key = F.sha2(F.concat(F.lit(f"{role.object_type}:"), canonical_json(identity)), 256)
         properties = F.map_filter(F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v)]), lambda _k, v: v.isNotNull())
-        out = out.withColumn(f"_{role.name}", F.when(complete, F.struct(key.alias("id"), properties.alias("properties"))))
+        out = out.withColumn(f"role_{role.name}", F.when(complete, F.struct(key.alias("id"), properties.alias("properties"))))
     return out
 
 
 def fragments(rows: DataFrame, mapping: Mapping, order: Column) -> DataFrame:
     """object_type, object_id, properties, record_key and record_order (compared as text) of each object of each record."""
     held = identified(rows.withColumn("_order", order.cast("string")), mapping)
-    each = F.array(*[F.struct(F.lit(r.object_type).alias("object_type"), F.col(f"_{r.name}.id").alias("object_id"), F.col(f"_{r.name}.properties").alias("properties")) for r in mapping.roles])
+    each = F.array(*[F.struct(F.lit(r.object_type).alias("object_type"), F.col(f"role_{r.name}.id").alias("object_id"), F.col(f"role_{r.name}.properties").alias("properties")) for r in mapping.roles])
     return held.select(F.explode(each).alias("f"), F.col("_record").alias("record_key"), F.col("_order").alias("record_order")).where("f.object_id is not null").select("f.*", "record_key", "record_order")
 
 
@@ -108,7 +108,7 @@ def objects(found: DataFrame) -> DataFrame:
 def links(rows: DataFrame, mapping: Mapping) -> DataFrame:
     """One row for each link with the number of records that state it."""
     held = identified(rows, mapping)
-    each = F.array(*[F.struct(F.lit(x.link_type).alias("link_type"), F.col(f"_{x.source}.id").alias("source_id"), F.col(f"_{x.target}.id").alias("target_id")) for x in mapping.links])
+    each = F.array(*[F.struct(F.lit(x.link_type).alias("link_type"), F.col(f"role_{x.source}.id").alias("source_id"), F.col(f"role_{x.target}.id").alias("target_id")) for x in mapping.links])
     pairs = held.select(F.explode(each).alias("l"), "_record").where("l.source_id is not null and l.target_id is not null")
     return pairs.groupBy("l.link_type", "l.source_id", "l.target_id").agg(F.count("*").alias("n_records"))
 
