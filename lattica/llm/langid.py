@@ -195,8 +195,8 @@ def identified(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
 
 
 def recognised(docs: DataFrame, least: float = 0.4, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """The documents whose language is recognised: any but ``und``, with a score of ``least`` or more."""
+    """The documents whose language is recognised: any but ``und``, with a score of ``least`` or more. All columns stay."""
     model = fit(docs.select("doc_id", F.col("text").cast("string"), F.col("lang").cast("string")), per_language)
-    kept = docs.drop("lang_pred", "score")
-    good = predict(kept, model).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least))
-    return good.drop("lang_pred", "score") if set(kept.columns) == set(docs.columns) else good.select(*docs.columns)
+    columns = docs.columns
+    judged = predict(docs.select(F.struct(*columns).alias("row"), F.col("text").cast("string").alias("text")), model)
+    return judged.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select("row.*")
