@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import relational, semantic, stateful, textual
+from . import facts, relational, semantic, stateful, textual
 from .registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "relational", "semantic", "stateful", "textual"]
+__all__ = ["ORACLE", "QUERIES", "facts", "relational", "semantic", "stateful", "textual"]
