@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -189,13 +191,23 @@ def event_windows(spark: SparkSession, folder: str) -> DataFrame:
 SELECT item_id, doc_id FROM benchmark JOIN documents ON contains(documents.text, benchmark.text)
 """)
 def cited_passages(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents that hold a passage of the benchmark word for word, found over its first eight words."""
-    d = table(spark, folder, "documents").select("doc_id", "text")
-    items = table(spark, folder, "benchmark").select("item_id", F.col("text").alias("quote"))
-    # A passage of sixteen words or more has eight whole words from its second on, wherever it starts and ends.
-    long = items.withColumn("w", F.split("quote", r"\s+")).where("size(w) >= 16").select("item_id", "quote", F.xxhash64(F.slice("w", 2, 8)).alias("key"))
-    places = d.select("doc_id", "text", F.array_distinct(word_runs(F.split("text", r"\s+"), 8)).alias("keys")).select("doc_id", "text", F.explode("keys").alias("key"))
-    found = places.join(long, "key").where(F.col("text").contains(F.col("quote"))).select("item_id", "doc_id")
-    short = items.where(F.size(F.split("quote", r"\s+")) < 16)
-    rest = d.join(short, F.col("text").contains(F.col("quote"))).select("item_id", "doc_id")
-    return found.union(rest).distinct()
+    """Documents that hold a passage of the benchmark word for word.
+
+    Wherever a passage starts and ends, its words but the first and the last are whole words of
+    the document; up to eight of them are the join key, the whole passage is checked after.
+    """
+    d = table(spark, folder, "documents").select("doc_id", "text", F.split("text", r"\s+").alias("w"))
+    items = table(spark, folder, "benchmark").select("item_id", F.col("text").alias("quote"), F.split("text", r"\s+").alias("w"))
+    sized = items.withColumn("n", F.greatest(F.least(F.size("w") - 2, F.lit(8)), F.lit(0)))
+    found = []
+    for n in sorted(r["n"] for r in sized.select("n").distinct().collect()):  # nine lengths at most
+        own = sized.where(F.col("n") == n)
+        if n:
+            keyed = own.select("item_id", "quote", F.xxhash64(F.slice("w", 2, n)).alias("key"))
+            places = d.where(F.size("w") >= n).select("doc_id", "text", F.explode(F.array_distinct(word_runs(F.col("w"), n))).alias("key"))
+            found.append(places.join(keyed, "key").where(F.col("text").contains(F.col("quote"))))
+        else:  # one or two words have no key
+            found.append(d.join(own.select("item_id", "quote"), F.col("text").contains(F.col("quote"))))
+    hits = [f.select("item_id", "doc_id") for f in found]
+    none = spark.createDataFrame([], "item_id long, doc_id long")
+    return reduce(DataFrame.union, hits, none).distinct()
