@@ -12,8 +12,8 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Entries kept of each memory, after which it starts anew.
-REMEMBERED = 1_000_000
+#: Pieces and pre-tokens that are remembered, beyond which either memory starts anew.
+PIECES, WORDS = 200_000, 500_000
 
 # Fixed values of the tokenizer's pre-token rule for the characters of Latin-1.
 _PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -39,8 +39,8 @@ class _Memory:
 
     def __init__(self) -> None:
         self.rank = _Ranked()
-        self.ids = np.zeros(1 << 20, np.uint32)
-        self.ends = np.zeros(1 << 20, np.int64)
+        self.ids = np.zeros(1 << 16, np.uint32)
+        self.ends = np.zeros(1 << 16, np.int64)
         self.known = 0
 
     def append(self, ids: np.ndarray, sizes: np.ndarray) -> None:
@@ -67,7 +67,7 @@ class _Memory:
 class Encoder:
     """Ids of texts, without special tokens added, equal to those of encoding each text whole."""
 
-    def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
+    def __init__(self, path: str, pieces: int = PIECES, words: int = WORDS) -> None:
         import os
 
         import regex
@@ -79,7 +79,7 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.stops = np.zeros(max(vocabulary.values()) + 1, bool)
         self.stops[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.remembered = remembered
+        self.limits = pieces, words
         self.pieces, self.words = _Memory(), _Memory()
 
     def _whole(self, text: str) -> list[int]:
@@ -132,8 +132,10 @@ class Encoder:
 
     def encode_many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, end to end, and how many each has."""
-        if len(self.pieces.rank) > self.remembered or len(self.words.rank) > self.remembered:
-            self.pieces, self.words = _Memory(), _Memory()
+        if len(self.pieces.rank) > self.limits[0]:
+            self.pieces = _Memory()
+        if len(self.words.rank) > self.limits[1]:
+            self.words = _Memory()
         pieces: list[str] = []
         counts = []
         for text in texts:

@@ -21,7 +21,7 @@ HARD = ["", "a", " ", "word" * 300, "x " * 500, "It's <|endoftext|> don't\x1cso
 def test_random_edits(whole):
     from lattica.llm.tokens import Encoder
 
-    coder, rng = Encoder(t.default_tokenizer(), remembered=50), random.Random(5)
+    coder, rng = Encoder(t.default_tokenizer(), pieces=50, words=80), random.Random(5)
     for text in HARD:
         parts = t.segments(text, 20)
         assert "".join(parts) == text
