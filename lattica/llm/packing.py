@@ -122,7 +122,8 @@ def packed(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH,
     """
     tokens = checkpointed(encoded(docs, tokenizer or default_tokenizer(), end))
     spark = tokens.sparkSession
-    known = tokens.select("row", "source", "doc_id", "n").withColumn("part", F.pmod(F.xxhash64("row"), F.lit(PARTS)))
+    # The order within a queue follows from doc_id and ids alone, so that reruns agree however rows are stored.
+    known = tokens.select("row", "source", "doc_id", "n", F.xxhash64("doc_id", "ids").alias("place")).withColumn("part", F.pmod("place", F.lit(PARTS)))
     sums = checkpointed(known.groupBy("source", "part").agg(F.sum("n").alias("part_n")))
     queues = [(r["source"], r["n"]) for r in sums.groupBy("source").agg(F.sum("part_n").alias("n")).orderBy(F.col("source").asc_nulls_last()).collect()]
     if not queues:
@@ -132,7 +133,7 @@ def packed(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH,
 
     earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = sums.select(F.col("source").alias("s"), F.col("part").alias("p"), F.coalesce(F.sum("part_n").over(earlier), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("source", "part").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "part").orderBy("place", "doc_id", "row").rowsBetween(Window.unboundedPreceding, -1)
     placed = known.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
     starts = placed.join(before, placed["source"].eqNullSafe(before["s"]) & (placed["part"] == before["p"])).select(
         "row", (F.col("before") + F.col("inside")).alias("queue_start")
