@@ -40,7 +40,7 @@ def join_sized(df: DataFrame, small: DataFrame, on: list[str], how: str = "inner
 
     ``small`` must be cheap to count (checkpointed or a small aggregate).
     """
-    few = len(small.limit(limit + 1).select(F.lit(1)).take(1)) == 0 or small.count() <= limit
+    few = small.limit(limit + 1).count() <= limit
     return df.join(F.broadcast(small) if few else small, on, how)
 
 
