@@ -1,6 +1,9 @@
 """Operators on small frames: queries and pages, codecs, state, rules, expressions, text, sources, streams."""
 
+import hashlib
 import io
+import random
+import re
 import zipfile
 from datetime import date, datetime
 
@@ -147,6 +150,48 @@ def test_text_operators(spark):
     assert text.compact("Ａb-1 c") == "ab1c" and text.similarity("a b", "b a") == 1.0
 
 
+def by_hand(rows, wanted):
+    """Near copies one by one over all pairs; rows of (key, group, text)."""
+    need = lambda t: {"".join(c for c in line if c.isascii() and c.isalnum()).lower() for line in t.split("\n") if re.search(wanted, line)}
+    kept, out = [], []
+    for k, g, t in sorted((r for r in rows if r[2] and r[2].strip()), key=lambda r: (r[0] is None, r[0] or 0, hashlib.sha256(r[2].encode()).hexdigest())):
+        for k2, g2, t2 in kept:
+            if g == g2 and need(t) == need(t2) and min(len(t), len(t2)) >= 0.75 * max(len(t), len(t2)) and (t == t2 or text.text_ratio(t2, t) >= 0.88):
+                out.append((g, k2, k))
+                break
+        else:
+            kept.append((k, g, t))
+    return out
+
+
+def test_near_copies_equal_all_pairs(spark, small):
+    rng = random.Random(5)
+    words = lambda n: [f"{rng.choice('bcdfgh')}{rng.choice('aeiou')}{rng.randrange(400)}x" for _ in range(n)]
+    licence, rows = words(60), []
+    for i in range(12):  # different texts with one licence, and near copies of each that lack the first's words
+        own = words(40)
+        rows += [(100 + i, "en", " ".join(own + licence)), (200 + i, None if i % 2 else "en", " ".join([*own[:20], "new", *own[21:], *licence]))]
+    rows += [(300 + i, None, " ".join(licence + own)) for i in range(3) for own in [words(40)] for _ in range(2)]
+    base = words(100)
+    for i in range(5):  # a chain: each is like the next only
+        base = [*base[: i * 9], *words(9), *base[i * 9 + 9 :]]
+        rows.append((400 + i, "de", " ".join(base)))
+    rows += [(None, "de", " ".join(base)), (None, "de", " ".join(words(50))), (500, "de", ""), (501, "de", None), (502, "de", " ".join(base) + "\nno 7"), (503, "de", " ".join(base) + "\nno 8")]
+    rows += [(r["doc_id"], r["lang"], r["text"]) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    key = lambda r: tuple((v is None, v or 0) if not isinstance(v, str) else (False, v) for v in r)
+    want = sorted(by_hand(rows, "no [0-9]"), key=key)
+    assert len(want) > 20
+    got = text.near_copies(docs, "lang", "doc_id", "text", "no [0-9]").collect()
+    assert sorted(((r["lang"], r["keep"], r["copy"]) for r in got), key=key) == want
+    # By leaders, and in blocks of two.
+    text_rows = docs.where("doc_id is null or doc_id >= 100")
+    few = [r for r in rows if r[0] is None or r[0] >= 100]
+    got = text.near_copies(text_rows, "lang", "doc_id", "text", "no [0-9]", block=2, pairs_each=0).collect()
+    assert sorted(((r["lang"], r["keep"], r["copy"]) for r in got), key=key) == sorted(by_hand(few, "no [0-9]"), key=key)
+
+
 def test_sources(spark):
     pages = spark.createDataFrame([(1, '{"body":{"items":{"item":{"a":1}},"totalCount":1}}'), (2, '{"body":{"totalCount":0}}')], "page long, body string")
     assert [(r["page"], r["payload"]) for r in landing.records(pages, "body", "body.items.item[]", "body.totalCount").collect()] == [(1, '{"a":1}')]
