@@ -15,7 +15,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, connected_components
@@ -49,15 +49,21 @@ def fingerprint_of(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long) of every whole text; null text counts as empty."""
+def text_digest(text: Column) -> Column:
+    return F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256))
+
+
+def fingerprints(docs: DataFrame, shingle: int = 3, digest: bool = False) -> DataFrame:
+    """doc_id and fp (the 64 bits as a signed long) of every whole text, and its digest if wanted; null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = np.array([fingerprint_of(t, shingle) for t in batch.column("text").to_pylist()], dtype=np.uint64)
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "fp": pa.array(prints.view(np.int64))})
+            yield pa.record_batch({"doc_id": batch.column("doc_id"), "fp": pa.array(prints.view(np.int64)), **{c: batch.column(c) for c in more}})
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    more = ["digest"] if digest else []
+    columns = [F.col("doc_id").cast("long"), F.col("text").cast("string"), *[text_digest(F.col("text")).alias(c) for c in more]]
+    return docs.select(*columns).mapInArrow(run, "doc_id long, fp long" + "".join(f", {c} binary" for c in more))
 
 
 def _signed(mask: int) -> int:
@@ -117,6 +123,13 @@ def links(prints: DataFrame, budget: int = BUDGET, segments: int = SEGMENTS, pai
     return pairs if stars is None else pairs.union(stars)
 
 
+def _rooted(prints: DataFrame, first: Column, budget: int) -> DataFrame:
+    """fp, ``first`` of its rows, and root, which names its component, of every distinct fingerprint."""
+    least = checkpointed(prints.groupBy("fp").agg(first))
+    parts = connected_components(links(least.select("fp"), budget))
+    return least.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = BUDGET) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits) and component_id of every document.
 
@@ -127,9 +140,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = BUDGET) ->
     component that has another id; an empty table gives an empty result.
     """
     prints = checkpointed(fingerprints(docs, shingle))
-    least = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    parts = connected_components(links(least.select("fp"), budget))
-    rooted = least.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = _rooted(prints, F.min("doc_id").alias("first_id"), budget)
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     by_print = rooted.join(named, "root").select("fp", "component_id")
     return prints.join(by_print, "fp").select(
@@ -140,11 +151,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = BUDGET) ->
 def deduplicated(docs: DataFrame, shingle: int = 3, budget: int = BUDGET) -> DataFrame:
     """The documents with one of each component left, the one with the smallest doc_id.
 
-    All columns stay; of rows that repeat a doc_id one stays. Documents with a null doc_id
-    are kept only if all of their component have none, and count as one document.
+    All columns stay. A null doc_id comes after all others; among equal ids the digest of the
+    text decides, so rows without an id and rows that repeat one are documents like any other.
+    Of rows equal in doc_id and text one stays.
     """
-    kept = checkpointed(
-        near_duplicates(docs, shingle, budget).where("doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    )
-    left = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    return left.dropDuplicates(["doc_id"]) if kept.where("n > 1").limit(1).count() else left
+    prints = checkpointed(fingerprints(docs, shingle, digest=True))
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")).alias("first")
+    kept = _rooted(prints, one, budget).groupBy("root").agg(F.min("first").alias("k")).select("k.doc_id", "k.digest")
+    rows = prints.groupBy("doc_id", "digest").agg(F.count("*").alias("n"))
+    same = kept["doc_id"].eqNullSafe(rows["doc_id"]) & (kept["digest"] == rows["digest"])
+    counted = checkpointed(kept.join(rows, same).select(kept["doc_id"], kept["digest"], "n"))
+
+    def those(keys: DataFrame) -> DataFrame:
+        return docs.join(keys, docs["doc_id"].eqNullSafe(keys["doc_id"]) & (text_digest(docs["text"]) == keys["digest"]), "left_semi")
+
+    if not counted.where("n > 1").limit(1).count():
+        return those(counted)
+    repeated = those(counted.where("n > 1")).withColumn("_digest", text_digest(F.col("text")))
+    return those(counted.where("n = 1")).union(repeated.dropDuplicates(["doc_id", "_digest"]).drop("_digest"))

@@ -74,3 +74,16 @@ def test_one_of_each_group_stays(spark, small):
     rows = simhash.near_duplicates(docs).collect()
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({r["component_id"] for r in rows})
     assert kept.columns == docs.columns
+
+
+def test_rows_without_id_and_repeated_ids_are_documents(spark):
+    rng = random.Random(9)
+    texts = [" ".join(f"w{rng.randrange(10_000)}" for _ in range(80)) for _ in range(6)]
+    rows = [(None, texts[0]), (None, texts[0]), (None, texts[1]), (None, texts[2]), (3, texts[2]), (4, texts[3]), (4, texts[4]), (4, texts[4]), (5, texts[4]), (6, texts[5]), (None, None), (None, "")]
+    docs = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, source string")
+    for some in (docs, docs.where("doc_id is not null"), docs.where("doc_id is null")):
+        got = [(r["doc_id"], r["text"] or "") for r in simhash.deduplicated(some).collect()]
+        want = {t or "" for _, t in (tuple(r)[:2] for r in some.collect())}
+        assert len(got) == len(set(got)) and sorted(t for _, t in got) == sorted(want)
+        least = {t: min((i is None, i or 0) for i, u, _ in some.collect() if (u or "") == t) for t in want}
+        assert {t: (i is None, i or 0) for i, t in got} == least
