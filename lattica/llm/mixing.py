@@ -51,14 +51,13 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float
     )
 
 
-def taken(docs: DataFrame, seed: str = "mix", weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
-    """All columns of ``docs`` (doc_id, source, size and others) with source_size, target and copies.
+def ranked(docs: DataFrame, seed: str, weights: tuple[float, ...], most: float) -> DataFrame:
+    """Adds source_size, target, rank (of the source), whole, share, odds and part to docs.
 
-    copies is how many times the mix takes the document; reruns agree, since the random
-    numbers are hashes of ``seed`` and doc_id. Documents without words get whole copies only.
+    Documents are drawn by rising odds. Where nothing is drawn (share 0) the order has no
+    effect, and the random numbers alone spread the source over its parts.
     """
     plan = checkpointed(targets(docs.select("source", "size"), weights, most))
-    source = docs.columns
     named = plan.withColumnRenamed("source", "plan_source")
     # The null source is joined like any other value.
     joined = join_sized(
@@ -73,18 +72,29 @@ def taken(docs: DataFrame, seed: str = "mix", weights: tuple[float, ...] = WEIGH
     digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")), 1, 13)
     uniform = (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 52)
     share = F.col("share")
-    odds = uniform / (1 - uniform) / (share / (1 - share))
-    ranked = (
+    odds = uniform / (1 - uniform)
+    return (
         joined.withColumn("whole", F.floor(ratio))
         .withColumn("share", ratio - F.floor(ratio))
-        .withColumn("odds", F.when(share > 0, odds).otherwise(0.0))
+        .withColumn("odds", F.when(share > 0, odds / (share / (1 - share))).otherwise(odds))
         .withColumn("part", F.floor(F.col("odds") / (1 + F.col("odds")) * PARTS))
     )
-    sums = ranked.groupBy("rank", "part").agg(F.sum("size").alias("part_size"))
+
+
+def taken(docs: DataFrame, seed: str = "mix", weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
+    """All columns of ``docs`` (doc_id, source, size and others) with source_size, target and copies.
+
+    copies is how many times the mix takes the document; reruns agree, since the random
+    numbers are hashes of ``seed`` and doc_id. Documents without words get whole copies only.
+    """
+    source = docs.columns
+    placed = ranked(docs, seed, weights, most)
+    share = F.col("share")
+    sums = placed.groupBy("rank", "part").agg(F.sum("size").alias("part_size"))
     earlier = Window.partitionBy("rank").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = sums.select("rank", "part", F.coalesce(F.sum("part_size").over(earlier), F.lit(0)).alias("before"))
     within = Window.partitionBy("rank", "part").orderBy("odds", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    summed = ranked.withColumn("within", F.sum("size").over(within)).join(before, ["rank", "part"])
+    summed = placed.withColumn("within", F.sum("size").over(within)).join(before, ["rank", "part"])
     remaining = F.col("target") - F.col("whole") * F.col("source_size")
     middle = F.col("before") + F.col("within") - F.col("size") / 2
     drawn = (share > 0) & (F.col("size") > 0) & (middle <= remaining)

@@ -44,3 +44,10 @@ def test_limits_are_reshared(spark):
     assert mixing.mix(edge.empty(spark)).count() == 0
     only_null = mixing.mix(spark.createDataFrame([(1, None, None), (2, "two words", None)], "doc_id long, text string, source string")).collect()
     assert {r["doc_id"]: r["taken"] for r in only_null} == {1: 0, 2: 2}
+
+
+def test_a_source_of_which_nothing_is_drawn_is_spread(spark):
+    docs = spark.range(500).selectExpr("id as doc_id", "'s' as source", "2L as size")
+    rows = mixing.ranked(docs, "mix", mixing.WEIGHTS, mixing.MOST).collect()
+    assert {r["share"] for r in rows} == {0.0} and len({r["part"] for r in rows}) > 400
+    assert {r["copies"] for r in mixing.taken(docs).collect()} == {1}
