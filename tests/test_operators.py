@@ -150,6 +150,17 @@ def test_text_operators(spark):
     assert text.compact("Ａb-1 c") == "ab1c" and text.similarity("a b", "b a") == 1.0
 
 
+def test_cited_tiers(spark):
+    lines = ["the lazy dog sleeps all the day near the old mill", "zebra quilt vortex jumble", "before the lazy dog sleeps all the day near the old mill", "alpha beta gamma delta epsilon zeta eta theta"]
+    blocks = spark.createDataFrame([(1, i, t) for i, t in enumerate(lines)], "d long, block_index int, text string")
+    quotes = [
+        (1, 1, "lazy dog sleeps", 2), (1, 2, "lazy dog sleeps", 1), (1, 3, "the lazy dog sleeps ... near the old mill", 2),
+        (1, 4, "alpha beta gamma delta omega psi chi", 3), (1, 5, "near the old mill ... the lazy dog sleeps, qq ww ee rr tt yy uu", 1), (1, 6, "the lazy dog sleeps ... near the old mill", None),
+    ]
+    got = {tuple(r) for r in text.cited(spark.createDataFrame(quotes, "d long, citation_id long, quote string, pointed int"), blocks, "d").collect()}
+    assert got == {(1, 2, "pointed"), (2, 0, "exact"), (3, 2, "ellipsis"), (4, 3, "near_pointed")}
+
+
 def by_hand(rows, wanted):
     """Near copies one by one over all pairs; rows of (key, group, text)."""
     need = lambda t: {"".join(c for c in line if c.isascii() and c.isalnum()).lower() for line in t.split("\n") if re.search(wanted, line)}
