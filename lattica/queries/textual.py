@@ -178,6 +178,17 @@ def dense_topk(spark: SparkSession, folder: str) -> DataFrame:
     return scored.withColumn("place", F.row_number().over(w)).where("place <= 10").select("label", "vec_id", "cosine")
 
 
+@query("""
+WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS cosine
+  FROM embeddings q JOIN embeddings e ON q.vec_id % 20 = 0)
+SELECT query_id, vec_id, cosine FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) <= 10
+""")
+def nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Of every twentieth vector the ten nearest of all, whatever their labels."""
+    e = table(spark, folder, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    return t.nearest(e.where("vec_id % 20 = 0"), e, "vec_id", "v", 10)
+
+
 @query("""
 SELECT CAST(time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS TIMESTAMP) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2
 """)

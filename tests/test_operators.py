@@ -7,6 +7,7 @@ import re
 import zipfile
 from datetime import date, datetime
 
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -150,6 +151,16 @@ def test_text_operators(spark):
     assert text.compact("Ａb-1 c") == "ab1c" and text.similarity("a b", "b a") == 1.0
 
 
+def test_nearest_looks_at_all_vectors(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((90, 6))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(100, [0.0] * 6), (101, None), (102, [1.0, 2.0])]
+    e = spark.createDataFrame(rows, "id long, v array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(q, i) for q in range(0, 90, 20) for i in sorted(range(90), key=lambda i: (-round(float(u[q] @ u[i]), 6), i))[:10]}
+    assert {(r["query_id"], r["id"]) for r in text.nearest(e.where("id % 20 = 0 and id < 90"), e, "id", "v", 10, block=16).collect()} == want
+
+
 def test_cited_tiers(spark):
     lines = ["the lazy dog sleeps all the day near the old mill", "zebra quilt vortex jumble", "before the lazy dog sleeps all the day near the old mill", "alpha beta gamma delta epsilon zeta eta theta"]
     blocks = spark.createDataFrame([(1, i, t) for i, t in enumerate(lines)], "d long, block_index int, text string")
