@@ -3,8 +3,14 @@
 import hashlib
 import re
 
+import random
+
+from pyspark.sql import functions as F
+
 from lattica.llm import pii
 
+from . import edge
+
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
@@ -74,5 +80,102 @@ def test_redaction_keeps_columns_and_nulls(spark):
     assert out[2]["text"] is None and out[3]["text"] == "nothing"
 
 
-def test_empty_table(spark):
-    assert pii.detected(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+def test_edge_rows_and_empty_tables(spark, small):
+    docs = edge.documents(spark, small)
+    out = pii.redacted(docs)
+    assert out.columns == docs.columns and out.count() == docs.count() == pii.detected(docs).count()
+    assert sorted(r["doc_id"] or 0 for r in out.collect()) == sorted(r["doc_id"] or 0 for r in docs.collect())
+    assert pii.detected(edge.empty(spark)).count() == 0 and pii.redacted(edge.empty(spark)).count() == 0
+
+
+def _plain_em(rows, rounds=30):
+    """The same estimates row by row."""
+    right, prior = list(pii.BELIEFS), 0.5
+    for _ in range(rounds + 1):
+        posts = []
+        for votes, _n in rows:
+            odds = prior / (1 - prior)
+            for r, v in zip(right, votes):
+                odds *= (r / (1 - r)) ** v
+            posts.append(odds / (1 + odds))
+        before = list(right)
+        total = sum(n for _, n in rows)
+        prior = min(0.98, max(0.02, (5 + sum(p * n for p, (_, n) in zip(posts, rows))) / (10 + total)))
+        for j in range(len(right)):
+            voted = sum(n for v, n in rows if v[j])
+            hits = sum(n * (p if v[j] > 0 else 1 - p) for p, (v, n) in zip(posts, rows) if v[j])
+            right[j] = min(0.995, max(0.51, (10 * pii.BELIEFS[j] + hits) / (10 + voted)))
+    return posts, before
+
+
+def _proposals(truth_rate=0.5, n=4000, seed=5):
+    """Counts of made-up proposals whose labelers err independently; the length tells the truth too."""
+    rng, counts = random.Random(seed), {}
+    reliable = (0.9, 0.6, 0.97, 0.99)
+    for _ in range(n):
+        true = rng.random() < truth_rate
+        right = [rng.random() < r for r in reliable]
+        votes = (1 if true == right[0] else -1, 1 if true == right[1] else -1, int(true and right[2]), -int(not true and right[3] and rng.random() < 0.3))
+        length = 1 if (true if rng.random() < 0.95 else not true) else 3
+        features = (length, 2, 1, 0, 0, 0, votes[2], 0, -votes[3], int(votes[1] > 0))
+        key = (3, votes, features, rng.random() < 0.2, true)
+        counts[key] = counts.get(key, 0) + 1
+    return counts
+
+
+def test_expectation_maximisation_equals_a_plain_version():
+    import numpy as np
+
+    counts = _proposals()
+    rows = [(k[1], n) for k, n in counts.items()]
+    posts, right = pii.posteriors(np.array([v for v, _ in rows], float), np.array([n for _, n in rows], float))
+    want, reliabilities = _plain_em(rows)
+    assert max(abs(a - b) for a, b in zip(posts, want)) < 1e-9 and max(abs(a - b) for a, b in zip(right, reliabilities)) < 1e-9
+    assert right[0] > right[1]  # the better labeler is found without labels
+
+
+def test_classifier_is_trained_beyond_the_votes():
+    counts = _proposals()
+    merged = {}
+    for (kind, votes, features, held, _), n in counts.items():
+        merged[kind, votes, features, held] = merged.get((kind, votes, features, held), 0) + n
+    model = pii.learn([(*k, n) for k, n in sorted(merged.items())])
+    before, after = model.losses[3]
+    assert after < 0.6 * before  # trained: better than its start on proposals that it has not seen
+    assert model.weights[3][0][1] - model.weights[3][0][3] > 0.3  # the shape counts where the votes are the same
+    assert pii.learn([]).weights[3] != model.weights[3] and pii.learn([]).losses == (None,) * 4
+    limit = 0.847
+    right = sum(n for (k, _, f, _, true), n in counts.items() if (model.score(k, f) >= limit) == true)
+    assert right / sum(counts.values()) > 0.85
+
+
+def test_column_and_plain_scores_agree(spark):
+    model = pii.learn([(k[0], k[1], k[2], k[3], n) for k, n in sorted(_proposals().items())])
+    features = sorted({k[2] for k in _proposals()})
+    df = spark.createDataFrame([(3, list(f)) for f in features], "kind int, features array<int>")
+    got = [r[0] for r in df.select(model.accepts(F.col("kind"), F.col("features"))).collect()]
+    assert got == [model.score(3, f) >= 0.8472978603872034 for f in features] and True in got and False in got
+
+
+def test_spans_apart_equal_all_pairs(spark):
+    rng = random.Random(11)
+    rows = []
+    for case in range(60):
+        n = (3, 30, 400)[case % 3] if case < 57 else 0
+        spans = [[(s, s + rng.randrange(1, 9)) for s in sorted(rng.sample(range(12 * n + 12), n))] for _ in range(2)]
+        rows.append((case, [((0, a, b, ""), "", "") for a, b in spans[0]], [(0, a, b, "") for a, b in spans[1]]))
+    kind = "struct<kind:int,start:int,end:int,match:string>"
+    df = spark.createDataFrame(rows, f"case int, found array<struct<span:{kind},before:string,after:string>>, base array<{kind}>").checkpoint()
+    for r in df.select("found", "base", pii._apart(F.col("found"), F.col("base")).alias("apart")).collect():
+        base = [(b["start"], b["end"]) for b in r["base"]]
+        want = [s for s in (tuple(f["span"]) for f in r["found"]) if not any(a < s[2] and s[1] < b for a, b in base)]
+        assert sorted(tuple(a["span"]) for a in r["apart"]) == sorted(want)
+
+
+def test_many_spans_in_one_text(spark):
+    import time
+
+    text = " ".join(f"call +49 30 {1000000 + i} or 555-{100 + i % 900}-{1000 + i % 9000}" for i in range(8000))
+    began = time.monotonic()
+    row = pii.detected(spark.createDataFrame([(1, text)], "doc_id long, text string").checkpoint()).first()
+    assert row["n_phone"] == 8000 and time.monotonic() - began < 60
