@@ -37,3 +37,21 @@ def test_random_texts(spark, window, group):
         rows.append((i, " ".join(words)))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
     assert result(s.digested(docs, window, group)) == expected(docs, window)
+
+
+def test_thousands_of_copies_and_a_shared_passage(spark):
+    rng = random.Random(8)
+    text = " ".join(f"w{rng.randrange(10**6)}" for _ in range(3000))
+    passage = " ".join(f"p{i}" for i in range(50))
+    rows = [(7, text)] * 1000 + [(None, text)] * 1000 + [(i, text + " end") for i in range(100, 103)]
+    rows += [(1000 + i, f"a{i} b{i} {passage} c{i} " + " ".join(f"own{i}x{j}" for j in range(20))) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    for group in (s.GROUP, 100):
+        got = result(s.digested(docs, group=group))
+        assert len(got) == len(rows)
+        by_id = {}
+        for d, n, removed, _ in got:
+            by_id.setdefault(d, set()).add((n, removed))
+        assert by_id[7] == by_id[-(10**9)] == {(3000, 3000)}
+        assert all(by_id[i] == {(3001, 3001)} for i in range(100, 103))
+        assert all(by_id[1000 + i] == {(73, 50)} for i in range(1500))
