@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import checkpointed, connected_components, join_sized
 
@@ -48,13 +49,13 @@ def _directions(size: int, k: int, tables: int) -> tuple[np.ndarray, np.ndarray]
     return random.standard_normal((size, k * tables)), random.uniform(0, WIDTH, k * tables)
 
 
-def _unit(raw: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), "<f8").reshape(len(raw), -1)
+def _unit(raw: list[bytes], kind: str) -> np.ndarray:
+    x = np.frombuffer(b"".join(raw), kind).astype(np.float64).reshape(len(raw), -1)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def signatures(vectors: DataFrame, k: int, tables: int) -> DataFrame:
-    """Adds marks: a 32-bit name of the vector's bucket in each table, end to end."""
+def signatures(vectors: DataFrame, k: int, tables: int, kind: str = "<f8") -> DataFrame:
+    """Adds marks: a 64-bit name of the vector's bucket in each table, end to end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -62,12 +63,12 @@ def signatures(vectors: DataFrame, k: int, tables: int) -> DataFrame:
             marks: list[bytes | None] = [None] * len(raw)
             for size in {len(r) for r in raw}:
                 own = [i for i, r in enumerate(raw) if len(r) == size]
-                directions, shifts = _directions(size // 8, k, tables)
+                directions, shifts = _directions(size // int(kind[-1]), k, tables)
                 for at in range(0, len(own), 512):
                     some = own[at : at + 512]
-                    steps = np.floor((_unit([raw[i] for i in some]) @ directions + shifts) / WIDTH).astype("<i4")
+                    steps = np.floor((_unit([raw[i] for i in some], kind) @ directions + shifts) / WIDTH).astype("<i4")
                     for i, row in zip(some, steps.reshape(len(some), tables, k), strict=True):
-                        marks[i] = np.array([xxhash.xxh32_intdigest(t.tobytes(), size) for t in row], "<u4").tobytes()
+                        marks[i] = np.array([xxhash.xxh64_intdigest(t.tobytes(), size) for t in row], "<u8").tobytes()
             yield pa.record_batch({"rep": batch.column("rep"), "copies": batch.column("copies"), "raw": batch.column("raw"), "marks": pa.array(marks, pa.binary())})
 
     return vectors.select("rep", "copies", "raw").mapInArrow(run, "rep binary, copies long, raw binary, marks binary")
@@ -102,24 +103,26 @@ def _spanning(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
         label = new
 
 
-def _blocks(rows: list[dict]) -> dict[int, dict]:
+def _blocks(rows: list[dict], kind: str) -> dict[int, dict]:
     """Rows of a pair of blocks, side by side; ids keep their order."""
     out = {}
     for side in {r["side"] for r in rows}:
         own = [r for r in rows if r["side"] == side]
         out[side] = {
-            "x": _unit([r["raw"] for r in own]), "copies": np.array([r["copies"] for r in own]), "rep": [r["rep"] for r in own],
-            "marks": np.array([np.frombuffer(r["marks"], "<u4") for r in own]),
+            "x": _unit([r["raw"] for r in own], kind), "copies": np.array([r["copies"] for r in own]), "rep": [r["rep"] for r in own],
+            "marks": np.array([np.frombuffer(r["marks"], "<u8") for r in own]),
         }
     return out
 
 
-def _links_of(table: int, rows: list[dict], least: float) -> list[tuple]:
+def _links_of(table: int, rows: list[dict], least: float, kind: str) -> list[tuple]:
     """(a, None, n): rep a has n more links; (a, b, 0): a and b are connected."""
     out: list[tuple] = []
     for size in {len(r["raw"]) for r in rows}:
-        blocks = _blocks([r for r in rows if len(r["raw"]) == size])
+        blocks = _blocks([r for r in rows if len(r["raw"]) == size], kind)
         if len(blocks) == 1:
+            if not rows[0]["within"]:  # the other block has no vector of this size
+                continue
             (block,) = blocks.values()
             left = right = block
             # A first table whose mark all share has compared all of them already.
@@ -142,11 +145,20 @@ def _links_of(table: int, rows: list[dict], least: float) -> list[tuple]:
     return out
 
 
-def links(vectors: DataFrame, tables: int, least: float = LEAST, block: int = BLOCK) -> DataFrame:
-    """Counts of links and connections of distinct vectors (rep, copies, raw, marks)."""
-    marks = F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), lambda t: F.hex(F.substring("marks", t * 4 + 1, F.lit(4))))
+def links(vectors: DataFrame, tables: int, least: float = LEAST, block: int = BLOCK, kind: str = "<f8") -> DataFrame:
+    """Counts of links and connections of distinct vectors (rep, copies, raw, marks).
+
+    Only the buckets' names and hashes of their members are counted in all tables. A bucket
+    whose members are exactly those of a bucket of an earlier table is dropped there, since
+    all its pairs have met; vectors go to the buckets that remain.
+    """
+    marks = F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), lambda t: F.substring("marks", t * 8 + 1, F.lit(8)))
+    named = vectors.select("rep", F.posexplode(marks).alias("table", "bucket"))
+    of_all = [F.sum(F.xxhash64(F.lit(seed), "rep").cast("decimal(20,0)")).alias(f"hash_{seed}") for seed in (1, 2)]
+    buckets = named.groupBy("table", "bucket").agg(F.count("*").alias("members"), *of_all).where("members > 1")
+    first = buckets.groupBy("members", "hash_1", "hash_2").agg(F.min(F.struct("table", "bucket")).alias("first"))
+    sizes = first.select("first.table", "first.bucket", "members")
     placed = vectors.select("rep", "copies", "raw", "marks", F.posexplode(marks).alias("table", "bucket"))
-    sizes = vectors.select(F.posexplode(marks).alias("table", "bucket")).groupBy("table", "bucket").agg(F.count("*").alias("members")).where("members > 1")
     meeting = placed.join(sizes, ["table", "bucket"])
     # A bucket of more than a block is dealt out as pairs of blocks: each row goes to the pairs of its own block.
     split = F.ceil(F.col("members") / block).cast("int")
@@ -155,7 +167,7 @@ def links(vectors: DataFrame, tables: int, least: float = LEAST, block: int = BL
     dealt = meeting.withColumn("pair", pair).select(
         "table", "rep", "copies", "raw", "marks",
         F.when((F.col("pair.low") == F.col("pair.high")) | (own == F.col("pair.low")), 0).otherwise(1).alias("side"),
-        F.xxhash64("table", "bucket", "pair").alias("group"),
+        (F.col("pair.low") == F.col("pair.high")).alias("within"), F.xxhash64("table", "bucket", "pair").alias("group"),
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,13 +176,13 @@ def links(vectors: DataFrame, tables: int, least: float = LEAST, block: int = BL
         for batch in batches:
             for row in batch.to_pylist():
                 if held and row["group"] != held[0]["group"]:
-                    found += _links_of(held[0]["table"], held, least) if len(held) > 1 else []
+                    found += _links_of(held[0]["table"], held, least, kind) if len(held) > 1 else []
                     held = []
                 held.append(row)
             if found:
                 yield _as_batch(found)
                 found = []
-        found += _links_of(held[0]["table"], held, least) if len(held) > 1 else []
+        found += _links_of(held[0]["table"], held, least, kind) if len(held) > 1 else []
         if found:
             yield _as_batch(found)
 
@@ -199,13 +211,16 @@ def near_duplicates(embeddings: DataFrame, least: float = LEAST, recall: float =
         & F.exists("v", lambda x: x != 0)
     )
 
+    # Components are kept as wide as they are given; cosines are of doubles in either case.
+    kind = "<f4" if embeddings.schema["embedding"].dataType == T.ArrayType(T.FloatType(), True) else "<f8"
+
     def as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             # A power of two as scale keeps all bits and keeps squares within range.
             raw = []
             for v in batch.column("v"):
                 x = np.array(v.as_py(), "<f8")
-                raw.append((np.ldexp(x, -int(np.frexp(np.abs(x).max())[1])) + 0.0).tobytes())
+                raw.append((np.ldexp(x, -int(np.frexp(np.abs(x).max())[1])) + 0.0).astype(kind).tobytes())
             rep = [xxhash.xxh128_digest(r) for r in raw]
             yield pa.record_batch({"vec_id": batch.column("vec_id"), "raw": pa.array(raw, pa.binary()), "rep": pa.array(rep, pa.binary())})
 
@@ -213,8 +228,8 @@ def near_duplicates(embeddings: DataFrame, least: float = LEAST, recall: float =
     distinct = good.groupBy("rep").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least_id"), F.first("raw").alias("raw"))
     distinct = checkpointed(distinct)
     k, tables = shape(distinct.count(), least, recall)
-    marked = checkpointed(signatures(distinct, k, tables))
-    found = checkpointed(links(marked, tables, least, block))
+    marked = checkpointed(signatures(distinct, k, tables, kind))
+    found = checkpointed(links(marked, tables, least, block, kind))
 
     # Components over numbers: a vector's own is its place in the order of a hash, unique here.
     numbered = checkpointed(distinct.select("rep", "copies", "least_id").withColumn("node", F.monotonically_increasing_id()))
