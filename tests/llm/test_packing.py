@@ -73,5 +73,65 @@ def test_schedule_with_ties_and_tiny_queues():
             assert at in found
 
 
+def _round_robin(queues, weights, length, windows):
+    """Credit and deficits kept step by step; all credit goes to queues that aren't empty."""
+    sent, credit = [0.0] * len(queues), [0.0] * len(queues)
+    for _ in range(windows):
+        left = float(length)
+        while left > 1e-9:
+            active = [i for i in range(len(queues)) if credit[i] < queues[i] - 1e-9]
+            if not active:
+                break
+            pace = sum(weights[i] for i in active)
+            step = min(left / pace, *((queues[i] - credit[i]) / weights[i] for i in active))
+            for i in active:
+                credit[i] += step * weights[i]
+            left -= step * pace
+        yield list(credit)
+
+
+def test_target_proportions_and_deficits():
+    queues, weights, length = [4000, 900, 2500, 17], [1.0, 3.0, 2.0, 0.5], 64
+    s = packing.Schedule(queues, length, weights)
+    every = np.arange(s.windows + 1)
+    sent, deficits = s.sent(every), s.deficits(every)
+    assert (sent.sum(axis=1) == s.ends(every)).all() and sent[-1].tolist() == queues and (np.diff(sent, axis=0) >= 0).all()
+    for n, credit in enumerate(_round_robin(queues, weights, length, s.full)):
+        assert np.allclose(sent[n + 1] + deficits[n + 1], credit, atol=1e-6)
+    assert np.abs(deficits).max() <= 1.5 and np.abs(deficits).max() > 0.1 and np.allclose(deficits.sum(axis=1), 0, atol=1e-6)
+    # 3 of 6.5 parts of every window as long as the queue lasts, none thereafter
+    assert abs((sent[3] - sent[0])[1] - 3 * 64 * 3 / 6.5) <= 2 and sent[30][1] == 900
+    for queue in range(4):
+        for token in range(0, queues[queue], 7):
+            at = int(np.searchsorted(sent[:, queue], token, side="right")) - 1
+            assert at in packing._candidates(token, token, queue, s)
+    with pytest.raises(ValueError):
+        packing.Schedule([1, 2], 4, [0.0, 1.0])
+
+
+def test_weights_and_many_sources(spark, small, ids_of, monkeypatch):
+    docs = edge.documents(spark, small)
+    total = sum(len(ids_of(r["text"])) for r in docs.collect())
+    sources = [r[0] for r in docs.select("source").distinct().collect()]
+    rows = packing.packed(docs, weights={s: 1.0 for s in sources}).collect()
+    first = {}
+    for p in rows:
+        if p["sequence_id"] == 0:
+            first[p["source"]] = first.get(p["source"], 0) + p["length"]
+        assert abs(p["deficit"]) <= len(sources)
+    assert sum(p["length"] for p in rows) == total and max(first.values()) - min(first.values()) <= 4096
+    monkeypatch.setattr(packing, "QUEUES", 2)
+    few = packing.packed(docs).collect()
+    assert sum(p["length"] for p in few) == total
+    by_sequence = {}
+    for p in few:
+        by_sequence.setdefault(p["sequence_id"], []).append((p["offset"], p["length"]))
+    for own in by_sequence.values():
+        at = 0
+        for offset, size in sorted(own):
+            assert offset == at
+            at += size
+
+
 def test_empty_table(spark):
     assert packing.pieces(edge.empty(spark)).count() == 0
