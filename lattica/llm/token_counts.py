@@ -4,6 +4,9 @@ The tree of a document keeps its pre-token segments as leaves: runs of about SPA
 that end before white space, where no token can cross. Inner nodes keep sums of tokens and
 code points. An edit re-encodes only the leaves that it touches, widened to the white space
 around it, and updates the sums on the way to the root.
+
+Trees are rows of a table (leaves and their counts), so that they can be saved and edited
+later; the inner sums follow from the leaves without encoding anything.
 """
 
 from __future__ import annotations
@@ -16,11 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed
 from .packing import chunks, default_tokenizer
 from .tokens import encoder
 
 #: Code points of a leaf before the next white space ends it.
 SPAN = 256
+#: Spans that a leaf may grow to by edits before it is split, which builds the inner sums anew.
+GROWTH = 4
 _WHITE = re.compile(r"[\x20\x09-\x0D]")
 
 
@@ -79,8 +85,8 @@ class SegmentTree:
         start, end = max(0, min(start, self.n_chars)), max(0, min(max(start, end), self.n_chars))
         first, at = self.leaf_at(start)
         last, last_at = self.leaf_at(end)
-        # The leaf before is context when the edit reaches its end, for its last word may go on.
-        if first and start == at:
+        # The leaf before is context when the edit reaches its end, for its last word may go on. Edits may leave empty leaves.
+        while first and start == at:
             first -= 1
             at -= len(self.leaves[first])
         whole = "".join(self.leaves[first : last + 1])
@@ -89,7 +95,11 @@ class SegmentTree:
         while last + 1 < len(self.leaves) and not _WHITE.match(self.leaves[last + 1]):
             last += 1
             whole += self.leaves[last]
-        parts = segments(whole, self.span) if len(whole) > 2 * self.span else [whole]
+        parts, touched = segments(whole, self.span) if len(whole) > 2 * self.span else [whole], last - first + 1
+        if len(parts) < touched:
+            parts += [""] * (touched - len(parts))
+        elif len(parts) > touched and len(whole) <= GROWTH * self.span * touched:
+            parts = ["".join(parts[len(parts) * i // touched : len(parts) * (i + 1) // touched]) for i in range(touched)]
         counts = self.encode(parts)
         self.encoded += len(whole)
         if len(parts) == last - first + 1:
@@ -112,16 +122,41 @@ def production_edits(text: str) -> list[tuple[int, int, str]]:
     return [(third, third, " [sic] "), (half, half + n // 100, ""), (n, n + 7, " (revised)")]
 
 
-def counted(docs: DataFrame, tokenizer: str | None = None, edits: Callable[[str], list[tuple[int, int, str]]] = production_edits, span: int = SPAN) -> DataFrame:
-    """Tokens of every whole text before and after its edits.
+TREE = "doc_id long, leaves array<string>, tokens array<int>"
 
-    Columns: doc_id, n_chars, n_tokens, edited_chars, edited_tokens, encoded_chars (code points
-    encoded again for the edits). ``edits`` gives (start, end, new text) in code points of the
-    text as the edits before have left it; ends beyond the text are cut off. Null text counts
-    as empty; repeated rows are counted each for itself; an empty table gives an empty result.
+
+def trees(docs: DataFrame, tokenizer: str | None = None, span: int = SPAN) -> DataFrame:
+    """The tree of every whole text, to be saved: doc_id, leaves and tokens (of each leaf).
+
+    Null text counts as empty and has one empty leaf; repeated rows have a tree each; null
+    ids stay; an empty table gives an empty result; extra columns have no effect.
     """
     path = tokenizer or default_tokenizer()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = encoder(path)
+        for batch in chunks(batches):
+            leaves = [segments(t or "", span) for t in batch.column("text").to_pylist()]
+            flat = coder.encode_many([x for own in leaves for x in own])[1]
+            ends = np.cumsum([len(own) for own in leaves]).tolist()
+            yield pa.record_batch({
+                "doc_id": batch.column("doc_id"), "leaves": pa.array(leaves, pa.list_(pa.string())),
+                "tokens": pa.array([flat[a:b] for a, b in zip([0, *ends], ends, strict=False)], pa.list_(pa.int32())),
+            })
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, TREE)
+
+
+def edited(saved: DataFrame, edits: Callable[[str], list[tuple[int, int, str]]] | None = None, tokenizer: str | None = None, span: int = SPAN, keep: bool = True) -> DataFrame:
+    """Saved trees after edits: the columns of ``trees`` (if ``keep``), and the counts of ``counted``.
+
+    ``edits`` gives (start, end, new text) in code points of the text as the edits before have
+    left it; ends beyond the text are cut off. Without it, each row's own edits are in the
+    column edits, an array of structs of these three. Only leaves that edits touch are encoded.
+    """
+    path = tokenizer or default_tokenizer()
+    names = ("n_chars", "n_tokens", "edited_chars", "edited_tokens", "encoded_chars")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
 
@@ -129,20 +164,30 @@ def counted(docs: DataFrame, tokenizer: str | None = None, edits: Callable[[str]
             return coder.encode_many(parts)[1]
 
         for batch in chunks(batches):
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            leaves = [segments(t, span) for t in texts]
-            flat = counts([x for own in leaves for x in own])
-            rows, at = [], 0
-            for text, own in zip(texts, leaves, strict=True):
-                tree = SegmentTree(own, flat[at : at + len(own)], counts, span)
-                at += len(own)
-                before = tree.n_tokens
-                for edit in edits(text):
+            rows, after = [], []
+            for i, (leaves, tokens) in enumerate(zip(batch.column("leaves").to_pylist(), batch.column("tokens").to_pylist(), strict=True)):
+                tree = SegmentTree(leaves, tokens, counts, span)
+                before = (tree.n_chars, tree.n_tokens)
+                own = edits("".join(leaves)) if edits else [tuple(e.values()) for e in batch.column("edits")[i].as_py() or []]
+                for edit in own:
                     tree.replace(*edit)
-                rows.append((len(text), before, tree.n_chars, tree.n_tokens, tree.encoded))
-            columns = zip(*rows, strict=True) if rows else [()] * 5
-            names = ("n_chars", "n_tokens", "edited_chars", "edited_tokens", "encoded_chars")
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), **{n: pa.array(c, pa.int64()) for n, c in zip(names, columns, strict=True)}})
+                rows.append((*before, tree.n_chars, tree.n_tokens, tree.encoded))
+                after.append(tree)
+            columns = zip(*rows, strict=True) if rows else [()] * len(names)
+            kept = {"leaves": pa.array([t.leaves for t in after], pa.list_(pa.string())), "tokens": pa.array([t.tokens[0] for t in after], pa.list_(pa.int32()))} if keep else {}
+            yield pa.record_batch({"doc_id": batch.column("doc_id"), **kept, **{n: pa.array(c, pa.int64()) for n, c in zip(names, columns, strict=True)}})
+
+    given = ["doc_id", "leaves", "tokens"] + ([] if edits else ["edits"])
+    return saved.select(*given).mapInArrow(run, (TREE if keep else "doc_id long") + "".join(f", {n} long" for n in names))
+
 
-    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return own.mapInArrow(run, "doc_id long, n_chars long, n_tokens long, edited_chars long, edited_tokens long, encoded_chars long")
+def counted(docs: DataFrame, tokenizer: str | None = None, edits: Callable[[str], list[tuple[int, int, str]]] = production_edits, span: int = SPAN) -> DataFrame:
+    """Tokens of every whole text before and after its edits.
+
+    Columns: doc_id, n_chars, n_tokens, edited_chars, edited_tokens, encoded_chars (code points
+    encoded again for the edits). The trees are saved, then read again and edited. Null text
+    counts as empty; repeated rows are counted each for itself; an empty table gives an empty
+    result.
+    """
+    saved = checkpointed(trees(docs, tokenizer, span))
+    return edited(saved, edits, tokenizer, span, keep=False)
