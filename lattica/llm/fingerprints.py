@@ -29,7 +29,8 @@ def let(value: Column, body) -> Column:
 def sketches(text: Column, k: int = K) -> Column:
     """An array of BINS sketches of 16 bits; -1 where a sketch has no k-mer.
 
-    Texts of fewer than k words count as one k-mer, texts without words as none.
+    Texts of fewer than k words count as one k-mer, texts without words as none. K-mers beyond
+    the first 16,777,215 share one place; among them the order of their hashes counts.
     """
     words = F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(0))
     place_mask = (1 << _PLACE_BITS) - 1
@@ -46,7 +47,7 @@ def sketches(text: Column, k: int = K) -> Column:
 
     def packed(h: Column) -> Column:
         """Sorted, so that equal k-mers lie together in the order of the text."""
-        return F.sort_array(F.transform(h, lambda x, i: F.shiftleft(F.shiftrightunsigned(x, _PLACE_BITS), _PLACE_BITS).bitwiseOR(i.cast("long"))))
+        return F.sort_array(F.transform(h, lambda x, i: F.shiftleft(F.shiftrightunsigned(x, _PLACE_BITS), _PLACE_BITS).bitwiseOR(F.least(i.cast("long"), F.lit(place_mask)))))
 
     def numbered(s: Column) -> Column:
         """The number of each element of ``s`` among its equals."""
