@@ -1,15 +1,20 @@
 """Secret scans: fixed patterns, and Markov models of random strings and ordinary identifiers.
 
 Both character models are first-order chains over ASCII. They are trained over all
-documents: values inside the fixed patterns are the labelled random strings, all other
-neighbouring word characters the ordinary ones. Further tokens are reported where the
-log-likelihood ratio of the two models favours a random string clearly.
+documents: values inside the fixed patterns are the samples of random strings, names of
+several parts (``user_name``, ``maxValue``, ``part-2``) elsewhere those of ordinary
+identifiers, with plain words, as they stand and put together to names, behind them where
+identifiers say nothing. Further tokens are
+reported where the log-likelihood ratio of the two models favours a random string clearly.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +32,10 @@ ASSIGN = re.compile(rf"""({_NAMES})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 
+#: Names of two parts or more, which are joined by signs, humps or digits.
+IDENTIFIER = re.compile(r"(?<![A-Za-z0-9+/_=-])(?:[A-Za-z]+(?:[_-][A-Za-z0-9]+)+|[A-Za-z]?[a-z]+(?:[A-Z][a-z]+)+|[A-Za-z]{3,}[0-9]{1,4})(?![A-Za-z0-9+/_=-])")
+#: What parts words; with capitals or a sign in its place, plain text reads like one long name.
+_APART = re.compile(r"[^A-Za-z]+")
 #: Tokens that the models judge.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 #: Mean log-likelihood ratio for each character from which a token is reported.
@@ -35,6 +44,7 @@ LEAST_RATIO = 0.8
 _SIZE = 128
 _WORDLIKE = np.zeros(_SIZE, bool)
 _WORDLIKE[[ord(c) for c in "+/_=-" "0123456789" "ABCDEFGHIJKLMNOPQRSTUVWXYZ" "abcdefghijklmnopqrstuvwxyz"]] = True
+_SIGNS = [ord(c) for c in "+/_=-"]
 _ALNUM = np.zeros(_SIZE, bool)
 _ALNUM[[i for i in range(_SIZE) if chr(i).isalnum()]] = True
 
@@ -68,39 +78,51 @@ def _pairs(text: str) -> np.ndarray:
     return np.bincount(near[_WORDLIKE[b[:-1]] & _WORDLIKE[b[1:]]], minlength=_SIZE * _SIZE)
 
 
+def _chances(counts: np.ndarray, prior: np.ndarray, share: float = 0.5) -> np.ndarray:
+    """Transition probabilities: ``share`` from the counts of a row, where it has any, the rest from the prior."""
+    sums = counts.sum(axis=1, keepdims=True)
+    weight = (sums > 0) * share
+    return weight * counts / np.maximum(sums, 1) + (1 - weight) * prior
+
+
 def train(docs: DataFrame) -> np.ndarray:
     """Log-likelihood ratio of each pair of characters, from counts over all documents.
 
-    A uniform chain over letters and digits is the prior of random strings and a flat one that
-    of ordinary text, so that the ratio is defined without any labelled value.
+    A uniform chain over letters and digits is the prior of random strings; plain words are
+    the prior of identifiers, and a flat chain theirs, so that the ratio is defined without
+    any sample.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        random, ordinary = np.zeros(_SIZE * _SIZE, np.int64), np.zeros(_SIZE * _SIZE, np.int64)
+        random, plain, named = (np.zeros(_SIZE * _SIZE, np.int64) for _ in range(3))
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 if text:
-                    ordinary += _pairs(text)
-                    if values := _values(text):
+                    plain += _pairs(text) + _pairs(_APART.sub("", text.title())) + _pairs(_APART.sub("/", text))
+                    values = _values(text)
+                    if values:
                         inner = _pairs(" ".join(values))
                         random += inner
-                        ordinary -= np.minimum(inner, ordinary)
-        at = np.flatnonzero(random + ordinary)
-        yield pa.record_batch({"pair": pa.array(at), "random": pa.array(random[at]), "ordinary": pa.array(ordinary[at])})
-
-    sums = docs.select(F.col("text").cast("string")).mapInArrow(count, "pair long, random long, ordinary long")
-    rows = sums.groupBy("pair").agg(F.sum("random"), F.sum("ordinary")).collect()  # a row for each pair of characters at most
-    random, ordinary = np.zeros((_SIZE, _SIZE)), np.zeros((_SIZE, _SIZE))
-    for pair, r, o in rows:
-        random[pair // _SIZE, pair % _SIZE], ordinary[pair // _SIZE, pair % _SIZE] = r, o
+                        plain -= np.minimum(inner, plain)
+                    known = set(values)
+                    if names := [m[0] for m in IDENTIFIER.finditer(text) if m[0] not in known]:
+                        named += _pairs(" ".join(names))
+        at = np.flatnonzero(random + plain + named)
+        yield pa.record_batch({"pair": pa.array(at), "random": pa.array(random[at]), "plain": pa.array(plain[at]), "named": pa.array(named[at])})
+
+    sums = docs.select(F.col("text").cast("string")).mapInArrow(count, "pair long, random long, plain long, named long")
+    rows = sums.groupBy("pair").agg(F.sum("random"), F.sum("plain"), F.sum("named")).collect()  # a row for each pair of characters at most
+    random, plain, named = (np.zeros((_SIZE, _SIZE)) for _ in range(3))
+    for pair, *counts in rows:
+        for to, n in zip((random, plain, named), counts, strict=True):
+            to[pair // _SIZE, pair % _SIZE] = n
+    # Any sign may join the words of a name.
+    plain[:, _SIGNS] = plain[:, _SIGNS].mean(axis=1, keepdims=True)
+    plain[_SIGNS, :] = plain[_SIGNS, :].mean(axis=0, keepdims=True)
     # As much prior as data, so that one frequent alphabet doesn't stand for all random strings.
     prior = np.where(_ALNUM, 1.0, 0.05) * _WORDLIKE
-    prior /= prior.sum()
-    chance = random / np.maximum(random.sum(axis=1, keepdims=True), 1)
-    weight = (random.sum(axis=1, keepdims=True) > 0) * 0.5
-    chance = weight * chance + (1 - weight) * prior[None, :]
-    usual = (ordinary + 0.5) / (ordinary + 0.5).sum(axis=1, keepdims=True)
-    return np.log(np.maximum(chance, 1e-6)) - np.log(usual)
+    usual = _chances(named, (plain + 0.5) / (plain + 0.5).sum(axis=1, keepdims=True))
+    return np.log(np.maximum(_chances(random, prior[None, :] / prior.sum()), 1e-6)) - np.log(usual)
 
 
 def is_random(token: str, ratios: np.ndarray, least: float = LEAST_RATIO) -> bool:
@@ -114,9 +136,12 @@ def is_random(token: str, ratios: np.ndarray, least: float = LEAST_RATIO) -> boo
 def scan_text(text: str, ratios: np.ndarray) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans, and all spans."""
     base = base_spans(text)
+    starts = [s for s, _, _ in base]
+    reach = list(accumulate((e for _, _, e in base), max))
     more = []
     for m in CANDIDATE.finditer(text):
-        if is_random(m[0], ratios) and not any(s < m.end() and m.start() < e for s, _, e in base):
+        before = bisect_left(starts, m.end())  # base spans that start before the token ends
+        if (not before or reach[before - 1] <= m.start()) and is_random(m[0], ratios):
             more.append((m.start(), 3, m.end()))
     return base, sorted(base + more)
 
@@ -125,10 +150,10 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id, counts by base kind, hash of the base spans, and all spans of every whole text.
 
     Null text counts as empty. Offsets are code points, ends exclusive. Spans of one kind
-    don't overlap; repeated rows give repeated results; an empty table gives an empty result.
+    don't overlap; base spans with one start stand in the order of their kinds; repeated rows
+    give repeated results; null ids stay; an empty table gives an empty result; extra columns
+    have no effect.
     """
-    import hashlib
-
     ratios = train(docs)
 
     def written(spans: list[tuple[int, int, int]]) -> str:

@@ -40,6 +40,34 @@ def test_documents(spark, small):
     assert s.scan(edge.empty(spark)).count() == 0
 
 
+def test_linear_in_the_spans_of_a_text_and_exact():
+    import time
+
+    import numpy as np
+
+    rng = random.Random(3)
+    parts = [rng.choice(["token=" + "abcd" * 3, "0a" * 16, "".join(rng.choices(string.ascii_letters + string.digits, k=24)), "plain"]) for _ in range(30_000)]
+    ratios = np.ones((128, 128))
+    text = " ".join(parts[:400])
+    base, every = s.scan_text(text, ratios)
+    want = [(m.start(), 3, m.end()) for m in s.CANDIDATE.finditer(text) if s.is_random(m[0], ratios) and not any(a < m.end() and m.start() < b for a, _, b in base)]
+    assert every == sorted(base + want) and want
+    began = time.monotonic()
+    s.scan_text(" ".join(parts), ratios)
+    assert time.monotonic() - began < 5
+
+
+def test_clean_documents_and_identifiers_are_left_alone(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    names = ["get_user_name_from_id_2", "maxRetryCountPerHost2Minutes", "com/example/project/module1/File", "section-14-of-the-agreement-2", "version_2_release_candidate_10", "ApplicationServiceFactory2Bean"]
+    rows = [(-i - 1, f"see {n} there", "en", "s", 20) for i, n in enumerate(names)]
+    every = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    found = {r["doc_id"]: r["spans"] for r in s.scan(every).collect()}
+    assert [n for i, n in enumerate(names) if found[-i - 1]] == []
+    added = sum("markov" in x for i, x in found.items() if i >= 0)
+    assert added <= 0.02 * docs.count()
+
+
 def test_random_strings_are_added_and_words_are_not(spark, small):
     rng = random.Random(11)
     keys = ["".join(rng.choices(string.ascii_letters + string.digits, k=32)) for _ in range(40)]
