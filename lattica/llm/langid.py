@@ -2,7 +2,7 @@
 
 Document frequencies are counted over every training document. The weights are learnt with
 follow-the-regularised-leader and elastic-net penalties from a bounded sample of labelled
-documents (``per_language`` of each language); a temperature is then fitted on other
+documents of every language; a temperature is then fitted on other
 training documents. Prediction runs over all whole texts where they lie, without a shuffle.
 """
 
@@ -18,12 +18,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import checkpointed, join_sized
+
 #: Hash buckets of n-grams.
 DIMENSIONS = 1 << 14
-#: Bound of the labelled sample: documents of each language, a fifth of them for calibration.
-PER_LANGUAGE = 700
-#: Bound of the classes; rarer languages beyond it are not learnt.
-LANGUAGES = 200
+#: Bounds of the labelled sample, a fifth of which is for calibration: documents of one language,
+#: documents of all (though FEWEST of each language always), bytes of their n-gram counts.
+PER_LANGUAGE, SAMPLE, FEWEST = 700, 20_000, 10
+SAMPLE_BYTES = 256 << 20
 UNDETERMINED = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -122,11 +124,14 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, alpha: float = 0.5, b
     frequency[list(found)] = list(found.values())
     idf = np.log((1 + total) / (1 + frequency)) + 1
 
-    shares = learn.groupBy("lang").agg(F.count("*").alias("labelled")).orderBy(F.desc("labelled"), "lang").limit(LANGUAGES)
-    draw = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 40)) / float(1 << 40)
-    drawn = learn.join(F.broadcast(shares), "lang").withColumn("draw", draw).where(F.col("draw") * F.col("labelled") < 2.0 * per_language)
-    order = Window.partitionBy("lang").orderBy("draw", "doc_id")
-    sample = drawn.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_language).select("lang", "place", "draw", "text")
+    shares = checkpointed(learn.groupBy("lang").agg(F.count("*").alias("labelled")))
+    classes = max(1, shares.count())
+    own = max(FEWEST, min(per_language, SAMPLE // classes))
+    # The text counts too, so that rows without a doc_id are drawn each for itself.
+    draw = F.pmod(F.xxhash64(F.lit("langid"), "doc_id", "text"), F.lit(1 << 40)) / float(1 << 40)
+    drawn = join_sized(learn, shares, ["lang"]).withColumn("draw", draw).where(F.col("draw") * F.col("labelled") < 2.0 * own)
+    order = Window.partitionBy("lang").orderBy("draw", "doc_id", F.xxhash64("text"))
+    sample = drawn.withColumn("place", F.row_number().over(order)).where(F.col("place") <= own).select("lang", "place", "draw", "text")
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,17 +139,20 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, alpha: float = 0.5, b
             at = [np.flatnonzero(c) for c in counts]
             yield pa.record_batch({
                 "lang": batch.column("lang"), "place": batch.column("place"), "draw": batch.column("draw"),
-                "buckets": pa.array([a.astype("<i4").tobytes() for a in at], pa.binary()),
+                "buckets": pa.array([a.astype("<u2").tobytes() for a in at], pa.binary()),
                 "counts": pa.array([c[a].astype("<i4").tobytes() for c, a in zip(counts, at, strict=True)], pa.binary()),
             })
 
-    rows = sample.mapInArrow(sparse, "lang string, place int, draw double, buckets binary, counts binary").collect()
+    counted = checkpointed(sample.mapInArrow(sparse, "lang string, place int, draw double, buckets binary, counts binary"))
+    so_far = F.sum(F.length("buckets") + F.length("counts")).over(Window.partitionBy("lang").orderBy("place"))
+    within = (F.col("so_far") <= SAMPLE_BYTES // classes) | (F.col("place") <= FEWEST)
+    rows = counted.withColumn("so_far", so_far).where(within).drop("so_far").collect()  # bounded by SAMPLE and SAMPLE_BYTES
     languages = sorted({r["lang"] for r in rows})
     model = Model(languages, idf, np.zeros((DIMENSIONS, len(languages)), np.float32), np.zeros(len(languages), np.float32), 1.0)
     fitted, calibrating = [], []
     for r in sorted(rows, key=lambda r: (r["draw"], r["lang"], r["place"])):
         counts = np.zeros(DIMENSIONS, np.int64)
-        counts[np.frombuffer(r["buckets"], "<i4")] = np.frombuffer(r["counts"], "<i4")
+        counts[np.frombuffer(r["buckets"], "<u2")] = np.frombuffer(r["counts"], "<i4")
         (calibrating if r["place"] % 5 == 0 else fitted).append((*model.features(counts), languages.index(r["lang"])))
     if languages:
         model.weights, model.bias = _train(fitted, len(languages), alpha, beta, l1, l2, epochs)
@@ -165,10 +173,11 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of ``docs`` with lang_pred and score, which replace columns of these names.
 
     ``und`` with score 0 stands for null texts, texts without any letter, and for every text
-    where nothing could be learnt. Repeated rows get equal predictions.
+    where nothing could be learnt. Repeated rows get equal predictions; of languages that are
+    equally likely the first by name counts.
     """
     kept = docs.drop("lang_pred", "score")
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is set by DIMENSIONS and LANGUAGES
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # one row of DIMENSIONS weights for each language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,7 +204,10 @@ def identified(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
 
 
 def recognised(docs: DataFrame, least: float = 0.4, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """The documents whose language is recognised: any but ``und``, with a score of ``least`` or more. All columns stay."""
+    """The documents whose language is recognised: any but ``und``, with a score of ``least`` or more. All columns stay.
+
+    Null ids stay, repeated rows stay or go together, an empty table gives an empty result.
+    """
     model = fit(docs.select("doc_id", F.col("text").cast("string"), F.col("lang").cast("string")), per_language)
     columns = docs.columns
     judged = predict(docs.select(F.struct(*columns).alias("row"), F.col("text").cast("string").alias("text")), model)

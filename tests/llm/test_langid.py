@@ -30,6 +30,59 @@ def test_labels_of_held_out_documents_change_nothing(spark, small):
     assert key(docs) == key(other)
 
 
+def test_training_equals_a_plain_version():
+    import math
+    import random
+
+    import numpy as np
+
+    rng = random.Random(7)
+    rows = []
+    for _ in range(60):
+        at = sorted(rng.sample(range(12), 4))
+        values = [rng.random() for _ in at]
+        rows.append((np.array(at), np.array(values), rng.randrange(3)))
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.5, 1e-3
+    z, n = ([[0.0] * 3 for _ in range(13)] for _ in range(2))
+
+    def weight(f, c):
+        if abs(z[f][c]) <= l1:
+            return 0.0
+        return -(z[f][c] - math.copysign(l1, z[f][c])) / ((beta + math.sqrt(n[f][c])) / alpha + l2)
+
+    for _ in range(2):
+        for at, values, label in rows:
+            own = [*((12, 1.0),), *zip(at.tolist(), values.tolist(), strict=True)]
+            w = {f: [weight(f, c) for c in range(3)] for f, _ in own}
+            scores = [sum(w[f][c] * x for f, x in own) for c in range(3)]
+            top = max(scores)
+            p = [math.exp(s - top) for s in scores]
+            for f, x in own:
+                for c in range(3):
+                    g = x * (p[c] / sum(p) - (c == label))
+                    z[f][c] += g - (math.sqrt(n[f][c] + g * g) - math.sqrt(n[f][c])) / alpha * w[f][c]
+                    n[f][c] += g * g
+    weights, bias = langid._train(rows, 3, alpha, beta, l1, l2, 2)
+    # In the operator the bias stands behind all features.
+    assert np.allclose(weights[:12], [[weight(f, c) for c in range(3)] for f in range(12)], atol=1e-6)
+    assert np.allclose(bias, [weight(12, c) for c in range(3)], atol=1e-6) and not weights[12:].any()
+    assert (weights[:12] == 0).any()  # sparse
+
+
+def test_every_language_is_learnt_within_bounds(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE", 300)
+    syllables = [a + b for a in "bdfgklmnprstvz" for b in "aeiou"]
+    rows = []
+    for lang in range(60):
+        own = [syllables[(lang * 7 + k * k) % len(syllables)] + syllables[(lang * 3 + k) % len(syllables)] for k in range(12)]
+        rows += [(lang * 100 + i, " ".join(own[(i * 5 + j * (1 + i % 3)) % 12] for j in range(40)), f"l{lang:02d}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert len(model.languages) == 60
+    right = sum(model.predict(t)[0] == lang for _, t, lang in rows[::7])
+    assert right / len(rows[::7]) > 0.9
+
+
 def test_nothing_to_learn_from(spark, small):
     docs = edge.documents(spark, small).withColumn("lang", F.lit(None).cast("string"))
     assert {r["lang_pred"] for r in langid.identified(docs).collect()} == {"und"}
