@@ -19,7 +19,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
 from .packing import chunks, default_tokenizer
 from .tokens import encoder
 
@@ -185,9 +184,8 @@ def counted(docs: DataFrame, tokenizer: str | None = None, edits: Callable[[str]
     """Tokens of every whole text before and after its edits.
 
     Columns: doc_id, n_chars, n_tokens, edited_chars, edited_tokens, encoded_chars (code points
-    encoded again for the edits). The trees are saved, then read again and edited. Null text
-    counts as empty; repeated rows are counted each for itself; an empty table gives an empty
-    result.
+    encoded again for the edits). Trees go straight on to their edits here; to edit them later,
+    write ``trees`` to a table. Null text counts as empty; repeated rows are counted each for
+    itself; an empty table gives an empty result.
     """
-    saved = checkpointed(trees(docs, tokenizer, span))
-    return edited(saved, edits, tokenizer, span, keep=False)
+    return edited(trees(docs, tokenizer, span), edits, tokenizer, span, keep=False)
