@@ -256,8 +256,13 @@ def repeated_windows(keyed: DataFrame, texts: DataFrame, window: int = WINDOW, g
     ``keyed`` has id_key, k1, k2 and text, ``texts`` k1, k2, copies and id_key, the least of each text.
     """
     found = anchors(keyed, window)
-    prefixes = found.groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1").select("prefix", (F.col("n") > group).alias("large"))
-    shared = found.join(prefixes, "prefix").groupBy("k1", "k2").agg(F.collect_set(F.struct("prefix", "packed", "large")).alias("shared"))
+    prefixes = checkpointed(found.groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1"))
+    # The suffixes of a frequent prefix are dealt out by their texts before they meet its count.
+    salts = F.floor(F.col("n") / _SUFFIXES).cast("long") + 1
+    frequent = prefixes.where(F.col("n") >= _SUFFIXES).select("prefix", salts.alias("salts"))
+    dealt = join_sized(found, frequent, ["prefix"], "left").withColumn("salt", F.coalesce(F.pmod("k1", "salts"), F.lit(0)))
+    counted = prefixes.select("prefix", (F.col("n") > group).alias("large"), F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"))
+    shared = dealt.join(counted, ["prefix", "salt"]).groupBy("k1", "k2").agg(F.collect_set(F.struct("prefix", "packed", "large")).alias("shared"))
     chosen = shared.join(texts, ["k1", "k2"]).select("k1", "k2", "id_key", (F.col("copies") > 1).alias("copied"), "shared")
     with_text = keyed.join(chosen, ["k1", "k2", "id_key"]).select("k1", "k2", "text", "copied", "shared")
     parts = checkpointed(slices(with_text, window))
