@@ -22,8 +22,6 @@ from .common import WORD, checkpointed, empty_if_null, join_sized
 WEIGHTS = (1, 2, 3)
 #: A target stops at so many times its source's size.
 MOST = 3
-#: Documents of one source that are put in order, about: the part of the order where it is cut.
-PART_ROWS = 20_000
 _BEFORE = (Window.unboundedPreceding, -1)
 _FROM_HERE = (0, Window.unboundedFollowing)
 
@@ -101,13 +99,13 @@ def _placed(rows: DataFrame, plan: DataFrame, seed: str) -> DataFrame:
     uniform = (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 52)
     chance = F.col("factor") * F.col("weight")
     ranks = (F.col("share") > 0) & (F.col("size") > 0)
-    # Only the part where the order is cut is sorted. That is near odds of 1, where a part holds
+    # As many parts as a part has documents. Only the one where the order is cut is sorted. That is near odds of 1, where a part holds
     # 4 * chance * (1 - chance) times the average or less, whatever the probabilities are.
     return (
         joined.withColumn("certain", ranks & (chance >= 1))
         .withColumn("open", ranks & (chance < 1))
         .withColumn("odds", F.when(F.col("open"), uniform / (1 - uniform) / (chance / (1 - chance))))
-        .withColumn("part", F.when(F.col("open"), F.floor((1 - 1 / (1 + F.col("odds"))) * F.ceil(F.col("n_docs") / PART_ROWS))))
+        .withColumn("part", F.when(F.col("open"), F.floor((1 - 1 / (1 + F.col("odds"))) * F.ceil(F.sqrt("n_docs")))))
     )
 
 

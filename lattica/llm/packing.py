@@ -15,6 +15,7 @@ source's deficit within about one token at every window's end.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator, Mapping
 
@@ -28,8 +29,6 @@ from .tokens import encoder
 
 LENGTH = 4096
 END = 2
-#: Documents of a part of a queue, about; parts are summed up before single documents are.
-PART_ROWS = 20_000
 #: Queues at most. With more sources, all but the largest share the last queue.
 QUEUES = 1024
 
@@ -169,15 +168,16 @@ def packed(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH,
     lengths = [n for *_, n in queues] + [n for _, n in shared]
     given = None if weights is None else [float(weights.get(s, 1.0)) for s, *_ in queues] + [1.0] * len(shared)
     schedule = Schedule(lengths, length, given)
-    named = [(s is not None, s or "", i, d // PART_ROWS + 1) for i, (s, d, _) in enumerate(queues)]
+    named = [(s is not None, s or "", i, math.isqrt(d) + 1) for i, (s, d, _) in enumerate(queues)]
     lanes = F.broadcast(spark.createDataFrame(named, "source_known boolean, source_key string, queue int, parts long"))  # QUEUES rows at most
 
     keyed = tokens.select("row", "source", "doc_id", "n", F.xxhash64("doc_id", "ids").alias("place"))
     keyed = keyed.withColumn("source_known", F.col("source").isNotNull()).withColumn("source_key", F.coalesce("source", F.lit("")))
     laned = keyed.join(lanes, ["source_known", "source_key"], "left").withColumn("queue", F.coalesce("queue", F.lit(len(queues))))
+    # As many parts of a queue as a part has documents; parts are summed up before single documents are.
     # The order within a queue follows from doc_id and ids alone, so that reruns agree however rows are stored.
     top = F.shiftrightunsigned("place", 32)
-    known = laned.withColumn("top", top).withColumn("part", F.shiftright(top * F.coalesce("parts", F.lit(rest[0] // PART_ROWS + 1)), 32))
+    known = laned.withColumn("top", top).withColumn("part", F.shiftright(top * F.coalesce("parts", F.lit(math.isqrt(rest[0]) + 1)), 32))
     sums = checkpointed(known.groupBy("queue", "part").agg(F.sum("n").alias("part_n")))
     earlier = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = sums.select("queue", "part", F.coalesce(F.sum("part_n").over(earlier), F.lit(0)).alias("before"))

@@ -79,8 +79,7 @@ def test_words_that_are_certain_and_equal_rows_at_the_cut(spark):
     assert len(equal) == 3 and abs(sum(equal) * 10_000 - 2 * 40_900 / 3) <= 5_000
 
 
-def test_little_of_a_source_is_sorted(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "PART_ROWS", 100)
+def test_little_of_a_source_is_sorted(spark):
     sized = _two_sources(spark, 4000)
     plan = mixing.cuts(sized)
     sorted_at_once = mixing._placed(sized, plan, "mix").where("open and part = stop_part").groupBy("rank").count().collect()
