@@ -39,7 +39,12 @@ def period_contains(period: Column, day: Column) -> Column:
     return F.coalesce(day.between(period_start(period), period_end(period)), F.lit(False))
 
 
-def active_status(status: Column, inactive: tuple[str, ...] = ("cancel", "expire", "suspend", "취소", "만료", "정지")) -> Column:
+# Words of a status that ends a registration.
+INACTIVE = ("말소", "폐업", "취소", "정지", "만료", "유효기간경과")
+
+
+def active_status(status: Column, inactive: tuple[str, ...] = INACTIVE) -> Column:
+    """Whether a status names none of these words; a null status is active."""
     return ~F.coalesce(squeezed(status).rlike("|".join(inactive)), F.lit(False))
 
 

@@ -15,10 +15,13 @@ from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage through the shared folder in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """Cuts the lineage through the shared folder in spark.checkpoint.dir; a temporary one only where that is unset and Spark runs on one machine."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
 
 
@@ -113,12 +116,13 @@ def windows(start: str, end: str, days: int, spark) -> DataFrame:
     return each.select("window_start", F.least(F.date_add("window_start", days - 1), F.col("z")).alias("window_end"))
 
 
-def covered(rows: DataFrame, group: str, failed: Column, links: Sequence[str], key: str, rounds: int = 20) -> DataFrame:
+def covered(rows: DataFrame, group: str, failed: Column, links: Sequence[str], key: str, rounds: int = 10_000) -> DataFrame:
     """Failed rows that some row of their group, not failed, covers over shared values of ``links``, directly or through others.
 
-    Labels spread until no row gains cover; each round is one aggregate for each link.
+    Labels spread until no row gains cover; each round is one aggregate for each link, and
+    spreads over every link in turn. Raises if that takes more than ``rounds``.
     """
-    state = rows.select(group, key, *links, failed.alias("failed"), (~failed).alias("covered"))
+    state = checkpointed(rows.select(group, key, *links, failed.alias("failed"), (~failed).alias("covered")))
     before = -1
     for _ in range(rounds):
         reached = state
@@ -130,4 +134,6 @@ def covered(rows: DataFrame, group: str, failed: Column, links: Sequence[str], k
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError("cover did not settle")
     return state.where("failed and covered").select(group, key)

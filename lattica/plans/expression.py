@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import logic
+from ..operators.state import checkpointed
 
 
 def compiled(placements: DataFrame, case: str = "case_id") -> DataFrame:
@@ -41,15 +42,17 @@ def compiled(placements: DataFrame, case: str = "case_id") -> DataFrame:
 def folded(nodes: DataFrame, outcomes: DataFrame, depth: int) -> DataFrame:
     """tree_id and outcome of the root, from outcomes (tree_id, leaf_id, outcome).
 
-    One aggregate for each level, from the deepest up; ``depth`` is the greatest depth, the
+    One aggregate for each level, from the deepest up, over that level and its leaves alone;
+    ``depth`` is the greatest depth, the
     root's is 0. Missing leaves, operators without children, a not with other than one child
     and unknown operators need review.
     """
-    leaves = nodes.where("op = 'leaf'").join(outcomes, ["tree_id", "leaf_id"], "left")
-    known = leaves.select("tree_id", "node_id", "parent_id", "depth", F.coalesce("outcome", F.lit(logic.REVIEW)).alias("outcome"))
+    found = nodes.where("op = 'leaf'").join(outcomes, ["tree_id", "leaf_id"], "left")
+    leaves = checkpointed(found.select("tree_id", "node_id", "parent_id", "depth", F.coalesce("outcome", F.lit(logic.REVIEW)).alias("outcome")))
     inner = nodes.where("op <> 'leaf'")
+    known = leaves.where(F.col("depth") == depth)
     for level in range(depth - 1, -1, -1):
-        below = known.where(F.col("depth") == level + 1).groupBy("tree_id", F.col("parent_id").alias("node_id")).agg(
+        below = known.groupBy("tree_id", F.col("parent_id").alias("node_id")).agg(
             F.min("outcome").alias("least"), F.max("outcome").alias("most"), F.count("*").alias("n")
         )
         here = inner.where(F.col("depth") == level).join(below, ["tree_id", "node_id"], "left")
@@ -60,7 +63,7 @@ def folded(nodes: DataFrame, outcomes: DataFrame, depth: int) -> DataFrame:
             .when((F.col("op") == "not") & (F.col("n") == 1), 2 - F.col("least"))
             .otherwise(logic.REVIEW)
         )
-        known = known.union(here.select("tree_id", "node_id", "parent_id", "depth", result.alias("outcome")))
+        known = leaves.where(F.col("depth") == level).union(here.select("tree_id", "node_id", "parent_id", "depth", result.alias("outcome")))
     return known.where("parent_id is null").select("tree_id", "outcome")
 
 

@@ -25,14 +25,15 @@ ORDER_GRAPH = graph.Mapping(
         ),
     ],
     [graph.Link("placed", "customer", "order")],
+    ontology="erp",
 )
 
 
 @query("""
 WITH p AS (SELECT * FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01' AND o_orderdate <= TIMESTAMP '1997-12-31' AND o_orderpriority ILIKE '%urgent%'
   ORDER BY o_orderdate DESC NULLS LAST, o_orderkey LIMIT 20),
-c AS (SELECT DISTINCT o_custkey, sha256('customer:{"number":"' || o_custkey || '"}') AS id FROM p),
-o AS (SELECT p.*, sha256('order:{"number":"' || o_orderkey || '","parents":["' || c.id || '"]}') AS id, c.id AS parent FROM p JOIN c USING (o_custkey))
+c AS (SELECT DISTINCT o_custkey, sha256('erp:customer:{"number":"' || o_custkey || '","parents":[]}') AS id FROM p),
+o AS (SELECT p.*, sha256('erp:order:{"number":"' || o_orderkey || '","parents":["' || c.id || '"]}') AS id, c.id AS parent FROM p JOIN c USING (o_custkey))
 SELECT 'object' AS kind, 'customer' AS type, id, NULL AS target, CAST(o_custkey AS VARCHAR) AS number FROM c
 UNION ALL SELECT 'object', 'order', id, NULL, CAST(o_orderkey AS VARCHAR) FROM o
 UNION ALL SELECT 'link', 'placed', parent, id, NULL FROM o
@@ -53,21 +54,23 @@ def search_capability(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""
-WITH c AS (SELECT DISTINCT o_custkey, sha256('customer:{"number":"' || o_custkey || '"}') AS cid FROM orders)
+WITH c AS (SELECT DISTINCT o_custkey, sha256('erp:customer:{"number":"' || o_custkey || '","parents":[]}') AS cid FROM orders)
 SELECT 'customer' AS object_type, cid AS object_id, CAST(o_custkey AS VARCHAR) AS number, NULL AS status, NULL AS ordered_on, NULL AS system, count(*) AS n_records FROM orders JOIN c USING (o_custkey) GROUP BY cid, o_custkey
-UNION ALL SELECT 'order', sha256('order:{"number":"' || o_orderkey || '","parents":["' || cid || '"]}'), CAST(o_orderkey AS VARCHAR), o_orderstatus, strftime(o_orderdate, '%Y%m%d'), 'erp', 1 FROM orders JOIN c USING (o_custkey)
+UNION ALL SELECT 'order', sha256('erp:order:{"number":"' || o_orderkey || '","parents":["' || cid || '"]}'), CAST(o_orderkey AS VARCHAR), o_orderstatus, strftime(o_orderdate, '%Y%m%d'), 'erp', 1 FROM orders JOIN c USING (o_custkey)
 """)
 def graph_objects(spark: SparkSession, folder: str) -> DataFrame:
     """All objects with their properties and the number of records that state them."""
     rows = table(spark, folder, "orders")
     p = F.col("properties")
-    found = graph.objects(graph.fragments(rows, ORDER_GRAPH, F.col("o_orderdate").cast("string")))
-    return found.select("object_type", "object_id", *[p[n].alias(n) for n in ("number", "status", "ordered_on", "system")], F.size("record_keys").cast("long").alias("n_records"))
+    found = graph.fragments(rows, ORDER_GRAPH, F.col("o_orderdate").cast("string"))
+    counts = found.groupBy("object_type", "object_id").agg(F.count("*").alias("n_records"))
+    joined = graph.merged(found).join(counts, ["object_type", "object_id"])
+    return joined.select("object_type", "object_id", *[p[n].alias(n) for n in ("number", "status", "ordered_on", "system")], "n_records")
 
 
 @query("""
-SELECT 'placed' AS link_type, sha256('customer:{"number":"' || o_custkey || '"}') AS source_id,
-  sha256('order:{"number":"' || o_orderkey || '","parents":["' || sha256('customer:{"number":"' || o_custkey || '"}') || '"]}') AS target_id, count(*) AS n_records FROM orders GROUP BY ALL
+SELECT 'placed' AS link_type, sha256('erp:customer:{"number":"' || o_custkey || '","parents":[]}') AS source_id,
+  sha256('erp:order:{"number":"' || o_orderkey || '","parents":["' || sha256('erp:customer:{"number":"' || o_custkey || '","parents":[]}') || '"]}') AS target_id, count(*) AS n_records FROM orders GROUP BY ALL
 """)
 def graph_links(spark: SparkSession, folder: str) -> DataFrame:
     """Links between the objects of each record."""
@@ -75,7 +78,7 @@ def graph_links(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""
-SELECT 'customer' AS object_type, sha256('customer:{"number":"' || o_custkey || '"}') AS object_id, 'erp' AS source,
+SELECT 'customer' AS object_type, sha256('erp:customer:{"number":"' || o_custkey || '","parents":[]}') AS object_id, 'erp' AS source,
   string_agg('list_orders:' || o_orderkey, ',' ORDER BY 'list_orders:' || o_orderkey) AS record_keys FROM orders GROUP BY o_custkey
 """)
 def object_provenance(spark: SparkSession, folder: str) -> DataFrame:
@@ -255,20 +258,80 @@ def rule_assessment(spark: SparkSession, folder: str) -> DataFrame:
     kinds = {"click": "industry", "view": "business_status", "purchase": "qualification", "error": "supplier"}
     e = table(spark, folder, "events")
     day = F.to_date("ts")
+    # Codes have one length, so that none is part of another.
     facts = e.where(F.col("event_type").isin(*kinds)).select(
-        F.col("user_id").alias("company_id"), codecs.coded(F.col("event_type"), kinds).alias("fact_type"), F.get_json_object("props", "$.k").alias("code"),
-        F.lit(None).cast("string").alias("name"), F.when((F.col("event_type") == "view") & (F.col("value") > 5), "active").when(F.col("event_type") == "view", "closed").alias("status"),
+        F.col("user_id").alias("company_id"), codecs.coded(F.col("event_type"), kinds).alias("fact_type"), F.lpad(F.get_json_object("props", "$.k"), 3, "0").alias("code"),
+        F.lit("women_owned_business").alias("kind"), F.when((F.col("event_type") == "view") & (F.col("value") > 5), "active").when(F.col("event_type") == "view", "closed").alias("status"),
         F.when(F.col("event_type") == "purchase", day).alias("valid_from"), F.when(F.col("event_type") == "purchase", F.date_add(day, 10)).alias("valid_until"),
     )
     rule = codecs.coded(F.col("o_orderpriority"), {"1-URGENT": "industry_registration_matches", "2-HIGH": "business_status_active", "3-MEDIUM": "qualification_valid", "5-LOW": "procurement_supplier_registered"})
-    none = F.lit(None)
     requirements = table(spark, folder, "orders").select(
-        F.col("o_custkey").alias("company_id"), F.col("o_orderkey").alias("notice_id"), rule.alias("rule"), F.array(F.lit("7")).alias("expected"),
-        none.cast("string").alias("mode"), none.cast("boolean").alias("allowed"), none.cast("boolean").alias("absence_expected"),
+        F.col("o_custkey").alias("company_id"), F.col("o_orderkey").alias("notice_id"), rule.alias("rule"),
+        F.lit('{"expected_value": ["007"], "qualification_type": "women_owned_business"}').alias("arguments"),
     )
     return rules.assess(requirements, facts, F.lit("2024-01-15").cast("date")).select("company_id", "notice_id", "outcome", "reason")
 
 
+@query("""
+WITH q AS (SELECT o_orderkey AS notice_id, o_custkey AS company_id, o_orderkey % 10 AS k, o_orderstatus AS s, substr(o_orderpriority, 1, 1) AS p FROM orders),
+f AS (SELECT o_custkey AS company_id, l_linenumber AS t, l_partkey AS code, l_suppkey % 7 AS sup, l_returnflag AS flag, l_linestatus AS st, l_shipdate::DATE AS d FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+a AS (SELECT company_id, count(*) FILTER (t = 1) AS n1, bool_or(t = 1 AND flag = 'N') AS open, count(*) FILTER (t = 2) AS n2,
+  list(DISTINCT sup) FILTER (t = 2) AS regions, list(DISTINCT code % 50) FILTER (t = 3) AS i_all, list(DISTINCT code % 50) FILTER (t = 3 AND flag <> 'R' AND d <= DATE '1996-01-01') AS i_active,
+  bool_or(t = 4 AND d <= DATE '1996-01-01' AND DATE '1996-01-01' <= d + 900) AS q_valid, count(*) FILTER (t = 4) AS n4,
+  list(DISTINCT code % 50) FILTER (t = 5 AND d <= DATE '1996-01-01') AS certs, list(DISTINCT code % 50) FILTER (t = 6) AS products, bool_or(t = 7 AND d <= DATE '1996-01-01' AND DATE '1996-01-01' <= d + 900) AS barred
+  FROM f GROUP BY 1)
+SELECT notice_id, CASE k
+  WHEN 0 THEN CASE WHEN coalesce(n1, 0) = 0 THEN 'evidence_missing' WHEN open THEN 'business_active' ELSE 'business_closed' END
+  WHEN 1 THEN CASE WHEN coalesce(n2, 0) > 0 THEN 'procurement_supplier_registered' ELSE 'procurement_supplier_not_registered' END
+  WHEN 2 THEN CASE WHEN coalesce(list_contains(i_active, company_id % 50), false) THEN 'industry_code_matched' WHEN coalesce(list_contains(i_all, company_id % 50), false) THEN 'industry_registration_inactive' ELSE 'industry_code_mismatched' END
+  WHEN 3 THEN CASE WHEN s = 'P' THEN 'ambiguous_requirement' WHEN coalesce(n2, 0) = 0 THEN 'evidence_missing' WHEN list_contains(regions, company_id % 7) THEN 'region_matched' ELSE 'region_mismatched' END
+  WHEN 4 THEN CASE s WHEN 'F' THEN CASE WHEN coalesce(q_valid, false) THEN 'qualification_valid' WHEN coalesce(n4, 0) > 0 THEN 'qualification_expired' ELSE 'qualification_missing' END
+    WHEN 'O' THEN 'qualification_missing' ELSE 'unsupported_qualification_type' END
+  WHEN 5 THEN CASE WHEN s = 'F' THEN 'ambiguous_requirement' ELSE 'company_scale_document_required' END
+  WHEN 6 THEN CASE p WHEN '1' THEN 'single_participation_selected' WHEN '2' THEN 'ambiguous_participation_mode' WHEN '3' THEN 'consortium_participation_allowed' WHEN '4' THEN 'ambiguous_requirement' ELSE 'consortium_participation_prohibited' END
+  WHEN 7 THEN CASE WHEN CASE WHEN s = 'F' THEN len(coalesce(certs, [])) > 0 ELSE coalesce(list_contains(certs, company_id % 50), false) END THEN 'direct_production_matched' ELSE 'direct_production_mismatched' END
+  WHEN 8 THEN CASE WHEN coalesce(list_contains(products, company_id % 50), false) THEN 'product_registration_matched' ELSE 'product_registration_mismatched' END
+  ELSE CASE WHEN s = 'P' THEN 'ambiguous_requirement' WHEN coalesce(barred, false) THEN 'active_sanction_found' ELSE 'active_sanction_not_found' END END AS reason
+FROM q LEFT JOIN a USING (company_id)
+""")
+def rule_outcomes(spark: SparkSession, folder: str) -> DataFrame:
+    """K11a-K11j C16 C17 D15 I55 I56: each of the ten evaluators, with arguments, values and facts of every kind."""
+    o, lines = table(spark, folder, "orders"), table(spark, folder, "lineitem")
+    kinds = {1: "business_status", 2: "supplier", 3: "industry", 4: "qualification", 5: "product_certificate", 6: "product_registration", 7: "sanction"}
+    day, number = F.to_date("l_shipdate"), F.col("l_linenumber")
+    code = F.concat(F.lit("c"), F.lpad((F.col("l_partkey") % 50).cast("string"), 2, "0"))
+    facts = lines.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.col("o_custkey").alias("company_id"), codecs.coded(number.cast("string"), {str(k): v for k, v in kinds.items()}).alias("fact_type"),
+        F.concat_ws(":", F.col("l_orderkey").cast("string"), number.cast("string")).alias("object_id"), F.when(number != 2, code).alias("code"),
+        F.when(number == 2, F.concat(F.lit("Region ("), (F.col("l_suppkey") % 7).cast("string"), F.lit("), Main St."))).alias("address"),
+        F.when(number == 1, F.when(F.col("l_returnflag") == "N", "active").otherwise("closed")).when((number == 3) & (F.col("l_returnflag") == "R"), " 등록 말소 ").alias("status"),
+        F.when(number == 4, "women_owned_business").alias("kind"), F.when(number.isin(3, 4, 5, 7), day).alias("valid_from"), F.when(number.isin(4, 7), F.date_add(day, 900)).alias("valid_until"),
+    )
+    names = ["business_status_active", "procurement_supplier_registered", "industry_registration_matches", "participation_region_matches", "qualification_valid",
+             "company_scale_qualification_valid", "consortium_participation_allowed", "product_certificate_valid", "product_registration_matches", "no_active_sanction"]
+    status, priority, k = F.col("o_orderstatus"), F.substring("o_orderpriority", 1, 1), F.col("o_orderkey") % 10
+    own = F.concat(F.lit("C-"), F.lpad((F.col("o_custkey") % 50).cast("string"), 2, "0"))
+    arguments = (
+        F.when(k == 2, F.concat(F.lit('{"expected_value": ["'), own, F.lit('"]}')))
+        .when((k == 4) & (status == "O"), '{"qualification_type": "innobiz"}').when((k == 4) & (status == "P"), '{"qualification_type": "other"}')
+        .when((k == 5) & (status == "F"), '{"company_scale": []}').when(k == 5, '{"company_scale": "small"}')
+        .when((k == 6) & (priority == "5"), '{"consortium_allowed": "no"}')
+        .when((k == 7) & (status != "F"), F.concat(F.lit('{"product_code": "c'), F.lpad((F.col("o_custkey") % 50).cast("string"), 2, "0"), F.lit('"}')))
+        .otherwise("not an object")
+    )
+    value = (
+        F.when((k == 3) & (status != "P"), F.concat(F.lit('{"items": ["region '), (F.col("o_custkey") % 7).cast("string"), F.lit(', main"]}')))
+        .when((k == 6) & (priority == "3"), '{"boolean": true}').when(k == 8, F.concat(F.lit('{"attributes": [{"name": "code", "value": "'), own, F.lit('"}]}')))
+    )
+    requirements = o.select(
+        F.col("o_custkey").alias("company_id"), F.col("o_orderkey").alias("notice_id"), F.get(F.array(*[F.lit(n) for n in names]), k.cast("int")).alias("rule"),
+        F.when(status == "F", "is_valid_women_owned_business").alias("rule_id"), arguments.alias("arguments"), value.alias("value"),
+        F.when(status == "F", "not_exists").alias("operator"), F.when(status == "O", "제재 없음").alias("original_text"),
+        F.when(priority == "2", "other").when(priority.isin("3", "4", "5"), "consortium").alias("mode"),
+    )
+    return rules.assess(requirements, facts, F.lit("1996-01-01").cast("date")).select("notice_id", "reason")
+
+
 @query("""
 SELECT o_orderkey, strftime(o_orderdate, '%Y%m%d') AS day, lpad(CAST(year(o_orderdate) AS VARCHAR), 4, '0') AS year, CAST(o_totalprice AS DECIMAL(38,2))::DOUBLE AS price,
   o_orderstatus = 'F' AS finished, list_distinct_names AS parts FROM (SELECT *, [split_part(o_orderpriority, '-', 1), split_part(o_orderpriority, '-', 2)] AS list_distinct_names FROM orders)

@@ -19,13 +19,17 @@ REFINE = 900
 
 
 def paragraphs(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Key, page, block_index and text of the paragraphs: pages end at form feeds, paragraphs at blank lines."""
-    pages = docs.select(key, F.posexplode(F.split(text, "\f")).alias("page", "_page_text"))
-    parts = pages.select(key, (F.col("page") + 1).alias("page"), F.posexplode(F.split("_page_text", r"\n[ \t]*\n")).alias("place", "_text"))
-    kept = parts.select(key, "page", "place", F.trim(F.regexp_replace("_text", r"^\s+|\s+$", "")).alias("text")).where("text <> ''")
-    from pyspark.sql import Window
+    """Key, page, block_index and text of the paragraphs: pages end at form feeds, paragraphs at blank lines.
 
-    return kept.withColumn("block_index", F.row_number().over(Window.partitionBy(key).orderBy("page", "place")) - 1).drop("place")
+    A document's blocks are numbered within its row, without a shuffle.
+    """
+
+    def blocks_of(page: Column, at: Column) -> Column:
+        parts = F.transform(F.split(page, r"\n[ \t]*\n"), lambda p: F.trim(F.regexp_replace(p, r"^\s+|\s+$", "")))
+        return F.transform(F.filter(parts, lambda p: p != ""), lambda p: F.struct((at + 1).alias("page"), p.alias("text")))
+
+    every = F.flatten(F.transform(F.split(text, "\f"), blocks_of))
+    return docs.select(key, F.posexplode(every).alias("block_index", "_block")).select(key, "_block.page", "_block.text", "block_index")
 
 
 def parse_diagnostics(blocks: DataFrame, key: str) -> DataFrame:

@@ -68,7 +68,7 @@ def test_codecs(spark):
 def test_matches(spark):
     yes = [match.contains_either(F.lit("A-b (c)"), F.lit("abc")), match.contains_either(F.lit("ab"), F.lit("x a b")), match.valid_on(F.lit(None).cast("date"), F.lit(None).cast("date"), F.current_date()),
            match.period_contains(F.lit("2024-01-01~2024-01-31"), F.lit("2024-01-31").cast("date")), match.ordered_fragments(F.lit("one two three"), F.lit("one ... three"))]
-    no = [match.contains_either(F.lit(""), F.lit("a")), match.contains_either(F.lit(None), F.lit("a")), match.active_status(F.lit("Cancelled")), match.ordered_fragments(F.lit("one two three"), F.lit("three...one"))]
+    no = [match.contains_either(F.lit(""), F.lit("a")), match.contains_either(F.lit(None), F.lit("a")), match.active_status(F.lit("유효 기간 경과")), match.ordered_fragments(F.lit("one two three"), F.lit("three...one"))]
     assert all(one(spark, c) for c in yes) and not any(one(spark, c) for c in no)
 
 
@@ -118,13 +118,19 @@ def test_expressions(spark):
 def test_rules(spark):
     day = F.lit("2024-06-01").cast("date")
     facts = spark.createDataFrame(
-        [(1, "industry", "10", "Road works", None, date(2024, 1, 1), None), (2, "industry", "10", "Road works", "cancelled", None, None), (3, "sanction", None, None, None, date(2024, 1, 1), date(2024, 12, 1)), (4, "qualification", None, None, None, None, date(2024, 1, 1))],
-        "company_id long, fact_type string, code string, name string, status string, valid_from date, valid_until date")
-    need = [(1, 9, "r1", "industry_registration_matches", ["10"], None, None, None, True), (2, 9, "r2", "industry_registration_matches", ["road"], None, None, None, True), (3, 9, "r3", "no_active_sanction", [], None, None, True, True),
-            (4, 9, "r4", "qualification_valid", [], None, None, None, True), (1, 9, "r5", "consortium_participation_allowed", [], "consortium", False, None, True), (1, 9, "r6", None, [], None, None, None, False), (1, 8, "r7", "unknown", [], None, None, None, True)]
-    df = spark.createDataFrame(need, "company_id long, notice_id long, requirement_id string, rule string, expected array<string>, mode string, allowed boolean, absence_expected boolean, mandatory boolean")
+        [(1, "industry", "10", "Road works", None, None, date(2024, 1, 1), None), (2, "industry", "10", "Road works", "등록 말소", None, None, None), (3, "sanction", None, None, "취소", None, date(2024, 1, 1), date(2024, 12, 1)),
+         (4, "qualification", None, None, None, "disabled_owned_business", None, date(2024, 1, 1)), (4, "venture_disclosure", None, None, None, None, None, None)],
+        "company_id long, fact_type string, code string, name string, status string, kind string, valid_from date, valid_until date")
+    kind = lambda k: f'{{"qualification_type": "{k}"}}'
+    need = [(1, 9, "r1", "industry_registration_matches", '{"expected_value": "100"}', None, None, None, True), (2, 9, "r2", "industry_registration_matches", '{"expected_value": ["road"]}', None, None, None, True),
+            (3, 9, "r3", "no_active_sanction", None, None, "not_exists", None, True), (4, 9, "r4", "qualification_valid", kind("disabled_owned_business"), None, None, None, True),
+            (4, 9, "r8", "qualification_valid", kind("women_owned_business"), None, None, None, False), (4, 9, "r9", "qualification_valid", kind("venture_business"), None, None, None, False),
+            (1, 9, "r5", "consortium_participation_allowed", None, '{"boolean": false}', None, "consortium", True), (1, 9, "r10", "consortium_participation_allowed", None, None, None, None, False),
+            (1, 9, "r6", None, None, None, None, None, False), (1, 8, "r7", "unknown", None, None, None, None, True)]
+    df = spark.createDataFrame(need, "company_id long, notice_id long, requirement_id string, rule string, arguments string, value string, operator string, mode string, mandatory boolean")
     got = {r["requirement_id"]: r["reason"] for r in rules.assess(df, facts, day).collect()}
-    assert got == {"r1": "industry_code_matched", "r2": "industry_registration_inactive", "r3": "active_sanction_found", "r4": "qualification_expired", "r5": "consortium_participation_prohibited", "r6": "unsupported_standard_rule", "r7": "unsupported_rule_evaluator"}
+    assert got == {"r1": "industry_code_matched", "r2": "industry_registration_inactive", "r3": "active_sanction_found", "r4": "qualification_expired", "r5": "consortium_participation_prohibited", "r6": "unsupported_standard_rule",
+                   "r7": "unsupported_rule_evaluator", "r8": "qualification_missing", "r9": "qualification_valid", "r10": "single_participation_selected"}
     missing = spark.createDataFrame([(1, "industry")], "company_id long, fact_type string")
     again = {r["requirement_id"]: r["reason"] for r in rules.assess(df, facts, day, missing).collect()}
     assert again["r1"] == "source_unavailable" and again["r5"] == got["r5"]
@@ -133,6 +139,29 @@ def test_rules(spark):
     assert total == {(1, 9): 0, (1, 8): 1, (2, 9): 0, (3, 9): 0, (4, 9): 0}
 
 
+def test_cover_spreads_to_the_end_of_a_chain(spark):
+    rows = [("g", i, f"a{i // 2}", f"b{(i + 1) // 2}", i > 0) for i in range(60)]
+    df = spark.createDataFrame(rows, "g string, id int, x string, y string, bad boolean")
+    assert state.covered(df, "g", F.col("bad"), ["x", "y"], "id").count() == 59
+    with pytest.raises(RuntimeError):
+        state.covered(df, "g", F.col("bad"), ["x", "y"], "id", rounds=3)
+
+
+def test_generated_properties_echo_and_provenance(spark):
+    role = graph.Role("c", "company", ["no"], [graph.Binding("no", ["no"], echo="asked")], id_property="key", timestamps=["seen_at"], ontology="other")
+    m = graph.Mapping("m", "op", ["id"], [role], [graph.Link("same", "c", "c")], ontology="o")
+    df = spark.createDataFrame([(1, "7", "8"), (2, None, "7"), (3, None, None)], "id int, no string, asked string")
+    found = graph.fragments(df, m, F.col("id"), "2024-01-01")
+    (one,) = graph.objects(found).collect()
+    import hashlib
+
+    want = hashlib.sha256(b'other:company:{"no":"7","parents":[]}').hexdigest()
+    assert one["object_id"] == want and one["properties"] == {"no": "7", "key": want, "seen_at": "2024-01-01"} and one["record_keys"] == ["op:1", "op:2"]
+    kinds = {r["name"]: (r["kind"], r["record_key"]) for r in graph.property_provenance(found, m).collect()}
+    assert kinds == {"no": ("source", "op:2"), "key": ("execution", None), "seen_at": ("execution", None)}
+    assert sorted(r["record_key"] for r in graph.link_provenance(df, m).collect()) == ["op:1", "op:2"]
+
+
 def test_graph_merge(spark):
     m = graph.Mapping("m", "op", ["id"], [graph.Role("c", "company", ["no"], [graph.Binding("no", ["no"]), graph.Binding("name", ["name"])])])
     df = spark.createDataFrame([(1, "7", "old", "9"), (2, "7", "", "95"), (3, "", "none", "3"), (4, "7", "new", "10")], "id int, no string, name string, o string")
