@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Text formats of dates and times, and the words of yes and no.
-DATE_FORMATS = ("yyyyMMdd", "yyyy-MM-dd", "yyyy/MM/dd", "yy/MM/dd")
+
 DATETIME_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyyMMddHHmmss", "yyyyMMddHHmm", "yyyy-MM-dd HH:mm")
 YES = ("Y", "YES", "TRUE", "1", "해당")
 NO = ("N", "NO", "FALSE", "0", "미해당")
@@ -142,3 +142,89 @@ CODECS: dict[str, Callable[..., Column]] = {
     "to_integer": to_integer, "to_number": to_number, "yes_no": yes_no, "names": names, "address": address,
     "period_start": period_start, "period_end": period_end, "listing_status": listing_status, "digits": digits,
 }
+
+
+# Meanings of codes.
+OPERATING_STATUS = {"01": "active", "02": "suspended", "03": "closed"}
+TAXATION_TYPE = {
+    "01": "general_taxpayer",
+    "02": "simplified_taxpayer",
+    "03": "special_taxpayer",
+    "04": "tax_exempt_business",
+    "05": "non_profit_or_public_entity",
+    "06": "organization_with_identifier",
+    "07": "simplified_taxpayer_invoice_issuer",
+    "99": "not_applicable",
+}
+VERIFICATION_RESULT = {"01": "verified", "02": "not_verified"}
+
+
+def statement_scope(code: Column, name: Column) -> Column:
+    """Whether a financial statement is consolidated or separate, by words of its code and name or by the code itself."""
+    words = F.lower(F.concat_ws(" ", F.nullif(code, F.lit("")), F.nullif(name, F.lit(""))))
+    return F.when(words.contains("consolidated") | words.contains("연결") | F.coalesce(code == "110", F.lit(False)), "consolidated").when(
+        words.contains("separate") | words.contains("별도") | F.coalesce(code == "120", F.lit(False)), "separate"
+    )
+
+
+def disclosure_status(number: Column) -> Column:
+    return F.when(number != "", "currently_disclosed")
+
+
+def industry_reference(c: Column) -> Column:
+    """``name/code``, ``code`` or a bare name, in brackets or not, as a struct of name, code and text; null if blank."""
+    t = F.trim(F.regexp_replace(F.trim(c), r"^[\[\]]+|[\[\]]+$", ""))
+    pattern = r"^(?:(.+?)\s*/\s*)?([0-9]+)$"
+    fits = t.rlike(pattern)
+    name = F.when(fits, F.nullif(F.trim(F.regexp_extract(t, pattern, 1)), F.lit(""))).otherwise(t)
+    return F.when(t != "", F.struct(name.alias("name"), F.when(fits, F.regexp_extract(t, pattern, 2)).alias("code"), t.alias("text")))
+
+
+def _parts(c: Column) -> Column:
+    """What stands in brackets, or else between commas."""
+    bracketed = F.regexp_extract_all(c, F.lit(r"\[([^\[\]]+)\]"), F.lit(1))
+    split = F.filter(F.split(F.trim(c), r"\s*,\s*"), lambda p: F.trim(p) != "")
+    return F.coalesce(F.when(F.size(bracketed) > 0, bracketed).otherwise(split), F.array().cast("array<string>"))
+
+
+def permitted_industries(c: Column) -> Column:
+    """``[name/code],[name/code]`` or a list with commas as references."""
+    return F.filter(F.transform(_parts(c), industry_reference), lambda r: r.isNotNull())
+
+
+def main_field_groups(c: Column) -> Column:
+    """Groups of fields of which all hold (``^``), one bracket being enough: sequence (the first part if it is a number, else the place), operator and fields."""
+
+    def group(part: Column, at: Column) -> Column:
+        tokens = F.filter(F.transform(F.split(part, r"\^"), lambda x: F.trim(x)), lambda x: x != "")
+        numbered = F.coalesce(F.get(tokens, F.lit(0)).rlike("^[0-9]+$"), F.lit(False))
+        fields = F.when(numbered, F.slice(tokens, 2, F.greatest(F.size(tokens), F.lit(1)))).otherwise(tokens)
+        return F.struct(F.when(numbered, F.get(tokens, F.lit(0))).otherwise((at + 1).cast("string")).alias("sequence"), F.lit("all").alias("operator"), fields.alias("fields"))
+
+    return F.filter(F.transform(_parts(c), group), lambda g: F.size(g["fields"]) > 0)
+
+
+def file_stem(name: Column) -> Column:
+    """The last part of a path without its last extension, in lower case; a leading dot begins no extension."""
+    base = F.regexp_extract(F.trim(name), r"([^/]*)/*$", 1)
+    return F.lower(F.regexp_replace(base, r"^(.+)\.[^.]+$", "$1"))
+
+
+def safe_file_name(name: Column, checksum: Column, suffix: Column) -> Column:
+    """A name that any store takes: no separators or control characters, 200 characters at most; without a usable name the checksum.
+
+    Composition of accents (NFC) has no built-in; ``text.composed`` does it beforehand.
+    """
+    flat = F.regexp_replace(F.regexp_replace(F.coalesce(name, F.lit("")), r"[/\\]", "_"), r"[\x00-\x1f\x7f]", "_")
+    clean = F.regexp_replace(flat, r"^[ .]+|[ .]+$", "")
+    extension = F.regexp_extract(clean, r"^.+(\.[^.]+)$", 1)
+    stem = F.regexp_replace(F.left(F.left(clean, F.length(clean) - F.length(extension)), F.lit(160)), r"[ .]+$", "")
+    short = F.concat(F.coalesce(F.nullif(stem, F.lit("")), checksum), F.left(extension, F.lit(20)))
+    return F.when(clean == "", F.concat(checksum, suffix)).when(F.length(clean) > 200, short).otherwise(clean)
+
+
+CODECS |= {
+    "statement_scope": statement_scope, "disclosure_status": disclosure_status, "industry_reference": industry_reference,
+    "permitted_industries": permitted_industries, "main_field_groups": main_field_groups, "file_stem": file_stem,
+    "operating_status": lambda c: coded(c, OPERATING_STATUS), "taxation_type": lambda c: coded(c, TAXATION_TYPE), "verification_result": lambda c: coded(c, VERIFICATION_RESULT),
+}

@@ -12,6 +12,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.hashing import uuid5
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -137,3 +140,99 @@ def covered(rows: DataFrame, group: str, failed: Column, links: Sequence[str], k
     else:
         raise RuntimeError("cover did not settle")
     return state.where("failed and covered").select(group, key)
+
+
+def advanced(checkpoints: DataFrame, rows: DataFrame, now: Column, key: str = "pipeline_id") -> DataFrame:
+    """The next checkpoints: what is given replaces what was there, without comparing cursors; others stay.
+
+    To be called only after a load has succeeded.
+    """
+    fresh = rows.withColumn("updated_at", now).select(*checkpoints.columns)
+    return checkpoints.join(fresh.select(key), key, "left_anti").select(*checkpoints.columns).union(fresh)
+
+
+def runs(started: DataFrame, finished: DataFrame, key: str = "execution_id") -> DataFrame:
+    """Runs with their status: running, or completed or failed as ``finished`` (key, finished_at, error, counts) says; errors are cut at 500 characters."""
+    ended = finished.withColumn("error", F.left("error", F.lit(500)))
+    status = F.when(F.col("finished_at").isNull(), "running").when(F.col("error").isNotNull(), "failed").otherwise("completed")
+    return started.join(ended, key, "left").withColumn("status", status)
+
+
+def without_nul(value: Column, kind: T.DataType) -> Column:
+    """A value with a space for each NUL character in its texts, however deep they lie."""
+    if isinstance(kind, T.StringType):
+        return F.replace(value, F.lit("\x00"), F.lit(" "))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: without_nul(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(value, lambda _k, x: without_nul(x, kind.valueType))
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*[without_nul(value[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+    return value
+
+
+def cleaned(df: DataFrame) -> DataFrame:
+    """All columns without NUL characters."""
+    return df.select(*[without_nul(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields])
+
+
+def extraction_tables(extractions: DataFrame, done: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The six relations of extraction trees, with ids that follow from what they stand for.
+
+    ``extractions`` has notice_id, fingerprint, expression, unresolved, and requirements: an
+    array of structs of id, text, evidence (structs of source_id and excerpt) and proofs
+    (structs of id, document_type and evidence). Those whose notice_id and fingerprint are
+    among ``done`` are left out, so that a repeated load adds nothing.
+    """
+    fresh = cleaned(extractions).dropDuplicates(["notice_id", "fingerprint"])
+    if done is not None:
+        fresh = fresh.join(done.select("notice_id", "fingerprint"), ["notice_id", "fingerprint"], "left_anti")
+    named = fresh.withColumn("extraction_id", uuid5(F.concat_ws(":", F.lit("extraction"), F.col("notice_id").cast("string"), "fingerprint")))
+    needs = named.select("extraction_id", F.explode("requirements").alias("r"))
+    needs = needs.withColumn("requirement_id", uuid5(F.concat_ws(":", F.lit("requirement"), "extraction_id", "r.id")))
+    proofs = needs.select("requirement_id", F.explode("r.proofs").alias("p")).withColumn("proof_id", uuid5(F.concat_ws(":", F.lit("proof"), "requirement_id", "p.id")))
+
+    def evidence(rows: DataFrame, owner: str, items: str) -> DataFrame:
+        each = rows.select(owner, F.posexplode(items).alias("place", "e"))
+        return each.select(uuid5(F.concat_ws(":", F.lit("evidence"), owner, F.col("place").cast("string"))).alias("evidence_id"), owner, "e.*")
+
+    return {
+        "extractions": named.select("extraction_id", "notice_id", "fingerprint", F.lit("completed").alias("status")),
+        "requirement_sets": named.select("extraction_id", "expression", "unresolved"),
+        "requirements": needs.select("requirement_id", "extraction_id", F.col("r.id").alias("local_id"), F.col("r.text").alias("text")),
+        "evidence": evidence(needs, "requirement_id", "r.evidence"),
+        "proofs": proofs.select("proof_id", "requirement_id", F.col("p.id").alias("local_id"), F.col("p.document_type").alias("document_type")),
+        "proof_evidence": evidence(proofs, "proof_id", "p.evidence"),
+    }
+
+
+def failures(inputs: DataFrame, error: str = "error") -> DataFrame:
+    """Rows of failed work: the error cut at 500 characters, status failed, to be reviewed."""
+    return inputs.withColumns({error: F.left(error, F.lit(500)), "status": F.lit("failed"), "requires_review": F.lit(True)})
+
+
+def purge_claimed(documents: DataFrame, chosen: DataFrame, key: str, now: Column) -> DataFrame:
+    """The documents with those chosen marked as being purged, one attempt more."""
+    marked = documents.join(chosen.select(key).distinct().withColumn("_chosen", F.lit(True)), key, "left")
+    mine = F.col("_chosen").isNotNull()
+    return marked.withColumns({
+        "storage_status": F.when(mine, "purging").otherwise(F.col("storage_status")), "purge_attempts": F.col("purge_attempts") + mine.cast("int"),
+        "purge_error": F.when(~mine, F.col("purge_error")), "updated_at": F.when(mine, now).otherwise(F.col("updated_at")),
+    }).drop("_chosen")
+
+
+def purge_finished(documents: DataFrame, results: DataFrame, key: str, now: Column) -> DataFrame:
+    """The documents after a purge: ``results`` has key and error, null where the object is gone."""
+    joined = documents.join(results.select(key, F.col("error").alias("_error"), F.lit(True).alias("_done")), key, "left")
+    done, bad = F.col("_done").isNotNull(), F.col("_error").isNotNull()
+    good = done & ~bad
+    return joined.withColumns({
+        "storage_status": F.when(good, "purged").when(done, "purge_failed").otherwise(F.col("storage_status")), "object_key": F.when(~good, F.col("object_key")),
+        "purge_error": F.when(done, F.col("_error")).otherwise(F.col("purge_error")), "purge_reason": F.when(good, "retention_expired").otherwise(F.col("purge_reason")),
+        "updated_at": F.when(done, now).otherwise(F.col("updated_at")),
+    }).drop("_error", "_done")
+
+
+def purge_audit(results: DataFrame, days: int) -> DataFrame:
+    """One row of counts of a purge."""
+    return results.agg(F.lit(days).alias("retention_days"), F.count("*").alias("target_count"), F.count_if(F.col("error").isNull()).alias("purged_count"), F.count_if(F.col("error").isNotNull()).alias("failed_count"))
