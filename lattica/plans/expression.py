@@ -77,6 +77,25 @@ def faults(nodes: DataFrame) -> DataFrame:
     return arity.union(empty).union(twice).distinct()
 
 
+def simplified(placements: DataFrame, case: str = "case_id") -> tuple[DataFrame, DataFrame]:
+    """Placements without branches that hold all of another branch of their group, and requirements that are left without any.
+
+    A or (A and B) is A. Of equal branches the first by name stays. Since holding all of a
+    branch carries over, one pass leaves nothing more to drop.
+    """
+    own = ["scope", "alternative_group", "alternative_branch"]
+    grouped = placements.where("alternative_group is not null and alternative_branch is not null")
+    sets = grouped.groupBy(case, *own).agg(F.collect_set("requirement_id").alias("leaves"))
+    named = sets.select(F.struct(case, "scope").alias("case_id"), "alternative_group", F.col("alternative_branch").alias("branch"), "leaves")
+    pairs = absorbed(named)
+    back = pairs.select("case_id", "alternative_group", F.col("branch").alias("absorbed_by"), F.col("absorbed_by").alias("branch"), F.lit(True).alias("_mutual"))
+    gone = pairs.join(back, ["case_id", "alternative_group", "branch", "absorbed_by"], "left").where("_mutual is null or branch > absorbed_by")
+    dropped = gone.select(F.col("case_id")[case].alias(case), F.col("case_id.scope").alias("scope"), "alternative_group", F.col("branch").alias("alternative_branch")).distinct()
+    kept = placements.join(dropped, [case, *own], "left_anti").select(*placements.columns)
+    left = placements.select(case, "requirement_id").distinct().join(kept.select(case, "requirement_id").distinct(), [case, "requirement_id"], "left_anti")
+    return kept, left
+
+
 def absorbed(branches: DataFrame) -> DataFrame:
     """Pairs of branches of one group (case_id, alternative_group, branch, leaves) of which the first holds all the second's leaves.
 

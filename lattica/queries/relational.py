@@ -288,6 +288,19 @@ def json_first(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").select("event_id", k.alias("k")).where("k is not null")
 
 
+@query("""
+SELECT o_orderkey, first.l_partkey AS part, first.l_quantity AS quantity FROM (SELECT o_orderkey, (SELECT x FROM (SELECT l AS x FROM lineitem l WHERE l.l_orderkey = o_orderkey AND l.l_returnflag = 'A' ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity LIMIT 1)) AS first FROM orders)
+""")
+def first_element(spark: SparkSession, folder: str) -> DataFrame:
+    """Of an array inside JSON the first element that fits."""
+    one = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag")
+    lists = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.to_json(F.array_sort(F.collect_list(one))).alias("items"))
+    parsed = F.from_json("items", "array<struct<l_partkey:long,l_quantity:double,l_returnflag:string>>")
+    fit = F.get(F.filter(parsed, lambda x: x["l_returnflag"] == "A"), F.lit(0))
+    o = table(spark, folder, "orders").join(lists, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    return o.select("o_orderkey", fit["l_partkey"].alias("part"), fit["l_quantity"].alias("quantity"))
+
+
 @query("SELECT count(*) AS n_all, count(*) FILTER (o_totalprice > 200000) AS n_large, count(DISTINCT o_custkey) AS n_customers FROM orders")
 def counts(spark: SparkSession, folder: str) -> DataFrame:
     """Counts with a filter and of distinct values."""

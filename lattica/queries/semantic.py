@@ -234,6 +234,21 @@ def absorbed_branches(spark: SparkSession, folder: str) -> DataFrame:
     return expression.absorbed(b.withColumn("alternative_group", F.lit("g"))).select("case_id", "branch", "absorbed_by")
 
 
+@query("""
+WITH p AS (SELECT DISTINCT l_orderkey AS case_id, l_returnflag AS b, 'r' || l_linenumber AS r FROM lineitem),
+s AS (SELECT case_id, b, list_sort(list(r)) AS x FROM p GROUP BY 1, 2),
+d AS (SELECT DISTINCT u.case_id, u.b FROM s u JOIN s v ON u.case_id = v.case_id AND u.b <> v.b AND list_has_all(u.x, v.x) WHERE NOT (list_has_all(v.x, u.x) AND u.b < v.b)),
+k AS (SELECT * FROM p WHERE (case_id, b) NOT IN (SELECT (case_id, b) FROM d))
+SELECT 'kept' AS state, case_id, b AS branch, r AS requirement_id FROM k UNION ALL SELECT 'unresolved', case_id, NULL, r FROM (SELECT DISTINCT case_id, r FROM p EXCEPT SELECT case_id, r FROM k)
+""")
+def simplified_placements(spark: SparkSession, folder: str) -> DataFrame:
+    """Alternatives that hold all of another one are dropped; requirements that stood only there are left over."""
+    p = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("case_id"), F.concat(F.lit("r"), F.col("l_linenumber").cast("string")).alias("requirement_id"), F.lit("common").alias("scope"), F.lit("g").alias("alternative_group"), F.col("l_returnflag").alias("alternative_branch")).distinct()
+    kept, left = expression.simplified(p)
+    none = F.lit(None).cast("string")
+    return kept.select(F.lit("kept").alias("state"), "case_id", F.col("alternative_branch").alias("branch"), "requirement_id").union(left.select(F.lit("unresolved"), "case_id", none, "requirement_id"))
+
+
 @query("""
 WITH q AS (SELECT o_orderkey AS notice_id, o_custkey AS company_id, CASE o_orderpriority WHEN '1-URGENT' THEN 'industry_registration_matches' WHEN '2-HIGH' THEN 'business_status_active'
     WHEN '3-MEDIUM' THEN 'qualification_valid' WHEN '5-LOW' THEN 'procurement_supplier_registered' END AS rule, o_orderstatus AS wanted FROM orders),

@@ -79,6 +79,36 @@ def budget_selection(spark: SparkSession, folder: str) -> DataFrame:
     return t.within_budget(scored, "doc_id", 2000).select("doc_id", "block_index", F.length("text").alias("n"))
 
 
+_SELECTION = t.Selection("@|token", "^[A-M].{0,10}$", "^.{0,11}$", "[0-9]{4}", "xx", supplement_name="src1", budget=2000)
+
+
+@query()
+def selected_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """Blocks by all passes, retrieved ones included, within a budget by score; compared with a plain version in the tests."""
+    docs = table(spark, folder, "documents")
+    blocks = _blocks(spark, folder).withColumns({"page": (F.col("block_index") / 4).cast("int") + 1, "parent": (F.col("block_index") / 3).cast("int")})
+    asked = blocks.where(F.pmod(F.col("doc_id") + F.col("block_index"), F.lit(97)) == 0)
+    return t.selected(blocks, "doc_id", _SELECTION, docs.select("doc_id", F.col("source").alias("file_name")), asked).select("doc_id", "block_index", "strategy")
+
+
+@query(_PARAGRAPHS + """
+, n AS (SELECT doc_id, block_index, text, lead(text) OVER (PARTITION BY doc_id ORDER BY block_index) AS following FROM blocks)
+SELECT doc_id, block_index, length(text) + CASE WHEN NOT regexp_matches(text, '[.!?]\\s*$') THEN 1 + coalesce(length(following), -1) ELSE 0 END AS n FROM n
+""".replace("\\\\", "\\"))
+def joined_siblings(spark: SparkSession, folder: str) -> DataFrame:
+    """blocks with the next one added where they don't end a sentence."""
+    w = Window.partitionBy("doc_id").orderBy("block_index")
+    following = F.when(~F.col("text").rlike(r"[.!?]\s*$"), F.lead("text").over(w))
+    joined = _blocks(spark, folder).withColumn("joined", F.concat_ws(" ", "text", following))
+    return joined.select("doc_id", "block_index", F.length("joined").cast("long").alias("n"))
+
+
+@query()
+def clause_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """Clauses with their places; compared with a plain version in the tests."""
+    return b.clauses(table(spark, folder, "documents"), "doc_id").select("doc_id", "clause_start", "clause_end", F.sha2("clause", 256).alias("hash"))
+
+
 @query(_PARAGRAPHS + """
 , m AS (SELECT doc_id, string_agg(DISTINCT lower(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')), '|' ORDER BY lower(regexp_replace(text, '[^A-Za-z0-9]', '', 'g'))) AS s
   FROM blocks WHERE regexp_matches(text, '[0-9]') GROUP BY 1)

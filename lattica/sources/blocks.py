@@ -69,6 +69,28 @@ def refined(blocks: DataFrame, key: list[str], limit: int = REFINE) -> DataFrame
     return own.mapInPandas(run, f"{schema}, parent_start int, parent_end int, piece int, text string")
 
 
+#: Fixed value: where a clause ends, at a full stop or before a numbered item.
+CLAUSE = re.compile(r"[^\n]+?(?:[.!?](?=\s|$)|(?=\s+(?:\d+|[가-힣])[.)]\s)|$)")
+
+
+def clauses(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """Clauses of the size of a sentence or a line, as they stand in the text: key, clause_start, clause_end and clause, without white space around."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for k, t in batch.itertuples(index=False):
+                for m in CLAUSE.finditer(t or ""):
+                    inner = m[0].strip()
+                    if inner:
+                        start = m.start() + m[0].index(inner)
+                        found.append((k, start, start + len(inner), inner))
+            yield pd.DataFrame(found, columns=[key, "clause_start", "clause_end", "clause"])
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(key, text).mapInPandas(run, f"{key} {kind}, clause_start int, clause_end int, clause string")
+
+
 def kind_of(content: Column, name: Column) -> Column:
     """By signature first, then by name."""
     head = F.hex(F.substring(content, 1, 8))

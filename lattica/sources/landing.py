@@ -45,8 +45,9 @@ def records(pages: DataFrame, body: str, path: str, total: str) -> DataFrame:
 
 
 def raw_records(payloads: DataFrame, payload: str = "payload") -> DataFrame:
-    """Adds the hash of the payload's canonical form: keys sorted, no white space."""
-    return payloads.withColumn("source_record_hash", F.sha2(F.to_json(F.parse_json(payload)), 256))
+    """Adds the hash of the payload's canonical form: keys sorted, no white space. What is no JSON counts as a text."""
+    as_text = F.to_json(F.struct(F.col(payload).alias("text")))
+    return payloads.withColumn("source_record_hash", F.sha2(F.coalesce(F.to_json(F.try_parse_json(payload)), as_text), 256))
 
 
 def page_count(total: Column, size: int, most: int) -> Column:

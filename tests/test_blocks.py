@@ -1,0 +1,100 @@
+"""Queries that SQL cannot say, against plain versions: block selection, budgets, refined blocks, clauses."""
+
+import hashlib
+import re
+
+import pytest
+
+from lattica.queries import QUERIES, textual
+from lattica.sources import blocks as b
+
+
+@pytest.fixture(scope="module")
+def documents(spark, small):
+    return {r["doc_id"]: r for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+
+
+def lines(text):
+    return [x.strip() for x in (text or "").split("\n") if x.strip()]
+
+
+def within(span, size):
+    return range(max(0, span.start), min(size, span.stop))
+
+
+def test_selected_blocks(spark, small, documents):
+    how = textual._SELECTION
+    got = {}
+    for r in QUERIES["selected_blocks"](spark, small).collect():
+        got.setdefault(r["doc_id"], {})[r["block_index"]] = r["strategy"]
+    for d, row in documents.items():
+        texts = lines(row["text"])
+        n, total = len(texts), sum(map(len, texts))
+        hits = {k: {i for i, t in enumerate(texts) if re.search(getattr(how, k), t)} for k in ("primary", "heading", "next_heading", "guard", "outcome")}
+        if total <= how.budget and (n <= 120 or row["source"] != "src1"):
+            assert got.get(d, {}) == dict.fromkeys(range(n), "full_document")
+            continue
+        chosen = set(range(min(50, n))) | {i for i in range(n) if i // 4 + 1 <= 10}
+        around = lambda which: {j for i in which for j in within(range(i - 3, i + 4), n)}
+        chosen |= around(hits["primary"])
+        for h in hits["heading"]:
+            stop = next((i for i in range(h + 1, min(n, h + 31)) if i in hits["next_heading"]), min(n, h + 31))
+            chosen |= set(range(h, stop))
+        chosen |= around(hits["guard"] - chosen)
+        chosen |= around(hits["outcome"]) | around({i for i in range(n) if (d + i) % 97 == 0})
+
+        def score(i, texts=texts, hits=hits):
+            s = 8 * (i in hits["primary"]) + 12 * (i in hits["outcome"]) + 5 * (i in hits["guard"]) + 4 * (i in hits["heading"]) + 2 * (i // 4 + 1 <= 10) + (i < 20)
+            if i and i // 3 == (i - 1) // 3 and i - 1 in hits["primary"] | hits["guard"] and not re.search(r"[.!?\u3002]|(?:\ub2e4|\ud568|\ub428|\uc74c)[.)]?\s*$", texts[i - 1].rstrip()):
+                s += 11
+            return -s, i
+
+        used, kept = 0, set()
+        for i in sorted(chosen, key=score):
+            if not kept or used + len(texts[i]) <= how.budget:
+                kept.add(i)
+                used += len(texts[i])
+        assert got.get(d, {}) == dict.fromkeys(kept, "focused_with_omission_guard"), d
+
+
+def test_budget_selection(spark, small, documents):
+    got = {}
+    for r in QUERIES["budget_selection"](spark, small).collect():
+        got.setdefault(r["doc_id"], set()).add(r["block_index"])
+    for d, row in documents.items():
+        texts = lines(row["text"])
+        hits = {i for i, t in enumerate(texts) if re.search("@|token", t)}
+        score = lambda i, hits=hits: (-(2 * any(abs(i - h) <= 3 for h in hits) + (i < 5)), i)
+        used, kept = 0, set()
+        for i in sorted(range(len(texts)), key=score):
+            if used + len(texts[i]) <= 2000:
+                kept.add(i)
+                used += len(texts[i])
+        assert got.get(d, set()) == kept
+
+
+def test_refined_blocks_add_up(spark, small, documents):
+    pieces = {}
+    for r in QUERIES["refined_blocks"](spark, small).collect():
+        pieces.setdefault((r["doc_id"], r["block_index"]), []).append((r["piece"], r["parent_start"], r["parent_end"]))
+    for d, row in documents.items():
+        for i, text in enumerate(lines(row["text"])):
+            own = sorted(pieces.pop((d, i)))
+            assert own[0][1] == 0 and own[-1][2] == len(text) and all(x[2] == y[1] for x, y in zip(own, own[1:], strict=False))
+            for _, start, end in own:
+                inner = text[start:end]
+                # Longer than the limit only as one sentence, and cut at ends of sentences alone.
+                assert len(inner) <= b.REFINE or len(re.findall(r"[.!?\u3002]\s+(?=\S)", inner)) == 0 or len(re.split(r"(?<=[.!?\u3002])\s+", inner.strip())[-1]) > 0
+    assert not pieces
+
+
+def test_clause_spans(spark, small, documents):
+    got = {}
+    for r in QUERIES["clause_spans"](spark, small).collect():
+        got.setdefault(r["doc_id"], []).append((r["clause_start"], r["clause_end"], r["hash"]))
+    for d, row in documents.items():
+        own = sorted(got.get(d, []))
+        text = row["text"] or ""
+        assert all(text[s:e] == text[s:e].strip() and hashlib.sha256(text[s:e].encode()).hexdigest() == h for s, e, h in own)
+        assert all(x[1] <= y[0] for x, y in zip(own, own[1:], strict=False))
+        assert all("\n" not in text[s:e] for s, e, _ in own)
