@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,6 +45,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Has shuffle files of plans that nothing refers to any more removed now, and not whenever the driver next collects its garbage.
+
+    To be called where large shuffles lie behind a checkpoint.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def join_sized(df: DataFrame, small: DataFrame, on: list[str], how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
     """Joins a side that is usually small: broadcast when it counts ``limit`` rows at most, else by shuffle.
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, empty_if_null, join_sized
+from .common import checkpointed, empty_if_null, join_sized, release
 
 WINDOW = 35
 #: Words of a prefix, before it is lengthened.
@@ -266,6 +266,7 @@ def repeated_windows(keyed: DataFrame, texts: DataFrame, window: int = WINDOW, g
     chosen = shared.join(texts, ["k1", "k2"]).select("k1", "k2", "id_key", (F.col("copies") > 1).alias("copied"), "shared")
     with_text = keyed.join(chosen, ["k1", "k2", "id_key"]).select("k1", "k2", "text", "copied", "shared")
     parts = checkpointed(slices(with_text, window))
+    release(keyed.sparkSession)
     out = _trees(parts.where("prefix is not null"), window)
     large = parts.where("prefix is null")
     if large.limit(1).count():
