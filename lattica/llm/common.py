@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +52,7 @@ def release(spark: SparkSession) -> None:
     To be called where large shuffles lie behind a checkpoint.
     """
     gc.collect()
+    time.sleep(1)  # the driver hears of dropped references a little later
     spark._jvm.System.gc()
 
 

@@ -266,10 +266,11 @@ def repeated_windows(keyed: DataFrame, texts: DataFrame, window: int = WINDOW, g
     chosen = shared.join(texts, ["k1", "k2"]).select("k1", "k2", "id_key", (F.col("copies") > 1).alias("copied"), "shared")
     with_text = keyed.join(chosen, ["k1", "k2", "id_key"]).select("k1", "k2", "text", "copied", "shared")
     parts = checkpointed(slices(with_text, window))
-    release(keyed.sparkSession)
     out = _trees(parts.where("prefix is not null"), window)
     large = parts.where("prefix is null")
-    if large.limit(1).count():
+    some = large.limit(1).count()
+    release(keyed.sparkSession)
+    if some:
         leaves = large.groupBy("h1", "h2").agg(F.sum(F.when(F.col("copied"), 2).otherwise(1)).alias("n")).where("n > 1").select("h1", "h2")
         repeated = join_sized(large.where("not copied"), checkpointed(leaves), ["h1", "h2"])
         out = out.union(repeated.select("k1", "k2", F.shiftright("packed", 16), F.lit(1).cast("long")))
