@@ -14,6 +14,8 @@ import numpy as np
 
 #: Pieces and pre-tokens that are remembered, beyond which either memory starts anew.
 PIECES, WORDS = 200_000, 500_000
+#: Characters of what either memory remembers, beyond which it starts anew as well.
+CHARACTERS = 16_000_000
 
 # Fixed values of the tokenizer's pre-token rule for the characters of Latin-1.
 _PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -41,7 +43,7 @@ class _Memory:
         self.rank = _Ranked()
         self.ids = np.zeros(1 << 16, np.uint32)
         self.ends = np.zeros(1 << 16, np.int64)
-        self.known = 0
+        self.known = self.characters = 0
 
     def append(self, ids: np.ndarray, sizes: np.ndarray) -> None:
         """The ids of the strings that were ranked last, end to end."""
@@ -67,7 +69,7 @@ class _Memory:
 class Encoder:
     """Ids of texts, without special tokens added, equal to those of encoding each text whole."""
 
-    def __init__(self, path: str, pieces: int = PIECES, words: int = WORDS) -> None:
+    def __init__(self, path: str, pieces: int = PIECES, words: int = WORDS, characters: int = CHARACTERS) -> None:
         import os
 
         import regex
@@ -79,7 +81,7 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.stops = np.zeros(max(vocabulary.values()) + 1, bool)
         self.stops[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.limits = pieces, words
+        self.limits = pieces, words, characters
         self.pieces, self.words = _Memory(), _Memory()
 
     def _whole(self, text: str) -> list[int]:
@@ -87,6 +89,7 @@ class Encoder:
 
     def _learn_words(self) -> None:
         new = self.words.rank.new
+        self.words.characters += sum(map(len, new))
         for at in range(0, len(new), 1000):
             some = new[at : at + 1000]
             ids = np.array(self._whole(" ".join(some)), dtype=np.uint32)
@@ -102,6 +105,7 @@ class Encoder:
     def _learn_pieces(self) -> None:
         """Latin pieces by their pre-tokens, others as they are."""
         rank, counts, ranks, others = self.words.rank.__getitem__, [], [], {}
+        self.pieces.characters += sum(map(len, self.pieces.rank.new))
         for n, piece in enumerate(self.pieces.rank.new):
             if piece.isascii() or _latin(piece):
                 if piece.isalpha():
@@ -132,9 +136,9 @@ class Encoder:
 
     def encode_many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, end to end, and how many each has."""
-        if len(self.pieces.rank) > self.limits[0]:
+        if len(self.pieces.rank) > self.limits[0] or self.pieces.characters > self.limits[2]:
             self.pieces = _Memory()
-        if len(self.words.rank) > self.limits[1]:
+        if len(self.words.rank) > self.limits[1] or self.words.characters > self.limits[2]:
             self.words = _Memory()
         pieces: list[str] = []
         counts = []

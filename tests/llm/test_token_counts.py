@@ -85,3 +85,12 @@ def test_query_equals_counting_whole(spark, small, whole):
         assert r["edited_tokens"] == whole(text) and r["edited_chars"] == len(text)
         assert r["encoded_chars"] < len(text) / 2 or len(text) < 12 * t.SPAN
     assert t.counted(docs.limit(0)).count() == 0
+
+
+def test_memories_start_anew_beyond_their_characters(whole):
+    from lattica.llm.tokens import Encoder
+
+    coder, longest = Encoder(t.default_tokenizer(), characters=100), max(map(len, HARD))
+    for text in HARD * 2:
+        assert len(coder.encode(text)) == whole(text)
+        assert coder.pieces.characters <= 100 + longest and coder.words.characters <= 100 + longest
