@@ -1,9 +1,14 @@
 """Order MinHash fingerprints of documents, in DataFrame functions only.
 
-The k-mers of a document are runs of K words, each numbered among its equals. Their hashes
-fall into BINS sketches; every sketch keeps its TUPLE smallest, puts them back into the order
-of the text and hashes that tuple. Equal order counts, so the share of equal sketches follows
-edit distance and not only the set of k-mers.
+The k-mers of a document are runs of K words, each numbered among its equals. Every sketch of
+BINS keeps its TUPLE smallest, puts them back into the order of the text and hashes that tuple.
+Equal order counts, so the share of equal sketches follows edit distance and not only the set
+of k-mers.
+
+The sketches are filled in rounds ("fast similarity sketching", Dahlgaard, Knudsen and Thorup,
+2017) and not by BINS hashes of every k-mer: in each round every k-mer is hashed anew into one
+sketch, and a k-mer of an earlier round is smaller than any of a later one. A round that comes
+after a sketch is full changes nothing in it, so texts of different lengths stay comparable.
 """
 
 from __future__ import annotations
@@ -16,9 +21,16 @@ from .common import WORD, empty_if_null, shuffle_partitions
 K = 5
 BINS = 64
 TUPLE = 2
-#: Bits of a packed element: 6 for the sketch, 34 of hash, 24 for the place among the words.
+#: K-mers that are hashed at least, over all rounds: ten for each sketch.
+FILL = 10 * BINS
+#: Bits of a packed element: 6 for the sketch, 34 of order, 24 for the place among the words.
+#: The order is a 0 and 33 bits of hash in the first round, a 1, the round and 23 bits later.
 _PLACE_BITS = 24
 _MIX_BITS = 34
+_LATER = 1 << 57
+_ROUND = 47
+_FIRST_HASH = ~(_LATER | ((1 << _PLACE_BITS) - 1))
+_LATER_HASH = ~((1 << 58) - (1 << _ROUND) | ((1 << _PLACE_BITS) - 1))
 
 
 def let(value: Column, body) -> Column:
@@ -63,18 +75,27 @@ def sketches(text: Column, k: int = K) -> Column:
         )
 
     def elements(s: Column) -> Column:
-        """Sketch, hash and place of every numbered k-mer, sorted."""
-        return let(
-            numbered(s),
-            lambda o: F.sort_array(
-                F.transform(
-                    s,
-                    lambda x, i: F.shiftleft(
-                        F.shiftrightunsigned(F.xxhash64(F.shiftrightunsigned(x, _PLACE_BITS), F.get(o, i)), _PLACE_BITS), _PLACE_BITS
-                    ).bitwiseOR(x.bitwiseAND(F.lit(place_mask))),
-                )
-            ),
-        )
+        """Sketch, order and place of every numbered k-mer in every round, sorted."""
+
+        def kmer(x: Column, number: Column) -> list[Column]:
+            return [F.shiftrightunsigned(x, _PLACE_BITS), number]
+
+        def place(x: Column) -> Column:
+            return x.bitwiseAND(F.lit(place_mask))
+
+        def filled(o: Column) -> Column:
+            first = F.transform(s, lambda x, i: F.xxhash64(*kmer(x, F.get(o, i))).bitwiseAND(F.lit(_FIRST_HASH)).bitwiseOR(place(x)))
+            rounds = F.transform(F.sequence(F.lit(1), F.ceil(F.lit(FILL) / F.size(s)).cast("int") - 1), lambda r: F.shiftleft(r.cast("long"), _ROUND).bitwiseOR(F.lit(_LATER)))
+            later = F.flatten(
+                F.transform(rounds, lambda r: F.transform(s, lambda x, i: F.xxhash64(*kmer(x, F.get(o, i)), r).bitwiseAND(F.lit(_LATER_HASH)).bitwiseOR(r).bitwiseOR(place(x))))
+            )
+            return F.when(F.size(s) >= FILL, F.sort_array(first)).otherwise(let(F.sort_array(F.concat(first, later)), unlike))
+
+        def unlike(e: Column) -> Column:
+            """Without a k-mer right behind itself: the smallest of a sketch are different ones."""
+            return F.filter(e, lambda x, i: (i == 0) | (bin_of(F.get(e, i - 1)) != bin_of(x)) | (place(F.get(e, i - 1)) != place(x)))
+
+        return let(numbered(s), filled)
 
     def bin_of(x: Column) -> Column:
         return F.shiftrightunsigned(x, 58)
