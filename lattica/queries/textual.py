@@ -252,24 +252,3 @@ def cited_passages(spark: SparkSession, folder: str) -> DataFrame:
     hits = [f.select("item_id", "doc_id") for f in found]
     none = spark.createDataFrame([], "item_id long, doc_id long")
     return reduce(DataFrame.union, hits, none).distinct()
-
-
-@query()
-def cited_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    """For four citations of every document, the block that they stand for and how it was found.
-
-    Each document quotes one of its own blocks (by its number): a part of it, its first and last
-    third around an ellipsis, and the block with every fifth word spelt backwards, once with
-    and once without pointing to the block.
-    """
-    blocks = _blocks(spark, folder)
-    n = F.count("*").over(Window.partitionBy("doc_id"))
-    chosen = blocks.withColumn("n", n).where("block_index = pmod(doc_id, n)")
-    size, third = F.length("text"), F.floor(F.length("text") / 3).cast("int")
-    parts = F.concat(F.substring("text", F.lit(1), third), F.lit(" ... "), F.substring("text", size - third + 1, third))
-    altered = F.array_join(F.transform(F.split("text", " "), lambda w, i: F.when(i % 5 == 0, F.reverse(w)).otherwise(w)), " ")
-    none = F.lit(None).cast("int")
-    made = [(F.substring("text", F.lit(4), size - 6), none), (parts, F.col("block_index")), (altered, F.col("block_index")), (altered, none)]
-    quotes = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), q.alias("quote"), p.alias("pointed")) for i, (q, p) in enumerate(made)]))
-    citations = chosen.select("doc_id", quotes.alias("q")).select("doc_id", (F.col("doc_id") * 4 + F.col("q.i")).alias("citation_id"), "q.quote", "q.pointed")
-    return t.cited(citations, blocks, "doc_id")

@@ -1,9 +1,7 @@
 """Queries that SQL cannot say, against plain versions: block selection, budgets, refined blocks, clauses."""
 
-import difflib
 import hashlib
 import re
-import unicodedata
 
 import pytest
 
@@ -100,45 +98,3 @@ def test_clause_spans(spark, small, documents):
         assert all(text[s:e] == text[s:e].strip() and hashlib.sha256(text[s:e].encode()).hexdigest() == h for s, e, h in own)
         assert all(x[1] <= y[0] for x, y in zip(own, own[1:], strict=False))
         assert all("\n" not in text[s:e] for s, e, _ in own)
-
-
-def alike(quote, source):
-    """The four ways to be alike, each by the book."""
-    shared = lambda a, b: sum(m.size for m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
-    ratio = lambda a, b: 2 * shared(a, b) / (len(a) + len(b)) if a and b else 0
-    q, s = (" ".join(unicodedata.normalize("NFKC", x).split()).lower() for x in (quote, source))
-    short = ["".join(c for c in x if c.isalnum()) for x in (q, s)]
-    words = [set(re.findall(r"\w+", x)) for x in (q, s)]
-    return max(ratio(q, s), len(words[0] & words[1]) / max(1, len(words[0])), ratio(*short), shared(*short) / max(1, len(short[0])))
-
-
-def test_cited_blocks(spark, small, documents):
-    got = {r["citation_id"]: (r["block_index"], r["tier"]) for r in QUERIES["cited_blocks"](spark, small).collect()}
-    want, bare = {}, lambda x: re.sub(r"\s+", "", x.lower())
-    for d, row in documents.items():
-        texts = lines(row["text"])
-        if not texts:
-            continue
-        at = d % len(texts)
-        own = texts[at]
-        third = len(own) // 3
-        altered = " ".join(w[::-1] if i % 5 == 0 else w for i, w in enumerate(own.split(" ")))
-        ends = (own[:third], own[len(own) - third :])
-        for i, (quote, pointed) in enumerate([(own[3:-3] if len(own) > 6 else "", None), (" ... ".join(ends), at), (altered, at), (altered, None)]):
-            holders = [j for j, x in enumerate(texts) if bare(quote) in bare(x)]
-            parts = [p.strip(" .") for p in quote.split("...")]
-            parts = [p for p in parts if len(p) >= 12]
-            if holders:
-                found = (pointed, "pointed") if pointed in holders else (holders[0], "exact")
-            elif pointed is not None and len(parts) > 1 and re.search(".*?".join(map(re.escape, parts)), own):
-                found = (pointed, "ellipsis")
-            elif pointed is not None and alike(quote, own) >= 0.58:
-                found = (pointed, "near_pointed")
-            else:
-                scores = sorted(((alike(quote, x), -j) for j, x in enumerate(texts)), reverse=True)
-                if scores[0][0] < 0.65 or len(scores) > 1 and scores[0][0] - scores[1][0] < 0.08:
-                    continue
-                found = (-scores[0][1], "similar")
-            want[4 * d + i] = found
-    assert got == want
-    assert {t for _, t in want.values()} >= {"exact", "ellipsis", "near_pointed", "similar"}
