@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, fim, fingerprints, langid, mixing, packing, pii, secret_scan, simhash, substring_dedup, token_counts
+from . import alignment, bpe, embedding_dedup, fim, fingerprints, langid, mixing, packing, pii, secret_scan, simhash, substring_dedup, token_counts
 from .common import table
 
 
@@ -51,10 +51,18 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified(table(spark, sf_dir, "documents"))
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encoded(table(spark, sf_dir, "documents"), digests=True)
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digested(table(spark, sf_dir, "documents"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.weighed(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embeddings": op1_embeddings,
     "op2_packing": op2_packing,
@@ -66,7 +74,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_secrets": op9_secrets,
     "op10_language": op10_language,
+    "op11_bpe": op11_bpe,
     "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLE: dict[str, str] = {"op8_mixing": mixing.ORACLE, "op12_fill_in_middle": fim.ORACLE}
