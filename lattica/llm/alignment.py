@@ -29,7 +29,9 @@ from .packing import chunks
 from .tokens import _Memory
 
 #: Segments that a worker remembers, and their characters, beyond which it starts anew.
-SEGMENTS, CHARACTERS = 100_000, 8_000_000
+SEGMENTS, CHARACTERS = 400_000, 8_000_000
+#: New segments that are aligned as one text.
+STRETCH = 1000
 #: A single space after anything but white space, where both tokenizers can be cut.
 _CUT = re.compile(r"(?<=\S)(?= )")
 _UNEVEN = re.compile(r"\s | $")
@@ -78,6 +80,8 @@ class Aligner:
         self.b_bytes = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.b_space = self.b.piece_to_id("▁")
         self.a_size, self.b_size = list(map(len, self.a_bytes)), list(map(len, self.b_bytes))
+        self.a_sizes, self.b_sizes = np.array(self.a_size), np.array(self.b_size)
+        self.names = [str(i) for i in range(max(len(self.a_size), len(self.b_size)))]
         # A token in which a space follows anything but white space, or an empty one, would forbid what this module rests on.
         if any("▁" in p.lstrip("▁") for p in pieces) or any(_CUT.search(t.decode("utf-8", "replace")) for t in self.a_bytes) or not all(self.a_size) or not all(self.b_size):
             raise ValueError("tokens are empty or hold a space after something else")
@@ -103,24 +107,50 @@ class Aligner:
         return np.searchsorted(self.keys, a.astype(np.int64) << 32 | b.astype(np.int64))
 
     def learn(self, segments: list[str]) -> None:
-        """Aligns new segments and remembers their counts, links and groups."""
-        counts, left, right, sizes = [], [], [], []
-        for segment, (a, b) in zip(segments, self.encode(segments), strict=True):
-            whole = segment.encode()
-            if b"".join([self.b_bytes[i] for i in b]) != whole or b"".join([self.a_bytes[i] for i in a]) != whole:
-                counts += [0, 0, 0, 1]
-                sizes.append(0)
+        """Aligns new segments and remembers their counts, links and groups.
+
+        Segments that may stand side by side are aligned as one text, STRETCH at a time.
+        """
+        plain = [s for s in segments if not s[-1].isspace()]
+        if len(plain) < len(segments):  # what ends in white space can't be followed by a cut
+            rest = [s for s in segments if s[-1].isspace()]
+            segments[:] = plain + rest
+        for at in range(0, len(plain), STRETCH):
+            if not self._learn(plain[at : at + STRETCH]):
+                for one in plain[at : at + STRETCH]:
+                    self._learn([one], True)
+        for one in segments[len(plain) :]:
+            self._learn([one], True)
+
+    def _learn(self, segments: list[str], odd: bool = False) -> bool:
+        """One stretch of segments; false, and nothing remembered, if its bytes differ, unless such are to be marked as odd."""
+        whole = "".join(segments)
+        ((a, b),) = self.encode([whole])
+        if not self.kept(whole, a, b):
+            if odd:
+                self.counts.append(np.array([0, 0, 0, 1], np.uint32), np.array([4]))
+                self.links.append(np.zeros(0, np.uint32), np.array([0]))
                 self.texts.append("")
-                continue
-            groups, links = align([self.a_size[i] for i in a], [self.b_size[i] for i in b])
-            left += [a[i] for i, _ in links]
-            right += [b[j] for _, j in links]
-            counts += [len(a), len(b), len(groups), 0]
-            sizes.append(len(links))
-            self.texts.append(written(a, b, groups))
-        n = len(segments)
-        self.counts.append(np.array(counts, np.uint32), np.full(n, 4))
-        self.links.append(self.codes(np.array(left, np.int64), np.array(right, np.int64)).astype(np.uint32), np.array(sizes, np.int64))
+            return odd
+        groups, links = align([self.a_size[i] for i in a], [self.b_size[i] for i in b])
+        ends = np.cumsum([len(s.encode()) for s in segments])
+        a_ends, b_ends = (np.cumsum(size[ids]) for size, ids in ((self.a_sizes, a), (self.b_sizes, b)))
+        to_a, to_b = (np.searchsorted(x, ends) + 1 for x in (a_ends, b_ends))
+        to_group = np.searchsorted(a_ends[[i for i, _ in links]], ends) + 1
+        texts = group_texts(self.names, a, b, groups)
+        starts = [0, *to_group.tolist()]
+        self.texts += [";".join(texts[i:j]) for i, j in zip(starts, starts[1:], strict=False)]
+        n_links = np.diff(to_group, prepend=0)
+        counts = np.stack([np.diff(to_a, prepend=0), np.diff(to_b, prepend=0), n_links, np.zeros(len(segments), np.int64)], axis=1)
+        self.counts.append(counts.astype(np.uint32).ravel(), np.full(len(segments), 4))
+        left, right = np.array(a)[[i for i, _ in links]], np.array(b)[[j for _, j in links]]
+        self.links.append(self.codes(left, right).astype(np.uint32), n_links)
+        return True
+
+    def kept(self, whole: str, a: list[int], b: list[int]) -> bool:
+        """Whether both sides' bytes are the text's."""
+        want = whole.encode()
+        return b"".join([self.b_bytes[i] for i in b]) == want == b"".join([self.a_bytes[i] for i in a])
 
     def run(self, texts: list[str]) -> Iterator[tuple[int, int, int, str, np.ndarray]]:
         """Tokens of A and of B, groups, the groups as text, and the links' numbers, of each text."""
@@ -138,12 +168,12 @@ class Aligner:
                 own = text.split(" ")
             parts += own
             sizes.append(len(own))
-        new = [p for p in dict.fromkeys(parts) if p not in self.rank]
+        new = [" " + p for p in dict.fromkeys(parts) if p not in self.rank]
         if new:
-            for p in new:
-                self.rank[p] = len(self.rank)
+            self.learn(new)
+            for s in new:
+                self.rank[s[1:]] = len(self.rank)
             self.characters += sum(map(len, new))
-            self.learn([" " + p for p in new])
         at = np.fromiter(map(self.rank.__getitem__, parts), np.int64, len(parts))
         counts = self.counts.gather(at)[0].reshape(-1, 4).astype(np.int64)
         links, each = self.links.gather(at)
@@ -160,21 +190,22 @@ class Aligner:
     def whole(self, text: str) -> tuple[int, int, int, str, np.ndarray]:
         """A text at one go."""
         ((a, b),) = self.encode([" " + text])
-        bytes_ = (" " + text).encode()
-        if not text or b"".join([self.a_bytes[i] for i in a]) != bytes_ or b"".join([self.b_bytes[i] for i in b]) != bytes_:
+        if not self.kept(" " + text, a, b):
             return 0, 0, 0, "", np.zeros(0, np.uint32)
         groups, links = align([self.a_size[i] for i in a], [self.b_size[i] for i in b])
         codes = self.codes(np.array([a[i] for i, _ in links]), np.array([b[j] for _, j in links]))
-        return len(a), len(b), len(groups), written(a, b, groups), codes.astype(np.uint32)
+        return len(a), len(b), len(groups), ";".join(group_texts(self.names, a, b, groups)), codes.astype(np.uint32)
 
 
-def written(a: list[int], b: list[int], groups: list[tuple[int, int]]) -> str:
-    """``a1,a2|b1;a3|b2,b3``."""
+def group_texts(names: list[str], a: list[int], b: list[int], groups: list[tuple[int, int]]) -> list[str]:
+    """``a1,a2|b1`` of each group; ``names`` are the ids as text."""
     out, i, j = [], 0, 0
     for to_a, to_b in groups:
-        out.append(f"{','.join(map(str, a[i:to_a]))}|{','.join(map(str, b[j:to_b]))}")
+        left = names[a[i]] if to_a == i + 1 else ",".join([names[x] for x in a[i:to_a]])
+        right = names[b[j]] if to_b == j + 1 else ",".join([names[x] for x in b[j:to_b]])
+        out.append(f"{left}|{right}")
         i, j = to_a, to_b
-    return ";".join(out)
+    return out
 
 
 def pair_keys(a_bytes: list[bytes], b_bytes: list[bytes]) -> np.ndarray:
