@@ -1,146 +1,145 @@
-"""BPE encoding and decoding through a table of distinct words.
+"""BPE encoding and decoding through tables of distinct words.
 
 The tokenizer's tokens never cross white space, so what a word encodes to doesn't depend on
-where it stands. Texts are dealt out in chunks of bounded size; each chunk names its distinct
-words, the words of all chunks make up the table, and each of its words is encoded once and
-decoded by a join of its ids with the vocabulary's pieces. The table's rows come back to the
-chunks that name their words (a word appears once for each chunk, however often it is in it),
-where ids are joined by position.
+where it stands. Spark splits texts into words; each stretch of rows that a task holds makes a
+table of its distinct words and the words' places in it. Every word of the table is encoded
+once, the ids of a text are the table's ids taken by the places of its words, and its decoded
+text is the join of those ids with the vocabulary's pieces, made once for each word too.
+
+The table is a task's own. A table over the whole corpus, joined back by shuffles, was built
+first; the README has its figures.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, shuffle_partitions
-from .packing import chunks, default_tokenizer
+from .packing import default_tokenizer
 from .tokens import encoder
 
-#: Code points and rows that end a chunk; a longer text is a chunk of its own.
-CHUNK_CHARS, CHUNK_ROWS = 4_000_000, 2_000
+#: Words that end a stretch of rows with one table; a text of more words has a table of its own.
+STRETCH = 1_000_000
 
 #: White space as the tokenizer sees it (a fixed value, Unicode's property White_Space).
 SPACE = "[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
-_SPLIT = re.compile(SPACE).split
-#: What str.split() takes for white space besides.
-_ODD = "\x1c\x1d\x1e\x1f"
-
-
-def words_of(text: str) -> list[str]:
-    """The words of a text, in order."""
-    if any(c in text for c in _ODD):
-        return [w for w in _SPLIT(text) if w]
-    return text.split()
-
-
-def dealt(docs: DataFrame, chars: int = CHUNK_CHARS, rows: int = CHUNK_ROWS) -> DataFrame:
-    """chunk, doc_id and text, each chunk's rows in one partition."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, used, count = TaskContext.get().partitionId() << 33, 0, 0
-        for batch in chunks(batches):
-            own = []
-            for n in pa.compute.utf8_length(batch.column("text")).to_pylist():
-                if count and (used + n > chars or count == rows):
-                    chunk, used, count = chunk + 1, 0, 0
-                used, count = used + n, count + 1
-                own.append(chunk)
-            yield pa.record_batch({"chunk": pa.array(own, pa.int64()), "doc_id": batch.column("doc_id"), "text": batch.column("text")})
-
-    own = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return own.mapInArrow(run, "chunk long, doc_id long, text string").repartition(shuffle_partitions(docs.sparkSession), "chunk")
 
 
-def named(texts: DataFrame) -> DataFrame:
-    """home (a chunk) and word, once each, of dealt texts; nothing moves for it."""
-    words = F.array_distinct(F.split("text", SPACE))
-    return texts.select(F.col("chunk").alias("home"), F.explode(words).alias("word")).where("word <> ''").distinct()
+def words_of(text: Column) -> Column:
+    """The words of a text, in order; null has none."""
+    return F.filter(F.split(F.coalesce(text.cast("string"), F.lit("")), SPACE), lambda w: w != "")
 
 
-def pieces(spark: SparkSession, tokenizer: str) -> DataFrame:
-    """id and piece of a vocabulary."""
+@lru_cache(maxsize=2)
+def pieces(tokenizer: str) -> pa.Array:
+    """The piece of every id of a vocabulary, null where there is none."""
     vocabulary = encoder(tokenizer).tokenizer.get_vocab(with_added_tokens=True)
-    return spark.createDataFrame(pa.table({"id": pa.array(vocabulary.values(), pa.int32()), "piece": pa.array(vocabulary.keys(), pa.string())}))
+    table: list[str | None] = [None] * (max(vocabulary.values()) + 1)
+    for piece, i in vocabulary.items():
+        table[i] = piece
+    return pa.array(table, pa.string())
 
 
-def encoded_words(words: DataFrame, tokenizer: str) -> DataFrame:
-    """word and ids of distinct words."""
+class WordTable:
+    """The distinct words of some texts, with the ids of each, encoded once, and their pieces."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(tokenizer)
-        for batch in chunks(batches):
-            ids, sizes = coder.encode_many(batch.column("word").to_pylist())
-            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            yield pa.record_batch({"word": batch.column("word"), "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.astype(np.int32)))})
+    def __init__(self, words: pa.Array, tokenizer: str) -> None:
+        coded = words.dictionary_encode()
+        self.places = coded.indices.to_numpy()
+        self.words = coded.dictionary
+        self.ids, self.sizes = encoder(tokenizer).encode_many(self.words.to_pylist())
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.decoded = np.array(decoded(self.ids, self.sizes, tokenizer), object)
 
-    return words.mapInArrow(run, "word string, ids array<int>")
+    def ids_at(self, start: int, end: int) -> np.ndarray:
+        """The ids of the words from one position to another."""
+        at = self.places[start:end]
+        sizes = self.sizes[at]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.ids[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(total)]
 
+    def text_at(self, start: int, end: int) -> str:
+        """Their decoded text; a word may have no ids."""
+        return " ".join(filter(None, self.decoded[self.places[start:end]].tolist()))
 
-def decoded(rows: DataFrame, key: list[str], tokenizer: str | None = None, ids: str = "ids", to: str = "text") -> DataFrame:
-    """The rows' keys and the text of their ids: their pieces with spaces between, as the tokenizer without a decoder has it.
 
-    Every id is joined with the vocabulary (a table of fixed size); ids that it lacks are left
-    out, null or empty lists give an empty text. Keys must tell rows apart.
-    """
-    table = F.broadcast(pieces(rows.sparkSession, tokenizer or default_tokenizer()))
-    each = rows.select(*key, F.posexplode_outer(ids).alias("_at", "id")).join(table, "id", "left")
-    parts = F.array_sort(F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("_at", "piece"))))
-    return each.groupBy(*key).agg(F.array_join(F.transform(parts, lambda p: p["piece"]), " ").alias(to))
+def decoded(ids: np.ndarray, sizes: np.ndarray, tokenizer: str) -> list[str]:
+    """The texts of id lists that lie end to end: their pieces with a space between, as the tokenizer without a decoder has it.
 
+    Ids that the vocabulary lacks are left out.
+    """
+    table = pieces(tokenizer)
+    ids = np.where(ids < len(table), ids, len(table)).astype(np.int64)
+    found = pa.concat_arrays([table, pa.nulls(1, pa.string())]).take(pa.array(ids))
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    if found.null_count:
+        there = np.concatenate([[0], np.cumsum(found.is_valid().to_numpy(zero_copy_only=False))])
+        ends, found = there[ends], found.drop_null()
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found), " ").to_pylist()
+
+
+def stretches(batches: Iterator[pa.RecordBatch], words: int = STRETCH) -> Iterator[pa.RecordBatch]:
+    """Batches cut where their lists reach so many words."""
+    for batch in batches:
+        sizes = batch.column("words").value_lengths().to_numpy(zero_copy_only=False)
+        start, used = 0, 0
+        for row, n in enumerate(sizes.tolist()):
+            if row > start and used + n > words:
+                yield batch.slice(start, row - start)
+                start, used = row, 0
+            used += n
+        if start < batch.num_rows:
+            yield batch.slice(start)
+
+
+def encoded(docs: DataFrame, tokenizer: str | None = None, digests: bool = False, stretch: int = STRETCH) -> DataFrame:
+    """doc_id, n_tokens, ids and decoded of every whole text, or (``digests``) hashes of the last two.
 
-def word_table(words: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """word, ids and decoded, of distinct words."""
+    Null text counts as empty and has no tokens. Rows are independent: repeated rows give
+    repeated results, null ids stay; a text of any length is one row, with a table of its own
+    if it has more than ``stretch`` words; an empty table gives an empty result; extra columns
+    have no effect.
+    """
     path = tokenizer or default_tokenizer()
-    ids = encoded_words(words.select("word").distinct(), path)
-    return decoded(ids, ["word", "ids"], path, to="decoded")
+    names = ("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stretches(batches, stretch):
+            lists = batch.column("words")
+            table = WordTable(lists.flatten(), path)
+            ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).tolist()
+            sizes, ids, texts = [], [], []
+            for start, end in zip(ends, ends[1:], strict=False):
+                own, text = table.ids_at(start, end), table.text_at(start, end)
+                sizes.append(len(own))
+                ids.append(hashlib.sha256(own.astype("<u4").tobytes()).hexdigest() if digests else own.astype(np.int32))
+                texts.append(hashlib.sha256(text.encode()).hexdigest() if digests else text)
+            yield pa.record_batch({
+                "doc_id": batch.column("doc_id"), "n_tokens": pa.array(sizes, pa.int64()),
+                names[0]: pa.array(ids, pa.string() if digests else pa.list_(pa.int32())), names[1]: pa.array(texts, pa.string()),
+            })
 
-def encoded(docs: DataFrame, tokenizer: str | None = None, digests: bool = False, chars: int = CHUNK_CHARS, rows: int = CHUNK_ROWS) -> DataFrame:
-    """doc_id, n_tokens, ids and decoded of every whole text, or (``digests``) hashes of the last two.
+    schema = f"doc_id long, n_tokens long, {names[0]} {'string' if digests else 'array<int>'}, {names[1]} string"
+    return docs.select(F.col("doc_id").cast("long"), words_of(F.col("text")).alias("words")).mapInArrow(run, schema)
 
-    Null text counts as empty and has no tokens. A text of any length is split and joined as
-    one row, in a chunk of its own if it is longer than one. Repeated rows are encoded each
-    for itself, their words once; null ids stay; an empty table gives an empty result; extra
-    columns have no effect.
-    """
+
+def texts_of(rows: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """doc_id and the decoded text of rows with lists of ids; null or empty lists give an empty text, unknown or null ids are left out."""
     path = tokenizer or default_tokenizer()
-    texts = dealt(docs, chars, rows)
-    table = checkpointed(word_table(named(texts), path))
-    back = named(texts).join(table.hint("shuffle_hash"), "word")
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        words = right.column("word").to_pylist()
-        rank = dict(zip(words, range(len(words)), strict=True))
-        lists = right.column("ids").combine_chunks()
-        decoded = right.column("decoded").to_pylist()
-        flat = lists.flatten().to_numpy().astype("<u4")
-        sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        starts = np.cumsum(sizes) - sizes
-        out: dict[str, list] = {"n_tokens": [], "ids": [], "decoded": []}
-        for text in left.column("text").to_pylist():
-            own = words_of(text)
-            at = np.fromiter(map(rank.__getitem__, own), np.int64, len(own))
-            n = sizes[at]
-            ends = np.cumsum(n)
-            total = int(ends[-1]) if len(ends) else 0
-            ids = flat[np.repeat(starts[at] - (ends - n), n) + np.arange(total)] if total else np.zeros(0, "<u4")
-            whole = " ".join([d for w in own if (d := decoded[rank[w]])])
-            out["n_tokens"].append(total)
-            out["ids"].append(hashlib.sha256(ids.tobytes()).hexdigest() if digests else ids)
-            out["decoded"].append(hashlib.sha256(whole.encode()).hexdigest() if digests else whole)
-        return pa.table({
-            "doc_id": left.column("doc_id"), "n_tokens": pa.array(out["n_tokens"], pa.int64()),
-            names[0]: pa.array(out["ids"], pa.string() if digests else pa.list_(pa.int32())), names[1]: pa.array(out["decoded"], pa.string()),
-        })
 
-    names = ("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded")
-    schema = f"doc_id long, n_tokens long, {names[0]} {'string' if digests else 'array<int>'}, {names[1]} string"
-    return texts.groupBy("chunk").cogroup(back.groupBy("home")).applyInArrow(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("ids")
+            sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+            yield pa.record_batch({"doc_id": batch.column("doc_id"), "text": pa.array(decoded(lists.flatten().to_numpy(), sizes, path), pa.string())})
+
+    known = F.filter(F.coalesce(F.col("ids"), F.array()).cast("array<long>"), lambda i: i >= 0)
+    return rows.select(F.col("doc_id").cast("long"), known.alias("ids")).mapInArrow(run, "doc_id long, text string")

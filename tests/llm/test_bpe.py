@@ -3,8 +3,8 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 
 from lattica.llm import bpe
 
@@ -33,8 +33,8 @@ def docs(spark, small):
 
 def test_equals_the_library(docs, whole):
     want = sorted((repr(r["doc_id"]), *whole(r["text"])) for r in docs.collect())
-    for chunk in ((bpe.CHUNK_CHARS, bpe.CHUNK_ROWS), (3000, 7)):
-        got = bpe.encoded(docs, chars=chunk[0], rows=chunk[1]).collect()
+    for stretch in (bpe.STRETCH, 500):
+        got = bpe.encoded(docs, stretch=stretch).collect()
         assert sorted((repr(r["doc_id"]), list(r["ids"]), r["decoded"]) for r in got) == want
         assert all(r["n_tokens"] == len(r["ids"]) for r in got)
 
@@ -50,23 +50,28 @@ def test_digests(docs, whole):
     assert sorted(repr(tuple(r)) for r in got.collect()) == sorted(want)
 
 
-def test_each_word_is_encoded_once_and_ids_decode(spark, docs, whole):
-    texts = bpe.dealt(docs, 3000, 7)
-    words = bpe.named(texts)
-    table = bpe.word_table(words).collect()
-    assert len({r["word"] for r in table}) == len(table) < words.count()
-    assert {r["word"] for r in table} == {w for r in docs.collect() for w in bpe.words_of(r["text"] or "")}
-    rows = spark.createDataFrame([(1, [320, 1125, 49407]), (2, []), (3, None), (4, [99_999, 320])], "k int, ids array<int>")
-    got = {r["k"]: r["text"] for r in bpe.decoded(rows, ["k"]).collect()}
-    from tokenizers import Tokenizer
+def test_each_word_is_encoded_once(monkeypatch):
+    asked = []
+    own = bpe.encoder(bpe.default_tokenizer())
+    monkeypatch.setattr(bpe, "encoder", lambda path: type("Coder", (), {"encode_many": lambda _, words: (asked.extend(words), own.encode_many(words))[1], "tokenizer": own.tokenizer})())
+    table = bpe.WordTable(pa.array(["b", "a", "b", "a", "c", "b"]), bpe.default_tokenizer())
+    assert asked == ["b", "a", "c"] and table.text_at(1, 4) == "a</w> b</w> a</w>" and len(table.ids_at(0, 6)) == 6 and table.text_at(3, 3) == ""
+
 
-    assert got[1] == Tokenizer.from_file(bpe.default_tokenizer()).decode([320, 1125, 49407], skip_special_tokens=False) and got[2] == got[3] == ""
-    assert got[4] == got[1].split(" ")[0]
+def test_stretches_hold_so_many_words():
+    sizes = [3, 0, 4, 9, 1, 1, 0, 5]
+    batch = pa.record_batch({"words": pa.array([["w"] * n for n in sizes], pa.list_(pa.string()))})
+    parts = [[len(x) for x in b.column("words").to_pylist()] for b in bpe.stretches(iter([batch, batch.slice(0, 0)]), 5)]
+    assert parts == [[3, 0], [4], [9], [1, 1, 0], [5]]
 
 
-def test_chunks_are_bounded(docs):
-    sizes = bpe.dealt(docs.where(F.length("text") < 3000), 3000, 7).groupBy("chunk").agg(F.sum(F.length("text")).alias("n"), F.count("*").alias("rows")).collect()
-    assert all(r["n"] <= 3000 and r["rows"] <= 7 for r in sizes) and len(sizes) > 50
+def test_ids_decode_by_themselves(spark, docs, whole):
+    rows = spark.createDataFrame([(1, [320, 1125, 49407]), (2, []), (3, None), (4, [99_999, 320, -5, None])], "doc_id long, ids array<int>")
+    got = {r["doc_id"]: r["text"] for r in bpe.texts_of(rows).collect()}
+    assert got == {1: "a</w> photo</w> <|endoftext|>", 2: "", 3: "", 4: "a</w>"}
+    both = bpe.encoded(docs.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    again = {r["doc_id"]: r["text"] for r in bpe.texts_of(both).collect()}
+    assert all(again[r["doc_id"]] == r["decoded"] for r in both.collect()) and len(again) > 100
 
 
 def test_empty(spark):
