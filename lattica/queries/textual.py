@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.match import word_runs
+from ..operators import citations as cite
 from ..operators import text as t
 from ..sources import blocks as b
 from ..sources import landing
@@ -82,13 +83,51 @@ def budget_selection(spark: SparkSession, folder: str) -> DataFrame:
 _SELECTION = t.Selection("@|token", "^[A-M].{0,10}$", "^.{0,11}$", "[0-9]{4}", "xx", supplement_name="src1", budget=2000)
 
 
+def _refined(spark: SparkSession, folder: str) -> DataFrame:
+    """The paragraphs in pieces of at most 900 characters, numbered anew; a piece names its paragraph as parent, a whole one has none."""
+    cut = b.refined(_blocks(spark, folder), ["doc_id", "block_index"])
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("block_index", "piece")) - 1
+    parent = F.when(F.col("piece") > 0, F.col("block_index"))
+    return cut.select("doc_id", place.alias("block_index"), (F.col("block_index") / 4).cast("int").alias("page"), parent.alias("parent"), "text").withColumn("page", F.col("page") + 1)
+
+
+def _selection(spark: SparkSession, folder: str) -> tuple:
+    docs, blocks = table(spark, folder, "documents"), _refined(spark, folder)
+    asked = blocks.where(F.pmod(F.col("doc_id") + F.col("block_index"), F.lit(97)) == 0)
+    return blocks, "doc_id", _SELECTION, docs.select("doc_id", F.col("source").alias("file_name")), asked
+
+
 @query()
 def selected_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    """Blocks by all passes, retrieved ones included, within a budget by score; compared with a plain version in the tests."""
-    docs = table(spark, folder, "documents")
-    blocks = _blocks(spark, folder).withColumns({"page": (F.col("block_index") / 4).cast("int") + 1, "parent": (F.col("block_index") / 3).cast("int")})
-    asked = blocks.where(F.pmod(F.col("doc_id") + F.col("block_index"), F.lit(97)) == 0)
-    return t.selected(blocks, "doc_id", _SELECTION, docs.select("doc_id", F.col("source").alias("file_name")), asked).select("doc_id", "block_index", "strategy")
+    """Refined blocks by all passes, retrieved ones included, within a budget by score; compared with a plain version in the tests."""
+    return t.selected(*_selection(spark, folder)).select("doc_id", "block_index", "strategy")
+
+
+@query()
+def selection_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """Strategy, counts and passes of every document; compared with a plain version in the tests."""
+    return t.selection_summary(*_selection(spark, folder))
+
+
+@query()
+def cited_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """For four citations of every document, the block that they stand for and how it was found.
+
+    Each document quotes one of its own blocks (by its number): a part of it, its first and last
+    third around an ellipsis, and the block with every fifth word spelt backwards, once with
+    and once without pointing to the block.
+    """
+    blocks = _refined(spark, folder)
+    n = F.count("*").over(Window.partitionBy("doc_id"))
+    chosen = blocks.withColumn("n", n).where("block_index = pmod(doc_id, n)")
+    size, third = F.length("text"), F.floor(F.length("text") / 3).cast("int")
+    parts = F.concat(F.substring("text", F.lit(1), third), F.lit(" ... "), F.substring("text", size - third + 1, third))
+    altered = F.array_join(F.transform(F.split("text", " "), lambda w, i: F.when(i % 5 == 0, F.reverse(w)).otherwise(w)), " ")
+    none = F.lit(None).cast("int")
+    made = [(F.substring("text", F.lit(4), size - 6), none), (parts, F.col("block_index")), (altered, F.col("block_index")), (altered, none)]
+    quotes = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), q.alias("quote"), p.alias("pointed")) for i, (q, p) in enumerate(made)]))
+    citations = chosen.select("doc_id", quotes.alias("q")).select("doc_id", (F.col("doc_id") * 4 + F.col("q.i")).alias("citation_id"), "q.quote", "q.pointed")
+    return cite.cited(citations, blocks, "doc_id").select("citation_id", "block_index", "tier", F.sha2("excerpt", 256).alias("excerpt_sha256"), "compared")
 
 
 @query(_PARAGRAPHS + """

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 #: Limits of an archive: members, bytes of one and of all.
 MEMBERS, MEMBER_BYTES, ARCHIVE_BYTES = 50, 20 << 20, 100 << 20
-#: Length from which a block is cut at ends of sentences.
+#: Fixed value: the length beyond which a block is cut.
 REFINE = 900
 
 
@@ -39,29 +39,56 @@ def parse_diagnostics(blocks: DataFrame, key: str) -> DataFrame:
     )
 
 
-def _pieces(text: str, limit: int) -> list[tuple[int, int]]:
-    if len(text) <= limit:
-        return [(0, len(text))]
-    out, start = [], 0
-    ends = [m.end() for m in re.finditer(r"[.!?。]\s+|\n+|다\.\s*", text)] + [len(text)]
-    for before, end in zip([0, *ends], ends, strict=False):
-        if end - start > limit and before > start:
-            out.append((start, before))
-            start = before
-    if start < len(text):
-        out.append((start, len(text)))
-    return out
+#: Fixed value: where a block may end a piece, after line ends and after the end of a sentence before what begins one.
+_STOPS = re.compile(r"\n+|(?<=[.!?다함됨음])\s+(?=[※①-⑳가-하0-9「『])")
+
+
+_BLANK = re.compile(r"\s*")
+
+
+def pieces_of(text: str, limit: int = REFINE) -> list[tuple[int, int]]:
+    """Places of the pieces of a text, none longer than ``limit``.
+
+    A piece goes on to the first stop at which it would have ``limit`` characters; what is
+    too long by then is cut at its last space before the limit, or at the limit where it has
+    none. White space after a cut belongs to no piece.
+    """
+    places: list[tuple[int, int]] = []
+    start = 0
+
+    def cut(end: int) -> int:
+        if text[start:end].strip():
+            places.append((start, end))
+        return _BLANK.match(text, end).end()
+
+    for stop in [*(m.end() for m in _STOPS.finditer(text)), len(text)]:
+        if stop - start < limit and stop < len(text):
+            continue
+        while stop - start > limit:
+            space = text.rfind(" ", start + 1, start + limit)
+            start = cut(space if space > 0 else start + limit)
+        if stop > start:
+            start = cut(stop)
+    return places
 
 
 def refined(blocks: DataFrame, key: list[str], limit: int = REFINE) -> DataFrame:
-    """Blocks longer than ``limit`` cut at ends of sentences: key, parent_start, parent_end, piece and text.
+    """Blocks with those longer than ``limit`` cut: key, parent_start, parent_end, piece and text.
 
-    The pieces of a block add up to its text; a sentence longer than the limit stays whole.
+    Places are those in the block's text without white space around. A block that stays whole
+    is piece 0, the pieces of others count from 1. Null text counts as empty.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(*k, a, b, i, t[a:b]) for *k, t in batch.itertuples(index=False) for i, (a, b) in enumerate(_pieces(t or "", limit))]
+            rows = []
+            for *k, t in batch.itertuples(index=False):
+                t = (t or "").strip()
+                places = pieces_of(t, limit) if len(t) > limit else []
+                if len(places) < 2:
+                    rows.append((*k, 0, len(t), 0, t))
+                else:
+                    rows += [(*k, a, b, i, t[a:b].strip()) for i, (a, b) in enumerate(places, 1)]
             yield pd.DataFrame(rows, columns=[*key, "parent_start", "parent_end", "piece", "text"])
 
     own = blocks.select(*key, "text")

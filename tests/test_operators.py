@@ -13,7 +13,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from lattica.functions import codecs, hashing, logic, match
-from lattica.operators import relation, state, text
+from lattica.operators import citations, relation, state, text
 from lattica.plans import expression, graph, rules
 from lattica.sources import blocks, landing
 from lattica.streaming import incremental
@@ -174,10 +174,7 @@ def test_graph_merge(spark):
 def test_text_operators(spark):
     b = spark.createDataFrame([(1, i, t, s) for i, (t, s) in enumerate([("a" * 60, 3), ("b" * 50, 2), ("c" * 30, 1)])], "d long, block_index int, text string, score int")
     assert {r["block_index"] for r in text.within_budget(b, "d", 100).collect()} == {0, 2}
-    quotes = spark.createDataFrame([(1, 1, "Quick  brown FOX"), (1, 2, "the lazy dog sleeps all day now"), (1, 3, "nothing alike")], "d long, citation_id long, quote string")
-    lines = spark.createDataFrame([(1, 0, "a quick brown fox"), (1, 1, "the lazy dog sleeps all the day"), (1, 2, "zzz")], "d long, block_index int, text string")
-    assert {tuple(r) for r in text.cited(quotes, lines, "d").collect()} == {(1, 0, "exact"), (2, 1, "similar")}
-    assert text.compact("Ａb-1 c") == "ab1c" and text.similarity("a b", "b a") == 1.0
+    assert text.compact("Ａb-1 c") == "ab1c"
 
 
 def test_nearest_looks_at_all_vectors(spark):
@@ -197,8 +194,8 @@ def test_cited_tiers(spark):
         (1, 1, "lazy dog sleeps", 2), (1, 2, "lazy dog sleeps", 1), (1, 3, "the lazy dog sleeps ... near the old mill", 2),
         (1, 4, "alpha beta gamma delta omega psi chi", 3), (1, 5, "near the old mill ... the lazy dog sleeps, qq ww ee rr tt yy uu", 1), (1, 6, "the lazy dog sleeps ... near the old mill", None),
     ]
-    got = {tuple(r) for r in text.cited(spark.createDataFrame(quotes, "d long, citation_id long, quote string, pointed int"), blocks, "d").collect()}
-    assert got == {(1, 2, "pointed"), (2, 0, "exact"), (3, 2, "ellipsis"), (4, 3, "near_pointed")}
+    found = citations.cited(spark.createDataFrame(quotes, "d long, citation_id long, quote string, pointed int"), blocks, "d").collect()
+    assert {tuple(r)[:3] for r in found if r["tier"]} == {(1, 2, "pointed"), (2, 0, "exact"), (3, 2, "ellipsis"), (4, 3, "near_pointed")} and len(found) == 6
 
 
 def by_hand(rows, wanted):
