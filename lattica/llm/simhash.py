@@ -153,7 +153,9 @@ def deduplicated(docs: DataFrame, shingle: int = 3, budget: int = BUDGET) -> Dat
 
     All columns stay. A null doc_id comes after all others; among equal ids the digest of the
     text decides, so rows without an id and rows that repeat one are documents like any other.
-    Of rows equal in doc_id and text one stays.
+    Of rows equal in doc_id and text one stays, chosen by all its columns. Null and word-less
+    texts are near-duplicates of each other; a text of any length is one row; an empty table
+    gives an empty result; extra columns stay, whatever their names.
     """
     prints = checkpointed(fingerprints(docs, shingle, digest=True))
     one = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")).alias("first")
@@ -167,5 +169,7 @@ def deduplicated(docs: DataFrame, shingle: int = 3, budget: int = BUDGET) -> Dat
 
     if not counted.where("n > 1").limit(1).count():
         return those(counted)
-    repeated = those(counted.where("n > 1")).withColumn("_digest", text_digest(F.col("text")))
-    return those(counted.where("n = 1")).union(repeated.dropDuplicates(["doc_id", "_digest"]).drop("_digest"))
+    # One row of each, the same in any rerun: packed, so that no column's name can clash, and the least as JSON.
+    packed = those(counted.where("n > 1")).select(F.struct("*").alias("row"))
+    one = packed.groupBy(F.col("row.doc_id").alias("id"), text_digest(F.col("row.text")).alias("digest")).agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return those(counted.where("n = 1")).union(one.select("row.*"))

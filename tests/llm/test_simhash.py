@@ -87,3 +87,14 @@ def test_rows_without_id_and_repeated_ids_are_documents(spark):
         assert len(got) == len(set(got)) and sorted(t for _, t in got) == sorted(want)
         least = {t: min((i is None, i or 0) for i, u, _ in some.collect() if (u or "") == t) for t in want}
         assert {t: (i is None, i or 0) for i, t in got} == least
+
+
+def test_repeated_rows_leave_the_same_one_whatever_their_order_and_names(spark):
+    rows = [(7, "some words of one text", "y", 2, {"k": 1}), (7, "some words of one text", "x", 9, {"k": 2}), (7, "some words of one text", "x", 3, None), (8, "another text of other words entirely", "z", 1, None)]
+    got = []
+    for some in (rows, rows[::-1], rows[1:] + rows[:1]):
+        docs = spark.createDataFrame([(*r, "d", "r") for r in some], "doc_id long, text string, source string, digest int, extra map<string,int>, _digest string, row string")
+        kept = simhash.deduplicated(docs)
+        assert kept.columns == docs.columns
+        got.append(sorted(map(repr, kept.collect())))
+    assert got[0] == got[1] == got[2] and len(got[0]) == 2
