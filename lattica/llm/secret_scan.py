@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .packing import chunks
+
 KINDS = ("assign", "access", "hex", "markov")
 
 # Fixed values of the base patterns. Letters of the names match in either case, in ASCII only.
@@ -33,17 +35,20 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 
 #: Names of two parts or more, which are joined by signs, humps or digits.
-IDENTIFIER = re.compile(r"(?<![A-Za-z0-9+/_=-])(?:[A-Za-z]+(?:[_-][A-Za-z0-9]+)+|[A-Za-z]?[a-z]+(?:[A-Z][a-z]+)+|[A-Za-z]{3,}[0-9]{1,4})(?![A-Za-z0-9+/_=-])")
-#: What parts words; with capitals or a sign in its place, plain text reads like one long name.
-_APART = re.compile(r"[^A-Za-z]+")
+IDENTIFIER = re.compile(r"[A-Za-z]+(?:[_-][A-Za-z0-9]+)+|[A-Za-z]?[a-z]+(?:[A-Z][a-z]+)+|[A-Za-z]{3,}[0-9]{1,4}")
 #: Tokens that the models judge.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 #: Mean log-likelihood ratio for each character from which a token is reported.
 LEAST_RATIO = 0.8
 
 _SIZE = 128
-_WORDLIKE = np.zeros(_SIZE, bool)
+_WORDLIKE = np.zeros(256, bool)
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
 _WORDLIKE[[ord(c) for c in "+/_=-" "0123456789" "ABCDEFGHIJKLMNOPQRSTUVWXYZ" "abcdefghijklmnopqrstuvwxyz"]] = True
+#: Of what a token's characters are: 1 a small letter, 2 a capital, 3 a sign that joins names or a digit.
+_KIND = np.zeros(256, np.uint8)
+_KIND[97:123], _KIND[65:91], _KIND[48:58], _KIND[[ord(c) for c in "_-"]] = 1, 2, 3, 3
 _SIGNS = [ord(c) for c in "+/_=-"]
 _ALNUM = np.zeros(_SIZE, bool)
 _ALNUM[[i for i in range(_SIZE) if chr(i).isalnum()]] = True
@@ -70,14 +75,49 @@ def _values(text: str) -> list[str]:
     return found
 
 
-def _pairs(text: str) -> np.ndarray:
+def _counted(b: np.ndarray) -> np.ndarray:
     """Counts of neighbouring word-like characters."""
-    b = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8).astype(np.int64)
-    b[b >= _SIZE] = 0
-    near = b[:-1] * _SIZE + b[1:]
+    near = b[:-1].astype(np.uint16) * _SIZE + b[1:]
     return np.bincount(near[_WORDLIKE[b[:-1]] & _WORDLIKE[b[1:]]], minlength=_SIZE * _SIZE)
 
 
+def _bytes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+
+
+def _pairs(text: str) -> np.ndarray:
+    return _counted(np.where(_bytes(text) < _SIZE, _bytes(text), 0))
+
+
+def _names(b: np.ndarray) -> tuple[list[str], list[int]]:
+    """The tokens that are identifiers, and where each starts. Only those with a sign, a hump or a digit inside are looked at."""
+    inside = _WORDLIKE[b]
+    steps = np.diff(inside.astype(np.int8), prepend=0, append=0)
+    starts, ends = np.flatnonzero(steps == 1), np.flatnonzero(steps == -1)
+    kind = _KIND[b]
+    turns = np.flatnonzero((kind[:-1] == 1) & (kind[1:] > 1) | (kind[:-1] == 2) & (kind[1:] > 2))
+    some = np.unique(np.searchsorted(starts, turns, side="right") - 1)
+    whole = b.tobytes()
+    found = [(whole[i:j].decode(), i) for i, j in zip(starts[some].tolist(), ends[some].tolist(), strict=True)]
+    kept = [(t, i) for t, i in found if IDENTIFIER.fullmatch(t)]
+    return [t for t, _ in kept], [i for _, i in kept]
+
+
+def _plain_pairs(b: np.ndarray) -> np.ndarray:
+    """Counts over texts as they stand, with their words put together in capitals, and with a sign between words.
+
+    The last two are what names look like that are made of plain words. Texts are parted by a
+    zero, so that no pair crosses from one to the next.
+    """
+    letter, apart = _LETTER[b], b == 0
+    before = np.concatenate([[False], letter[:-1]])
+    first = letter & ~(before | np.concatenate([[False], b[:-1] >= _SIZE]))
+    capital = np.where(letter, np.where(first, b & 0xDF, b | 0x20), 0)[letter | apart]
+    begins = before | np.concatenate([[True], apart[:-1]])
+    signed = np.where(letter, b, np.where(apart, 0, ord("/")))[letter | apart | begins]
+    return _counted(np.where(b < _SIZE, b, 0)) + _counted(capital) + _counted(signed)
+
+
 def _chances(counts: np.ndarray, prior: np.ndarray, share: float = 0.5) -> np.ndarray:
     """Transition probabilities: ``share`` from the counts of a row, where it has any, the rest from the prior."""
     sums = counts.sum(axis=1, keepdims=True)
@@ -95,18 +135,21 @@ def train(docs: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         random, plain, named = (np.zeros(_SIZE * _SIZE, np.int64) for _ in range(3))
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                if text:
-                    plain += _pairs(text) + _pairs(_APART.sub("", text.title())) + _pairs(_APART.sub("/", text))
-                    values = _values(text)
-                    if values:
-                        inner = _pairs(" ".join(values))
-                        random += inner
-                        plain -= np.minimum(inner, plain)
-                    known = set(values)
-                    if names := [m[0] for m in IDENTIFIER.finditer(text) if m[0] not in known]:
-                        named += _pairs(" ".join(names))
+        for batch in chunks(batches, 200):
+            texts = [t for t in batch.column("text").to_pylist() if t]
+            joined = _bytes("\0".join(texts))
+            plain += _plain_pairs(joined)
+            known = []
+            for text in texts:
+                values = _values(text)
+                known.append(set(values))
+                if values:
+                    inner = _pairs(" ".join(values))
+                    random += inner
+                    plain -= np.minimum(inner, plain)
+            names, at = _names(joined)
+            of = np.searchsorted(np.cumsum([len(t.encode("utf-8", "surrogatepass")) + 1 for t in texts]), at, side="right").tolist() if at else []
+            named += _pairs(" ".join([n for n, k in zip(names, of, strict=True) if n not in known[k]]))
         at = np.flatnonzero(random + plain + named)
         yield pa.record_batch({"pair": pa.array(at), "random": pa.array(random[at]), "plain": pa.array(plain[at]), "named": pa.array(named[at])})
 
@@ -120,7 +163,7 @@ def train(docs: DataFrame) -> np.ndarray:
     plain[:, _SIGNS] = plain[:, _SIGNS].mean(axis=1, keepdims=True)
     plain[_SIGNS, :] = plain[_SIGNS, :].mean(axis=0, keepdims=True)
     # As much prior as data, so that one frequent alphabet doesn't stand for all random strings.
-    prior = np.where(_ALNUM, 1.0, 0.05) * _WORDLIKE
+    prior = np.where(_ALNUM, 1.0, 0.05) * _WORDLIKE[:_SIZE]
     usual = _chances(named, (plain + 0.5) / (plain + 0.5).sum(axis=1, keepdims=True))
     return np.log(np.maximum(_chances(random, prior[None, :] / prior.sum()), 1e-6)) - np.log(usual)
 
