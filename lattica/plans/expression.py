@@ -77,6 +77,47 @@ def faults(nodes: DataFrame) -> DataFrame:
     return arity.union(empty).union(twice).distinct()
 
 
+def checked(nodes: DataFrame, expected: DataFrame, depth: int) -> DataFrame:
+    """tree_id and code of what breaks a rule of expressions, with ``expected`` (tree_id, leaf_id) and the greatest depth.
+
+    invalid_expression_leaf (a leaf that isn't expected, or has children);
+    invalid_expression_node (an unknown operator, or one with a leaf's name);
+    invalid_expression_not (other than one child); redundant_conjunctive_requirement (a leaf
+    below two children of an all: under different children of an any it may stand twice);
+    expression_requirement_coverage (an expected leaf that is nowhere).
+
+    Every node carries the path of the alls above it and of the children that lead down from
+    them, so that a leaf twice below one all shows as two children of one path.
+    """
+    parent = F.col("parent_id").alias("node_id")
+    sizes = nodes.where("parent_id is not null").groupBy("tree_id", parent).agg(F.count("*").alias("n"))
+    sized = nodes.join(sizes, ["tree_id", "node_id"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    known = sized.where("op = 'leaf'").join(expected.select("tree_id", "leaf_id", F.lit(True).alias("_expected")).distinct(), ["tree_id", "leaf_id"], "left")
+    code = lambda df, name: df.select("tree_id", F.lit(name).alias("code"))
+    found = [
+        code(known.where("_expected is null or n > 0"), "invalid_expression_leaf"),
+        code(sized.where("op <> 'leaf' and (op not in ('all', 'any', 'not') or leaf_id is not null)"), "invalid_expression_node"),
+        code(sized.where("op = 'not' and n <> 1"), "invalid_expression_not"),
+    ]
+    none = F.array().cast("array<struct<node:string,child:string>>")
+    name = F.col("node_id").cast("string")
+    level = nodes.where("parent_id is null").select("tree_id", "node_id", "op", "leaf_id", none.alias("path"))
+    leaves = level.where("op = 'leaf'")
+    for d in range(1, depth + 1):
+        above = level.where("op <> 'leaf'").select("tree_id", F.col("node_id").alias("parent_id"), F.col("op").alias("_op"), F.col("path").alias("_path"))
+        step = F.when(F.col("_op") == "all", F.array_append("_path", F.struct(F.col("parent_id").cast("string").alias("node"), name.alias("child")))).otherwise(F.col("_path"))
+        level = nodes.where(F.col("depth") == d).join(above, ["tree_id", "parent_id"]).select("tree_id", "node_id", "op", "leaf_id", step.alias("path"))
+        leaves = leaves.union(level.where("op = 'leaf'"))
+    ways = leaves.select("tree_id", "leaf_id", F.explode("path").alias("p")).groupBy("tree_id", "leaf_id", "p.node").agg(F.count_distinct("p.child").alias("ways"))
+    found.append(code(ways.where("ways > 1"), "redundant_conjunctive_requirement"))
+    missing = expected.select("tree_id", "leaf_id").join(nodes.where("op = 'leaf'").select("tree_id", "leaf_id"), ["tree_id", "leaf_id"], "left_anti")
+    found.append(code(missing, "expression_requirement_coverage"))
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return out.distinct()
+
+
 def simplified(placements: DataFrame, case: str = "case_id") -> tuple[DataFrame, DataFrame]:
     """Placements without branches that hold all of another branch of their group, and requirements that are left without any.
 

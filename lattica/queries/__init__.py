@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import facts, landed, relational, semantic, stateful, textual
+from . import facts, landed, recovery, relational, semantic, stateful, textual
 from .registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "facts", "landed", "relational", "semantic", "stateful", "textual"]
+__all__ = ["ORACLE", "QUERIES", "facts", "landed", "recovery", "relational", "semantic", "stateful", "textual"]
