@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.state import checkpointed
 from ..sources.blocks import clauses
 
 
@@ -57,7 +58,9 @@ def repaired(rows: DataFrame, repairs: Sequence[Repair]) -> DataFrame:
 def repaired_with_review(rows: DataFrame, repairs: Sequence[Repair], case: str, text: str) -> tuple[DataFrame, DataFrame]:
     """``repaired`` rows, and the candidates (case, text, review_reason, blocks) that repairs left to a person, each once.
 
-    A dropped row sees no later repair. Both sides come from one pass over the rows.
+    A dropped row sees no later repair. Both sides come from one pass over the rows, which is
+    written to the shared folder: else the optimiser would push what tells them apart through
+    every repair, into a condition that doubles with each.
     """
     none = F.array().cast("array<struct<reason:string,blocks:boolean>>")
     out = rows.withColumns({"repairs": F.array().cast("array<string>"), "_reviews": none, "_gone": F.lit(False)})
@@ -71,6 +74,7 @@ def repaired_with_review(rows: DataFrame, repairs: Sequence[Repair], case: str,
         if r.drop:
             added["_gone"] = F.col("_gone") | F.col("_hit")
         out = out.withColumns(added).drop("_hit")
+    out = checkpointed(out)
     candidates = out.where(F.size("_reviews") > 0).select(case, F.col(text).alias("text"), F.explode("_reviews").alias("_r")).select(case, "text", F.col("_r.reason").alias("review_reason"), F.col("_r.blocks").alias("blocks"))
     return out.where(~F.col("_gone")).drop("_reviews", "_gone"), candidates.distinct()
 

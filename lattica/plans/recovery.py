@@ -46,7 +46,7 @@ class Gate:
 
     ``known`` is an SQL condition that says of a row of requirements whether it is this one
     already; with ``once`` "number" only if its number is the same. ``said`` is one that says
-    whose texts may hold this one's already. ``once`` is how often a gate is recovered in a
+    whose texts may hold this one's already; with ``further`` other texts may as well. ``once`` is how often a gate is recovered in a
     case: "case", or for each "text" or "number". ``proposition`` is the part of the match
     that says it.
     """
@@ -57,6 +57,7 @@ class Gate:
     attributes: Mapping[str, str | Callable[[], Column]] = field(default_factory=dict)
     known: str | None = None
     said: str | None = None
+    further: bool = False
     once: str = "case"
     heading: str | None = None
     within: int = 1500
@@ -134,7 +135,9 @@ def recovered(blocks: DataFrame, requirements: DataFrame, gates: Sequence[Gate],
         if g.known:
             own_has = own_has | (F.array_contains(f"_known_{g.name}", F.col("number")) if g.once == "number" else F.col(f"_known_{g.name}"))
         if g.said:
-            own_has = own_has | F.coalesce(F.col(f"_said_{g.name}"), F.lit("")).contains(text) | F.coalesce("_more", F.lit("")).contains(text)
+            own_has = own_has | F.coalesce(F.col(f"_said_{g.name}"), F.lit("")).contains(text)
+        if g.further:
+            own_has = own_has | F.coalesce("_more", F.lit("")).contains(text)
         has = F.when(F.col("gate") == g.name, F.coalesce(own_has, F.lit(False))).otherwise(has)
     apart = F.when(F.col("gate").isin([g.name for g in gates if g.once == "text"]), text).when(F.col("gate").isin([g.name for g in gates if g.once == "number"]), F.col("number").cast("string"))
     first = Window.partitionBy(case, "gate", apart).orderBy("document", "block_index")
