@@ -39,6 +39,12 @@ def try_date(c: Column) -> Column:
     return F.coalesce(*[F.when(t.rlike(shape), F.to_date(F.try_to_timestamp(t, F.lit(f)))) for f, shape in _SHAPES.items()])
 
 
+def tolerant_date(c: Column) -> Column:
+    """The ISO date that the first ten characters are, else null; what comes after may be anything."""
+    head = F.substring(c.cast("string"), 1, 10)
+    return F.when(head.rlike(_SHAPES["yyyy-MM-dd"]), F.to_date(F.try_to_timestamp(head, F.lit("yyyy-MM-dd"))))
+
+
 def parse_date(c: Column) -> Column:
     return _or_raise(try_date(c), text(c), "a date")
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import codecs
 from ..functions.match import word_runs
 from ..operators import citations as cite
 from ..operators import text as t
@@ -199,6 +200,54 @@ def raw_records(spark: SparkSession, folder: str) -> DataFrame:
     return landing.raw_records(table(spark, folder, "events"), "props").select("event_id", "user_id", "source_record_hash")
 
 
+@query("""
+SELECT l_orderkey AS page_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag) - 1 AS INTEGER) AS place, CAST(l_linenumber AS VARCHAR) AS number, l_returnflag AS flag FROM lineitem
+""")
+def xml_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages of XML to JSON without a schema, with one item or many, and the records in them."""
+    item = F.concat(F.lit("<n:item><no> "), F.col("l_linenumber").cast("string"), F.lit(" </no><n:flag x='1'>"), F.col("l_returnflag"), F.lit("</n:flag></n:item>"))
+    lines = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", item.alias("x")))).alias("items"))
+    xml = F.concat(F.lit("<?xml version='1.0'?><r xmlns:n='urn:x'><body><items>"), F.array_join(F.transform("items", lambda i: i["x"]), "\n"), F.lit("</items></body></r>"))
+    pages = landing.xml_json(lines.select(F.col("l_orderkey").alias("page_id"), xml.alias("xml")), "xml")
+    found = landing.records(pages.drop("xml"), "json", "body.items.item[]", "body.totalCount")
+    return found.select("page_id", "place", F.get_json_object("payload", "$.no").alias("number"), F.get_json_object("payload", "$.flag").alias("flag"))
+
+
+@query("""
+WITH o AS (SELECT o_orderstatus AS operation, CAST(o_orderdate AS DATE) AS day, o_orderkey, row_number() OVER (PARTITION BY o_orderstatus, date_trunc('month', o_orderdate) ORDER BY o_orderkey) AS i,
+  count(*) OVER (PARTITION BY o_orderstatus, date_trunc('month', o_orderdate)) AS n, date_trunc('month', o_orderdate) AS m FROM orders)
+SELECT operation, CAST(m AS DATE) AS window_start, CAST(1 + (i - 1) // 4 AS INTEGER) AS page, CAST((i - 1) % 4 AS INTEGER) AS place, sha256('{"key":' || o_orderkey || '}') AS source_record_hash
+FROM o WHERE operation <> 'P' AND m >= DATE '1996-01-01' AND m < DATE '1999-01-01'
+""")
+def extracted_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Landed pages of operations and monthly windows, read up to the total of each, to raw records.
+
+    Each window has its pages of four records, and one more that landed beyond the total.
+    """
+    orders = table(spark, folder, "orders").select(F.col("o_orderstatus").alias("operation"), F.trunc("o_orderdate", "month").alias("window_start"), "o_orderkey")
+    key = ["operation", "window_start"]
+    w = Window.partitionBy(*key)
+    placed = orders.withColumn("i", F.row_number().over(w.orderBy("o_orderkey")) - 1).withColumn("n", F.count("*").over(w))
+    items = F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda k: F.struct(k.alias("key")))
+    full = placed.groupBy(*key, (F.floor(F.col("i") / 4) + 1).cast("int").alias("page")).agg(items.alias("item"), F.max("n").alias("totalCount"))
+    last = full.groupBy(*key).agg((F.max("page") + 1).alias("page"), F.max_by("item", "page").alias("item"), F.max("totalCount").alias("totalCount"))
+    bodies = full.unionByName(last).select(*key, "page", F.to_json(F.struct(F.struct("item", "totalCount").alias("body"))).alias("body"))
+    wanted = bodies.where((F.col("operation") != "P") & (F.col("window_start") >= "1996-01-01") & (F.col("window_start") < "1999-01-01"))
+    pages = landing.read_pages(wanted, 4, 1000, "body", "body.totalCount", key)
+    found = landing.raw_records(landing.records(pages, "body", "body.item[]", "body.totalCount"))
+    return found.select(*key, "page", "place", "source_record_hash")
+
+
+@query("""
+SELECT event_id, CASE WHEN event_id % 3 = 0 THEN CAST(ts AS DATE) END AS day FROM events
+""")
+def tolerant_dates(spark: SparkSession, folder: str) -> DataFrame:
+    """Dates at the start of texts, null where there is none."""
+    day, i = F.date_format("ts", "yyyy-MM-dd"), F.col("event_id")
+    written = F.when(i % 3 == 0, F.concat(day, F.lit("T09:00 or so"))).when(i % 3 == 1, F.concat(F.lit(" "), day)).otherwise(F.lit("2024-13-45"))
+    return table(spark, folder, "events").select("event_id", codecs.tolerant_date(written).alias("day"))
+
+
 @query("SELECT user_id, CAST(place AS INTEGER) AS place, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS place FROM events)")
 def record_path(spark: SparkSession, folder: str) -> DataFrame:
     """Records inside pages of JSON, one page for each user."""

@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import json
 import random
 import re
 import zipfile
@@ -247,6 +248,16 @@ def test_sources(spark):
         landing.records(spark.createDataFrame([(3, '{"body":{"totalCount":2}}')], "page long, body string"), "body", "body.items.item[]", "body.totalCount").collect()
     xml = one(spark, landing.decoded_xml(F.lit("<r xmlns:n='u'><n:item><a> 1 </a></n:item></r>"), "item array<struct<a:string>>"))
     assert xml["item"][0]["a"] == "1"
+    bodies = [(1, "<r xmlns:n='u'><n:item> x </n:item><item/><a>1</a><b><c>2</c><!-- no --></b></r>"), (2, "<one> t </one>"), (3, "<open>"), (4, None), (5, "<r><item>only</item></r>")]
+    as_json = {r["k"]: r["json"] for r in landing.xml_json(spark.createDataFrame(bodies, "k int, x string"), "x").collect()}
+    assert {k: v and json.loads(v) for k, v in as_json.items()} == {1: {"item": ["x", ""], "a": "1", "b": {"c": "2"}}, 2: "t", 3: None, 4: None, 5: {"item": "only"}}
+    landed = spark.createDataFrame([(o, p, '{"total": %d, "o": %d}' % (t, p)) for o, ps, t in (("a", (1, 2, 3, 4), 5), ("b", (1, 3), 9), ("c", (1, 2), 0), ("d", (2,), 9), ("e", (1, 2), 2)) for p in ps], "o string, page int, body string")
+    read = lambda most: sorted((r["o"], r["page"]) for r in landing.read_pages(landed, 2, most, "body", "total", ["o"]).collect())
+    assert read(3) == [("a", 1), ("a", 2), ("a", 3), ("b", 1), ("c", 1), ("e", 1)]
+    with pytest.raises(PySparkException):
+        read(2)
+    mixed = spark.createDataFrame([(1, "<table class='y'><tr><th>name</th><td>v<td>w</tr><tr><th>only</th></tr><tr><td>a<table class='y'><tr><td>in</td></tr></table>b</td></tr></table><table><tr><td>other</td></tr></table>")], "k long, h string")
+    assert [r["cells"] for r in landing.html_rows(mixed, "k", "h", "y").collect()] == [["v", "w"], ["ainb"]]
     html = spark.createDataFrame([(1, "<table class='x'><tr><td>no</td></tr></table><table class='y z'><tr><th>h</th></tr><tr><td>a<br>b</td><td><table><tr><td>in</td></tr></table> c </td></tr></table>")], "k long, h string")
     assert [r["cells"] for r in landing.html_rows(html, "k", "h", "y").collect()] == [["a b", "in c"]]
     buffer = io.BytesIO()
