@@ -78,7 +78,7 @@ def notice_slots(spark: SparkSession, folder: str) -> DataFrame:
 
 def _region_records(spark: SparkSession, folder: str) -> DataFrame:
     name = F.get(F.array(*[F.lit(n) for n in ("전국", "서울특별시", " 경기도 ", "나라")]), (F.col("l_suppkey") % 4).cast("int"))
-    lines = table(spark, folder, "lineitem").where("l_linenumber <= 2").join(table(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = table(spark, folder, "lineitem").join(table(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     return _records(lines, F.lit(records.REGION_OPERATION), {
         "bidNtceNo": F.col("o_orderkey"), "bidNtceOrd": F.lpad((F.col("o_custkey") % 3).cast("string"), 2, "0"), "prtcptPsblRgnNm": name,
         "lmtSno": F.when(F.col("l_linenumber") == 1, "").otherwise(_text("l_linenumber")),
@@ -87,7 +87,7 @@ def _region_records(spark: SparkSession, folder: str) -> DataFrame:
 
 _REGIONS = f"""
 WITH r AS (SELECT {_KEYS}, CASE l_linenumber WHEN 1 THEN '0' ELSE CAST(l_linenumber AS VARCHAR) END AS restriction_sequence, ['전국', '서울특별시', '경기도', '나라'][l_suppkey % 4 + 1] AS participation_region_name,
-  ['00', '11', '41', NULL][l_suppkey % 4 + 1] AS participation_region_code FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_linenumber <= 2)
+  ['00', '11', '41', NULL][l_suppkey % 4 + 1] AS participation_region_code FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
 """
 
 
