@@ -26,6 +26,12 @@ MARKERS = {
     "consortium": r"공동수급|공동계약|공동도급|컨소시엄|단독이행|단독\s*참가",
 }
 
+#: A notice that consists of one sentence: industry and its code, region, certificate.
+SIMPLE = (
+    r"^\s*입찰참가자는\s+([^,]+?)\s*\(\s*(?:업종)?코드\s*[:：]?\s*(\d{4})\s*\)\s*등록업체로서\s+([가-힣]+(?:특별시|광역시|특별자치시|특별자치도|도))에\s+소재하고\s*,?\s*"
+    r"(중소기업\s*확인서)를\s+소지하여야\s+한다[.。]?\s*$"
+)
+
 #: Java's pattern flags for what these patterns mean: classes of Unicode, lines that end at line feeds alone.
 _FLAGS = "(?Ud)"
 
@@ -239,6 +245,32 @@ def recovered(blocks: DataFrame, requirements: DataFrame, case: str, unresolved:
     return every, recovery.pruned(texts, every, GATES, case).union(added.select(case, "text"))
 
 
+def simple_facts(blocks: DataFrame, structured: DataFrame, case: str) -> DataFrame:
+    """The three requirements of cases that are recognised whole: one document of one block that is the sentence ``SIMPLE``, and no structured requirements (case).
+
+    Columns: case, id, type, operator, value_text, attributes, proposition_text and its places,
+    original_text, document, block_index. Anything else in a case leaves it to other ways.
+    """
+    text, pattern = F.col("text"), _FLAGS + SIMPLE.replace("$", r"\z")
+    alone = blocks.groupBy(case).agg(F.count("*").alias("_n"), F.first("document").alias("document"), F.first("block_index").alias("block_index"), F.first("text").alias("text"))
+    hits = alone.where((F.col("_n") == 1) & text.rlike(pattern)).join(structured.select(case).distinct(), case, "left_anti")
+    industry, code, region, certificate = (F.regexp_extract(text, pattern, i) for i in range(1, 5))
+
+    def said(i: int, kind: str, operator: str, value: Column, head: str, attributes: dict[str, Column | str]) -> Column:
+        proposition = F.regexp_extract(text, f"{_FLAGS}{head}", 0)
+        start = F.position(proposition, text) - 1
+        named = F.create_map(*[x for n, v in attributes.items() for x in (F.lit(n), F.lit(v) if isinstance(v, str) else v)])
+        return F.struct(F.lit(f"r{i}").alias("id"), F.lit(kind).alias("type"), F.lit(operator).alias("operator"), value.alias("value_text"), named.alias("attributes"), proposition.alias("proposition_text"), start.alias("proposition_start"), (start + F.length(proposition)).alias("proposition_end"))
+
+    each = F.array(
+        said(1, "industry_license", "exists", industry, r"(?<=입찰참가자는\s)(?=\S)[^,]+?\s*\(\s*(?:업종)?코드\s*[:：]?\s*\d{4}(?:\s|\))", {"industry_name": industry, "industry_code": code}),
+        said(2, "participation_region", "in", region, r"[가-힣]+(?:특별시|광역시|특별자치시|특별자치도|도)에\s+소재하고", {"region_name": region}),
+        said(3, "certificate", "exists", certificate, r"중소기업\s*확인서를\s+소지하여야\s+한다", {"certificate_type": "small_business_confirmation"}),
+    )
+    rows = hits.select(case, "document", "block_index", text.alias("original_text"), F.explode(each).alias("_f"))
+    return rows.select(case, "_f.*", "original_text", "document", "block_index")
+
+
 def scale_clauses(blocks: DataFrame, case: str) -> DataFrame:
     """case, block and clause where a small enterprise or a small business owner will do, for ``recovery.alternatives`` with COMPANY_SCALES."""
     each = F.explode(F.regexp_extract_all("text", F.lit(_FLAGS + SCALE_CLAUSE), F.lit(0)))

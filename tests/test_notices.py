@@ -119,6 +119,17 @@ def test_scales(spark):
     assert all(r["clause"][r["proposition_start"] : r["proposition_end"]] == r["value_text"] for r in got)
 
 
+def test_simple_notices(spark):
+    text = " 입찰참가자는 정보통신공사업 ( 업종코드: 0036 ) 등록업체로서 강원특별자치도에 소재하고, 중소기업 확인서를 소지하여야 한다."
+    blocks = [(1, "d", 0, text), (2, "d", 0, text), (3, "d", 0, text), (3, "e", 0, "x"), (4, "d", 0, text + " 단, 예외 있음"), (5, "d", 0, None), (6, "d", 0, text.replace("중소기업", "여성기업")), (7, "d", 3, text.strip().replace("업종코드: 0036 )", "코드 0036)") + "\n")]
+    rows = notices.simple_facts(spark.createDataFrame(blocks, "case_id int, document string, block_index int, text string"), spark.createDataFrame([(2,)], "case_id int"), "case_id").collect()
+    assert {(r["case_id"], r["id"], r["type"], r["value_text"]) for r in rows} == {(c, *x) for c in (1, 7) for x in (("r1", "industry_license", "정보통신공사업"), ("r2", "participation_region", "강원특별자치도"), ("r3", "certificate", "중소기업 확인서"))}
+    assert all(r["original_text"][r["proposition_start"] : r["proposition_end"]] == r["proposition_text"] for r in rows)
+    said = {(r["case_id"], r["id"]): r["proposition_text"] for r in rows}
+    assert said[1, "r1"] == "정보통신공사업 ( 업종코드: 0036 " and said[7, "r1"] == "정보통신공사업 ( 코드 0036)"
+    assert said[1, "r2"] == "강원특별자치도에 소재하고" and said[1, "r3"] == "중소기업 확인서를 소지하여야 한다" and {tuple(r["attributes"].items()) for r in rows} >= {(("industry_name", "정보통신공사업"), ("industry_code", "0036"))}
+
+
 def test_uncovered(spark):
     rng = random.Random(6)
     spans = [(d, a, a + rng.randrange(12), i) for i, (d, a) in enumerate((rng.randrange(3), rng.randrange(60)) for _ in range(300))]
