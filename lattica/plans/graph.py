@@ -166,6 +166,38 @@ def provenance(found: DataFrame, source: str, operation: str, mapping: str, obse
     return keys.select("object_type", "object_id", F.array(F.struct(*[F.lit(v).alias(k) for k, v in fixed.items()], F.col("record_keys"))).alias("provenance"))
 
 
+#: What provenance is told apart by, besides its record keys.
+SOURCE = ("kind", "source", "operation", "mapping", "observed_at")
+
+
+def merged_provenance(rows: DataFrame) -> DataFrame:
+    """provenance of each object (object_type, object_id) from rows with SOURCE and record_key.
+
+    One struct for each source, operation, mapping and time, in that order, with its record
+    keys in order, each once; a generated one has none. Any number of sources and mappings may
+    speak of an object.
+    """
+    by = ["object_type", "object_id"]
+    keys = rows.groupBy(*by, *SOURCE).agg(F.array_sort(F.collect_set("record_key")).alias("record_keys"))
+    return keys.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*SOURCE, "record_keys"))).alias("provenance"))
+
+
+def presented(objects: DataFrame, links: DataFrame, capability: str, order: Sequence[str], most: int = 200, page: dict[str, int] | None = None, outcome: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The objects that a result shows, and one row about it: status, capability, total_objects, total_links, truncated, page, page_size, total_items, outcome.
+
+    Without ``page`` (page, page_size and total_items) the first ``most`` by ``order``, which
+    must tell objects apart, are shown, and truncated says whether there are more; a page is
+    shown whole.
+    """
+    shown = objects if page is not None else objects.orderBy(*order).limit(most)
+    totals = objects.agg(F.count("*").alias("total_objects")).crossJoin(links.agg(F.count("*").alias("total_links")))  # one row each
+    paged = [F.lit((page or {}).get(n)).cast("long").alias(n) for n in ("page", "page_size", "total_items")]
+    about = totals.select(
+        F.lit("success").alias("status"), F.lit(capability).alias("capability"), "total_objects", "total_links", ((F.col("total_objects") > most) if page is None else F.lit(False)).alias("truncated"), *paged, F.lit(outcome).cast("string").alias("outcome")
+    )
+    return shown, about
+
+
 def variants(rows: DataFrame, base: Sequence[str], groups: dict[str, dict[str, str]], label: str) -> DataFrame:
     """Wide columns to one row for each labelled group: base columns, the label, and the group's own columns under common names.
 
