@@ -135,12 +135,15 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, alpha: float = 0.5, b
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = [ngram_counts(t) for t in batch.column("text").to_pylist()]
-            at = [np.flatnonzero(c) for c in counts]
+            buckets, counts = [], []
+            for text in batch.column("text").to_pylist():
+                dense = ngram_counts(text)  # one at a time; the buckets that it has are few
+                at = np.flatnonzero(dense)
+                buckets.append(at.astype("<u2").tobytes())
+                counts.append(dense[at].astype("<i4").tobytes())
             yield pa.record_batch({
                 "lang": batch.column("lang"), "place": batch.column("place"), "draw": batch.column("draw"),
-                "buckets": pa.array([a.astype("<u2").tobytes() for a in at], pa.binary()),
-                "counts": pa.array([c[a].astype("<i4").tobytes() for c, a in zip(counts, at, strict=True)], pa.binary()),
+                "buckets": pa.array(buckets, pa.binary()), "counts": pa.array(counts, pa.binary()),
             })
 
     counted = checkpointed(sample.mapInArrow(sparse, "lang string, place int, draw double, buckets binary, counts binary"))
