@@ -1,7 +1,9 @@
 """A corpus pipeline of five stages, each of which calls one corpus operator.
 
 Every stage takes (spark, docs, sf_dir) and its result is written as Parquet and read again
-as the next one's docs. All but the last return the columns of documents.
+as the next one's docs. All but the last return the columns of documents, whatever their
+names. Empty tables pass through all stages; texts of any length are one row in each until
+they are cut into pieces of sequences.
 """
 
 from __future__ import annotations
@@ -16,12 +18,19 @@ from lattica.llm.common import checkpoint_folder, remove
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognised language go."""
+    """Documents without a recognised language go: null and empty texts, and those without letters or a clear winner.
+
+    Null ids and repeated rows are documents like any other.
+    """
     return langid.recognised(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one with the smallest doc_id."""
+    """One document of each group of near-duplicates stays, the one with the smallest doc_id, null ids last.
+
+    Texts without words are one group. Of rows equal in doc_id and text one stays, the same in
+    every run.
+    """
     return simhash.deduplicated(docs)
 
 
