@@ -119,27 +119,42 @@ def windows(start: str, end: str, days: int, spark) -> DataFrame:
     return each.select("window_start", F.least(F.date_add("window_start", days - 1), F.col("z")).alias("window_end"))
 
 
-def covered(rows: DataFrame, group: str, failed: Column, links: Sequence[str], key: str, rounds: int = 10_000) -> DataFrame:
-    """Failed rows that some row of their group, not failed, covers over shared values of ``links``, directly or through others.
+def stars(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """node and centre: the smallest node that can be reached, of every node of ``edges`` (a, b) that has another as its smallest.
 
-    Labels spread until no row gains cover; each round is one aggregate for each link, and
-    spreads over every link in turn. Raises if that takes more than ``rounds``.
+    Each round first ties what lies above a node to the least of its neighbours, then what lies
+    below it, until every node hangs on its centre: some rounds more than the logarithm of the
+    longest way. Raises if that takes more than ``rounds``.
     """
-    state = checkpointed(rows.select(group, key, *links, failed.alias("failed"), (~failed).alias("covered")))
-    before = -1
+    ties = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low")).distinct())
+    before = None
     for _ in range(rounds):
-        reached = state
-        for link in links:
-            known = state.where(F.col(link).isNotNull()).groupBy(group, link).agg(F.max("covered").alias("_via"))
-            reached = reached.join(known, [group, link], "left").withColumn("covered", F.col("covered") | F.coalesce("_via", F.lit(False))).drop("_via")
-        state = checkpointed(reached)
-        now = state.where("covered").count()
+        ends = ties.union(ties.select("low", "high")).toDF("node", "other")
+        least = ends.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("least"))
+        up = ends.where("other > node").join(least, "node").select(F.col("other").alias("high"), F.col("least").alias("low")).distinct()
+        lowest = up.groupBy("high").agg(F.min("low").alias("least"))
+        across = up.join(lowest, "high").where("low <> least").select(F.col("low").alias("high"), F.col("least").alias("low"))
+        ties = checkpointed(across.union(lowest.select("high", F.col("least").alias("low"))).distinct())
+        now = ties.agg(F.count("*"), F.sum(F.xxhash64("high", "low").cast("decimal(38,0)"))).first()
         if now == before:
-            break
+            return ties.select(F.col("high").alias("node"), F.col("low").alias("centre"))
         before = now
-    else:
-        raise RuntimeError("cover did not settle")
-    return state.where("failed and covered").select(group, key)
+    raise RuntimeError("stars did not settle")
+
+
+def covered(rows: DataFrame, group: str, failed: Column, links: Sequence[str], key: str, rounds: int = 60) -> DataFrame:
+    """Failed rows that some row of their group, not failed, covers over shared values of ``links``, directly or through others.
+
+    The values of a row are tied to each other, and what hangs on one centre is covered if some
+    row of it hasn't failed. Null values tie nothing; the null group is a group.
+    """
+    values = F.array_compact(F.array(*[F.when(F.col(link).isNotNull(), F.to_json(F.struct(F.col(group).alias("g"), F.lit(i).alias("i"), F.col(link).alias("v")))) for i, link in enumerate(links)]))
+    own = checkpointed(rows.select(group, key, failed.alias("_failed"), values.alias("_values")).where(F.size("_values") > 0))
+    first = F.get("_values", F.lit(0))
+    edges = own.where(F.size("_values") > 1).select(first.alias("a"), F.explode(F.slice("_values", 2, len(links))).alias("b")).distinct()
+    placed = own.select(group, key, "_failed", first.alias("node")).join(stars(edges, rounds), "node", "left").withColumn("centre", F.coalesce("centre", "node"))
+    alive = placed.where(~F.col("_failed")).select("centre").distinct()
+    return placed.where("_failed").join(alive, "centre", "left_semi").select(group, key)
 
 
 def advanced(checkpoints: DataFrame, rows: DataFrame, now: Column, key: str = "pipeline_id") -> DataFrame:
