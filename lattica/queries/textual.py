@@ -222,7 +222,8 @@ FROM o WHERE operation <> 'P' AND m >= DATE '1996-01-01' AND m < DATE '1999-01-0
 def extracted_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Landed pages of operations and monthly windows, read up to the total of each, to raw records.
 
-    Each window has its pages of four records, and one more that landed beyond the total.
+    Each window has its pages of four records, as many as its orders need, and one more that
+    landed beyond the total.
     """
     orders = table(spark, folder, "orders").select(F.col("o_orderstatus").alias("operation"), F.trunc("o_orderdate", "month").alias("window_start"), "o_orderkey")
     key = ["operation", "window_start"]
@@ -233,7 +234,7 @@ def extracted_pages(spark: SparkSession, folder: str) -> DataFrame:
     last = full.groupBy(*key).agg((F.max("page") + 1).alias("page"), F.max_by("item", "page").alias("item"), F.max("totalCount").alias("totalCount"))
     bodies = full.unionByName(last).select(*key, "page", F.to_json(F.struct(F.struct("item", "totalCount").alias("body"))).alias("body"))
     wanted = bodies.where((F.col("operation") != "P") & (F.col("window_start") >= "1996-01-01") & (F.col("window_start") < "1999-01-01"))
-    pages = landing.read_pages(wanted, 4, 1000, "body", "body.totalCount", key)
+    pages = landing.read_pages(wanted, 4, None, "body", "body.totalCount", key)
     found = landing.raw_records(landing.records(pages, "body", "body.item[]", "body.totalCount"))
     return found.select(*key, "page", "place", "source_record_hash")
 
