@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -96,26 +96,58 @@ def refined(blocks: DataFrame, key: list[str], limit: int = REFINE) -> DataFrame
     return own.mapInPandas(run, f"{schema}, parent_start int, parent_end int, piece int, text string")
 
 
-#: Fixed value: where a clause ends, at a full stop or before a numbered item.
-CLAUSE = re.compile(r"[^\n]+?(?:[.!?](?=\s|$)|(?=\s+(?:\d+|[가-힣])[.)]\s)|$)")
+#: Fixed value: where a clause ends, at a full stop or in the white space before a numbered item.
+_ENDS = re.compile(r"([.!?])(?=\s|$)|(?<!\s)\s++(?=(?:\d++|[가-힣])[.)]\s)")
 
 
-def clauses(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """Clauses of the size of a sentence or a line, as they stand in the text: key, clause_start, clause_end and clause, without white space around."""
+def clauses_of(text: str) -> list[tuple[int, int]]:
+    """Places of the clauses: what ``[^\\n]+?(?:[.!?](?=\\s|$)|(?=\\s+(?:\\d+|[가-힣])[.)]\\s)|$)`` finds, one after the other.
+
+    Ends are looked up once for the whole text. The pattern itself would try every place of a
+    line without an end again, for a time that grows with the square of the line.
+    """
+    # The first and last place at which each end may be, and what it adds to the clause.
+    ends = [(m.start(), m.start(), 1) if m[1] else (m.start(), m.end() - 1, 0) for m in _ENDS.finditer(text)]
+    if text.endswith("\n"):
+        ends.append((len(text) - 1, len(text) - 1, 0))
+    ends.append((len(text), len(text), 0))
+    found = []
+    at, i, line = 0, 0, -1
+    while at < len(text):
+        if text[at] == "\n":
+            at += 1
+            continue
+        if line < at:
+            line = text.find("\n", at)
+            line = len(text) if line < 0 else line
+        while ends[i][1] <= at:
+            i += 1
+        stop = max(ends[i][0], at + 1)
+        if stop > line:  # nothing ends in what is left of the line
+            at = line
+            continue
+        found.append((at, stop + ends[i][2]))
+        at = found[-1][1]
+    return found
+
+
+def clauses(rows: DataFrame, key: str, text: str = "text", carried: Sequence[str] = ()) -> DataFrame:
+    """Clauses of the size of a sentence or a line, as they stand in the text: key, clause_start, clause_end and clause, without white space around; and the columns ``carried`` of the text's row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = []
-            for k, t in batch.itertuples(index=False):
-                for m in CLAUSE.finditer(t or ""):
-                    inner = m[0].strip()
+            for k, t, *more in batch.itertuples(index=False):
+                for a, z in clauses_of(t or ""):
+                    inner = t[a:z].strip()
                     if inner:
-                        start = m.start() + m[0].index(inner)
-                        found.append((k, start, start + len(inner), inner))
-            yield pd.DataFrame(found, columns=[key, "clause_start", "clause_end", "clause"])
+                        start = a + t[a:z].index(inner)
+                        found.append((k, start, start + len(inner), inner, *more))
+            yield pd.DataFrame(found, columns=[key, "clause_start", "clause_end", "clause", *carried])
 
-    kind = rows.schema[key].dataType.simpleString()
-    return rows.select(key, text).mapInPandas(run, f"{key} {kind}, clause_start int, clause_end int, clause string")
+    kind = lambda c: f"{c} {rows.schema[c].dataType.simpleString()}"
+    schema = [kind(key), "clause_start int", "clause_end int", "clause string", *map(kind, carried)]
+    return rows.select(key, text, *carried).mapInPandas(run, ", ".join(schema))
 
 
 def kind_of(content: Column, name: Column) -> Column:
