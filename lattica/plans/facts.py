@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.match import let
 from ..operators.state import checkpointed
 from ..sources.blocks import clauses
 
@@ -113,28 +114,30 @@ def atomic(rows: DataFrame, key: str, markers: dict[str, str]) -> tuple[DataFram
     counts, the shorter of equals; not if none has a word and there are several, or if the
     second has as many words and another text. A type without a marker is never certain.
     """
-    original, proposition = F.col("original_text"), F.regexp_replace(F.coalesce(F.col("proposition_text"), F.lit("")), r"(?U)^\s+|\s+$", "")
-    trimmed = F.regexp_replace(original, r"(?U)^\s+|\s+$", "")
-    whole = (proposition == "") | (proposition == trimmed) | ~original.contains(proposition)
-    wide = whole & ((F.length(original) >= WIDE) | (F.length(original) - F.length(F.replace(original, F.lit("\n"), F.lit(""))) >= LINE_ENDS))
+    original = F.col("original_text")
+    trimmed = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    both = F.struct(trimmed(F.coalesce(F.col("proposition_text"), F.lit(""))).alias("p"), trimmed(original).alias("o"))
+    whole = let(both, lambda t: (t["p"] == "") | (t["p"] == t["o"]) | ~original.contains(t["p"]))
+    wide = ((F.length(original) >= WIDE) | (F.length(original) - F.length(F.replace(original, F.lit("\n"), F.lit(""))) >= LINE_ENDS)) & whole
     marked = rows.withColumn("_wide", F.coalesce(wide, F.lit(False)))
-    marker = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in markers.items() for x in pair]), F.col("type")), F.lit("(?!)"))
     wanted = F.array_distinct(F.filter(F.transform(F.regexp_extract_all(F.lower(F.concat_ws(" ", F.col("value_words"))), F.lit(_WORDS), F.lit(0)), lambda w: w), lambda w: F.length(w) >= 2))
-    open_ = marked.where("_wide").select(key, marker.alias("_marker"), wanted.alias("_wanted"), "original_text")
-    parts = clauses(open_, key, "original_text").join(open_.select(key, "_marker", "_wanted"), key)
-    parts = parts.where(F.expr("clause rlike _marker"))
+    open_ = marked.where("_wide").select(key, F.col("type").alias("_type"), wanted.alias("_wanted"), "original_text")
+    hit = F.lit(False)
+    for kind, pattern in markers.items():
+        hit = F.when(F.col("_type") == kind, F.col("clause").rlike(pattern)).otherwise(hit)
+    # What a clause is judged by travels with it, so that no text is joined.
+    parts = clauses(open_, key, "original_text", ["_type", "_wanted"]).where(hit)
     words = F.array_distinct(F.regexp_extract_all(F.lower("clause"), F.lit(_WORDS), F.lit(0)))
     overlap = F.size(F.array_intersect("_wanted", words)) / F.greatest(F.size("_wanted"), F.lit(1))
     w = Window.partitionBy(key).orderBy(F.desc("_overlap"), F.length("clause"), "clause_start")
     ranked = parts.withColumn("_overlap", overlap).withColumns({"_place": F.row_number().over(w), "_n": F.count("*").over(Window.partitionBy(key)), "_next": F.lead(F.struct("_overlap", "clause")).over(w)})
     same = F.coalesce((F.col("_next._overlap") == F.col("_overlap")) & (F.col("_next.clause") != F.col("clause")), F.lit(False))
     best = ranked.where((F.col("_place") == 1) & ~((F.col("_overlap") == 0) & (F.col("_n") > 1)) & ~same).select(key, F.col("clause").alias("_clause"), F.col("clause_start").alias("_start"), F.col("clause_end").alias("_end"))
-    found = marked.join(best, key, "left")
+    best = checkpointed(best)
     cut = {"proposition_text": "_clause", "proposition_start": "_start", "proposition_end": "_end"}
-    kept = found.where(~F.col("_wide") | F.col("_clause").isNotNull())
-    for column, value in cut.items():
-        kept = kept.withColumn(column, F.when(F.col("_wide"), F.col(value)).otherwise(F.col(column)))
-    return kept.select(*rows.columns), found.where(F.col("_wide") & F.col("_clause").isNull()).select(key, "original_text")
+    wide_rows = marked.where("_wide")
+    certain = wide_rows.drop(*cut).join(best.withColumnsRenamed({v: k for k, v in cut.items()}), key).select(*rows.columns)
+    return marked.where("not _wide").select(*rows.columns).union(certain), wide_rows.join(best, key, "left_anti").select(key, "original_text")
 
 
 #: Types whose codes tell requirements apart, what a code looks like, and the wording that forbids joint bids.
