@@ -98,11 +98,8 @@ def period_end(c: Column) -> Column:
 
 
 def coded(c: Column, codes: dict[str, str]) -> Column:
-    """The meaning of a code; unknown codes are null."""
-    found = F.lit(None).cast("string")
-    for code, meaning in codes.items():
-        found = F.when(text(c) == code, meaning).otherwise(found)
-    return found
+    """The meaning of a code; unknown codes are null. The value is worked out once, not once for each code."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in codes.items() for x in pair]), text(c))
 
 
 def listing_status(listed: Column, delisted: Column) -> Column:

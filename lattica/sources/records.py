@@ -90,8 +90,13 @@ def _cleaned(name: str, value: Column) -> Column:
 
 
 def _read(records: DataFrame, keys: set[str]) -> DataFrame:
-    """The records with v, a struct of the payload's texts."""
-    return records.withColumn("v", F.from_json("payload", ", ".join(f"`{k}` string" for k in sorted(keys))))
+    """The records with v, a struct of the payload's texts.
+
+    The struct is a row of its own: else the optimiser would put the parsing in the place of
+    every use of every field, and into the conditions that it moves down.
+    """
+    parsed = F.from_json("payload", ", ".join(f"`{k}` string" for k in sorted(keys)))
+    return records.withColumn("v", F.explode(F.array(parsed)))
 
 
 def _required(columns: list[str], what: str) -> Column:
@@ -198,10 +203,14 @@ def contract_organizations(records: DataFrame, order: Column) -> DataFrame:
     return every.groupBy("organization_code").agg(F.max_by(last, F.struct("o", "unified_contract_number", "at")).alias("l")).select("organization_code", "l.*")
 
 
+def _limits() -> Column:
+    code, name = F.col("participation_region_code"), F.col("participation_region_name")
+    return ~code.eqNullSafe(F.lit(NATIONWIDE_CODE)) & ~name.eqNullSafe(F.lit(NATIONWIDE_NAME))
+
+
 def limiting_regions(regions: DataFrame) -> DataFrame:
     """Regions that restrict: neither the code nor the name of the whole country."""
-    code, name = F.col("participation_region_code"), F.col("participation_region_name")
-    return regions.where(~code.eqNullSafe(F.lit(NATIONWIDE_CODE)) & ~name.eqNullSafe(F.lit(NATIONWIDE_NAME)))
+    return regions.where(_limits())
 
 
 def region_conflicts(notices_: DataFrame, regions: DataFrame) -> DataFrame:
@@ -212,8 +221,8 @@ def region_conflicts(notices_: DataFrame, regions: DataFrame) -> DataFrame:
     a restricting list the summary's region stands for it.
     """
     key = ["notice_number", "notice_order"]
-    limited = limiting_regions(regions).select(*key, F.struct("restriction_sequence", F.col("participation_region_code").alias("code"), F.col("participation_region_name").alias("name")).alias("r"))
-    lists = regions.groupBy(*key).agg(F.lit(True).alias("detailed")).join(limited.groupBy(*key).agg(F.array_sort(F.collect_list("r")).alias("list")), key, "left")
+    one = F.struct("restriction_sequence", F.col("participation_region_code").alias("code"), F.col("participation_region_name").alias("name"))
+    lists = regions.groupBy(*key).agg(F.lit(True).alias("detailed"), F.array_sort(F.collect_list(F.when(_limits(), one))).alias("list"))
     n = notices_.select(*key, F.col("participation_restriction_region_code").alias("code"), F.col("participation_restriction_region_name").alias("name")).join(lists, key, "left")
     own = F.coalesce("list", F.array().cast("array<struct<restriction_sequence:string,code:string,name:string>>"))
     limits = F.coalesce(F.col("code").isNotNull() & ~F.col("code").isin("", NATIONWIDE_CODE), F.lit(False))
