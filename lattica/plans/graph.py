@@ -116,10 +116,20 @@ def objects(found: DataFrame) -> DataFrame:
 
 def merged(found: DataFrame) -> DataFrame:
     """object_type, object_id and properties: of each property the value of the last record that has it."""
-    values = found.select("object_type", "object_id", "record_key", "record_order", F.explode_outer("properties").alias("name", "value"))
-    last = values.groupBy("object_type", "object_id", "name").agg(F.max_by("value", F.struct("record_order", "record_key")).alias("value"))
+    return counted(found).drop("n_records")
+
+
+def counted(found: DataFrame) -> DataFrame:
+    """``merged`` objects with n_records, the number of records that hold them.
+
+    Records are brought together by object before their properties become rows, so that an id
+    travels once for each record.
+    """
+    by = ["object_type", "object_id"]
+    values = found.repartition(*by).select(*by, "record_key", "record_order", F.posexplode_outer("properties").alias("place", "name", "value"))
+    last = values.groupBy(*by, "name").agg(F.max_by("value", F.struct("record_order", "record_key")).alias("value"), F.count_if(F.coalesce("place", F.lit(0)) == 0).alias("n"))
     entry = F.when(F.col("name").isNotNull(), F.struct("name", "value"))
-    return last.groupBy("object_type", "object_id").agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("properties"))
+    return last.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("properties"), F.sum("n").alias("n_records"))
 
 
 def record_keys(found: DataFrame) -> DataFrame:

@@ -63,9 +63,7 @@ def graph_objects(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "orders")
     p = F.col("properties")
     found = graph.fragments(rows, ORDER_GRAPH, F.col("o_orderdate").cast("string"))
-    counts = found.groupBy("object_type", "object_id").agg(F.count("*").alias("n_records"))
-    joined = graph.merged(found).join(counts, ["object_type", "object_id"])
-    return joined.select("object_type", "object_id", *[p[n].alias(n) for n in ("number", "status", "ordered_on", "system")], "n_records")
+    return graph.counted(found).select("object_type", "object_id", *[p[n].alias(n) for n in ("number", "status", "ordered_on", "system")], "n_records")
 
 
 @query("""
