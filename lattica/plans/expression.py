@@ -6,6 +6,8 @@ not or leaf.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -122,29 +124,31 @@ def simplified(placements: DataFrame, case: str = "case_id") -> tuple[DataFrame,
     """Placements without branches that hold all of another branch of their group, and requirements that are left without any.
 
     A or (A and B) is A. Of equal branches the first by name stays. Since holding all of a
-    branch carries over, one pass leaves nothing more to drop.
+    branch carries over, one pass leaves nothing more to drop. Every step keeps the case in its
+    key, so that placements partitioned by case aren't shuffled again.
     """
     own = ["scope", "alternative_group", "alternative_branch"]
     grouped = placements.where("alternative_group is not null and alternative_branch is not null")
     sets = grouped.groupBy(case, *own).agg(F.collect_set("requirement_id").alias("leaves"))
-    named = sets.select(F.struct(case, "scope").alias("case_id"), "alternative_group", F.col("alternative_branch").alias("branch"), "leaves")
-    pairs = absorbed(named)
-    back = pairs.select("case_id", "alternative_group", F.col("branch").alias("absorbed_by"), F.col("absorbed_by").alias("branch"), F.lit(True).alias("_mutual"))
-    gone = pairs.join(back, ["case_id", "alternative_group", "branch", "absorbed_by"], "left").where("_mutual is null or branch > absorbed_by")
-    dropped = gone.select(F.col("case_id")[case].alias(case), F.col("case_id.scope").alias("scope"), "alternative_group", F.col("branch").alias("alternative_branch")).distinct()
+    pairs = absorbed(sets.withColumnRenamed("alternative_branch", "branch"), [case, "scope"])
+    back = pairs.select(case, "scope", "alternative_group", F.col("branch").alias("absorbed_by"), F.col("absorbed_by").alias("branch"), F.lit(True).alias("_mutual"))
+    gone = pairs.join(back, [case, "scope", "alternative_group", "branch", "absorbed_by"], "left").where("_mutual is null or branch > absorbed_by")
+    dropped = gone.select(case, "scope", "alternative_group", F.col("branch").alias("alternative_branch")).distinct()
     kept = placements.join(dropped, [case, *own], "left_anti").select(*placements.columns)
     left = placements.select(case, "requirement_id").distinct().join(kept.select(case, "requirement_id").distinct(), [case, "requirement_id"], "left_anti")
     return kept, left
 
 
-def absorbed(branches: DataFrame) -> DataFrame:
+def absorbed(branches: DataFrame, case: Sequence[str] = ("case_id",)) -> DataFrame:
     """Pairs of branches of one group (case_id, alternative_group, branch, leaves) of which the first holds all the second's leaves.
 
-    Found by the leaves they share, so that only such branches meet.
+    ``case`` names the columns that stand for case_id; a branch has one row. Found by the
+    leaves they share, so that only such branches meet.
     """
-    one = branches.select("case_id", "alternative_group", F.col("branch").alias("branch"), F.explode("leaves").alias("leaf"))
-    sizes = branches.select("case_id", "alternative_group", F.col("branch").alias("absorbed_by"), F.size(F.array_distinct("leaves")).alias("size"))
-    other = one.withColumnRenamed("branch", "absorbed_by")
-    shared = one.join(other, ["case_id", "alternative_group", "leaf"]).where("branch <> absorbed_by")
-    common = shared.groupBy("case_id", "alternative_group", "branch", "absorbed_by").agg(F.countDistinct("leaf").alias("common"))
-    return common.join(sizes, ["case_id", "alternative_group", "absorbed_by"]).where("common = size").select("case_id", "alternative_group", "branch", "absorbed_by")
+    group = [*case, "alternative_group"]
+    leaves = F.array_distinct("leaves")
+    one = branches.select(*group, "branch", F.explode(leaves).alias("leaf"))
+    other = branches.select(*group, F.col("branch").alias("absorbed_by"), F.size(leaves).alias("size"), F.explode(leaves).alias("leaf"))
+    shared = one.join(other, [*group, "leaf"]).where("branch <> absorbed_by")
+    common = shared.groupBy(*group, "branch", "absorbed_by").agg(F.count("*").alias("common"), F.min("size").alias("size"))
+    return common.where("common = size").select(*group, "branch", "absorbed_by")

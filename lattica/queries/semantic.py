@@ -240,8 +240,8 @@ k AS (SELECT * FROM p WHERE (case_id, b) NOT IN (SELECT (case_id, b) FROM d))
 SELECT 'kept' AS state, case_id, b AS branch, r AS requirement_id FROM k UNION ALL SELECT 'unresolved', case_id, NULL, r FROM (SELECT DISTINCT case_id, r FROM p EXCEPT SELECT case_id, r FROM k)
 """)
 def simplified_placements(spark: SparkSession, folder: str) -> DataFrame:
-    """Alternatives that hold all of another one are dropped; requirements that stood only there are left over."""
-    p = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("case_id"), F.concat(F.lit("r"), F.col("l_linenumber").cast("string")).alias("requirement_id"), F.lit("common").alias("scope"), F.lit("g").alias("alternative_group"), F.col("l_returnflag").alias("alternative_branch")).distinct()
+    """Alternatives that hold all of another one are dropped; requirements that stood only there are left over. Cases are brought together once."""
+    p = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("case_id"), F.concat(F.lit("r"), F.col("l_linenumber").cast("string")).alias("requirement_id"), F.lit("common").alias("scope"), F.lit("g").alias("alternative_group"), F.col("l_returnflag").alias("alternative_branch")).repartition("case_id").distinct()
     kept, left = expression.simplified(p)
     none = F.lit(None).cast("string")
     return kept.select(F.lit("kept").alias("state"), "case_id", F.col("alternative_branch").alias("branch"), "requirement_id").union(left.select(F.lit("unresolved"), "case_id", none, "requirement_id"))
