@@ -53,3 +53,28 @@ def test_assessments_move_no_hashes(spark, small):
     assert {s for _, s, _ in ties} <= set(ids) | {"1", "2"}
     physical = QUERIES["assessment_graph"](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"hashpartitioning\([^)]*(object_id|source_id|evidence_id|decision_id)", physical)
+
+
+def shuffles(df):
+    """The keys of each shuffle of a plan before it runs, broadcasts off."""
+    session = df.sparkSession
+    session.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = df.select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        session.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    return [re.sub(r"#\d+L?", "", k) for k in re.findall(r"Exchange hashpartitioning\((.*), \d+\)", text)]
+
+
+def test_objects_travel_once(spark, small):
+    assert shuffles(QUERIES["graph_objects"](spark, small)) == ["object_type, object_id"]
+
+
+def test_placements_come_together_by_case(spark, small):
+    keys = shuffles(QUERIES["simplified_placements"](spark, small))
+    assert "case_id" in keys and not any("scope, g, alternative_branch" in k or "requirement_id, scope" in k for k in keys)
+
+
+def test_texts_are_not_shuffled_by_block(spark, small):
+    for name in ("selected_blocks", "selection_summary", "budget_selection"):
+        assert {k for k in shuffles(QUERIES[name](spark, small))} == {"doc_id"}, name
