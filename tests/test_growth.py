@@ -1,11 +1,13 @@
 """What grew faster than the tables: small inputs that show it, and the plans that say how often work is done."""
 
+import random
 import re
 import time
 
 import duckdb
 from pyspark.sql import functions as F
 
+from lattica.operators import text
 from lattica.plans import assessment
 from lattica.queries import ORACLE, QUERIES
 from lattica.sources import blocks
@@ -78,3 +80,29 @@ def test_placements_come_together_by_case(spark, small):
 def test_texts_are_not_shuffled_by_block(spark, small):
     for name in ("selected_blocks", "selection_summary", "budget_selection"):
         assert {k for k in shuffles(QUERIES[name](spark, small))} == {"doc_id"}, name
+
+
+def test_bounds_of_near_copies(spark, monkeypatch):
+    """Pairs that sizes, words and ends rule out are not compared, and none that is alike is ruled out."""
+    rng = random.Random(2)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randrange(1, 9))) for _ in range(300)]
+    texts = []
+    for n in (1, 3, 8, 40, 300, 3000):
+        base = rng.choices(words, k=n)
+        for share in (0.0, 0.0, 0.02, 0.05, 0.1, 0.2):
+            texts.append(" ".join("".join(rng.sample(w, len(w))) if rng.random() < share else w for w in base) + rng.choice(["", " end", "x"]))
+        texts.append(" ".join([*base[: n // 2], *rng.choices(words, k=n // 20), *base[n // 2 :]]))
+    docs = spark.createDataFrame([("h", i, t) for i, t in enumerate(texts)], "home string, k long, text string").select("home", F.struct("k").alias("rank"), "text")
+    marked = text._sketched(docs, 16)
+    placed = marked.selectExpr("'h' as home", "id", "0 as band", "0L as mark", "0 as class")
+    roles = marked.selectExpr("id", "true as heads", "true as tails", "cast(null as long) as least")
+    key = {r["id"]: r["rank"]["k"] for r in marked.select("id", "rank").collect()}
+    got = {(key[r["a"]], key[r["b"]]) for r in text._candidates(placed, roles, marked, 0.75, 0.88, 16).collect()}
+    alike = {(i, j) for j in range(len(texts)) for i in range(j) if min(len(texts[i]), len(texts[j])) >= 0.75 * max(len(texts[i]), len(texts[j])) and text.shared_ratio(texts[i], texts[j]) >= 0.88}
+    assert alike <= got and 20 < len(alike) and len(got) < len(texts) * (len(texts) - 1) / 8, (len(alike), len(got))
+    assert all(text.shared_ratio(texts[i], texts[j], 0.88) == text.shared_ratio(texts[i], texts[j]) for i, j in alike)
+    # Words apart by others share no white space: such a pair is settled by its words alone.
+    a, b = ["one"] * 400, ["one"] * 400
+    b[::3] = ["two"] * len(b[::3])
+    monkeypatch.setattr(text.difflib, "SequenceMatcher", None)
+    assert text.shared_ratio(" ".join(a), " ".join(b), 0.88) < 0.88
