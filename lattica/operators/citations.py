@@ -1,7 +1,8 @@
 """Citations to the blocks they stand for: tiers from word-for-word to similar.
 
-Similarity is costly, so it is bounded first. An index of runs of three characters puts the
-blocks that share most with a citation first; what two texts share in order can't exceed the
+Similarity is costly, so it is bounded first. The share of words that a block has bounds it from
+below and often settles which block leads. Elsewhere an index of runs of three characters puts the
+blocks that share most with a citation first. What two texts share in order can't exceed the
 characters they have in common, nor their longest common subsequence, which big-integer
 arithmetic finds in a fraction of the time. Blocks whose bound can't matter are not compared.
 """
@@ -14,12 +15,15 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .state import checkpointed
+
 # The least similarity of a pointed block and of any other, the lead over the
 # second that the best must have, characters of a part around an ellipsis, what counts as a word.
 POINTED, LEAST, MARGIN, PART = 0.58, 0.65, 0.08, 12
@@ -36,21 +40,33 @@ def squeezed(text: str | None) -> str:
 
 @dataclass
 class Form:
-    """What comparisons need of a text, worked out once."""
+    """What comparisons need of a text, each worked out once and only if asked for."""
 
     text: str
-    words: list[str]
-    known: set[str]
-    letters: str
-    text_bag: Counter
-    letter_bag: Counter
 
     @staticmethod
     def of(text: str | None) -> Form:
-        whole = squeezed(text)
-        words = _WORD.findall(whole.casefold())
-        letters = "".join(c for c in whole.casefold() if c.isalnum())
-        return Form(whole, words, set(words), letters, Counter(whole), Counter(letters))
+        return Form(squeezed(text))
+
+    @cached_property
+    def words(self) -> list[str]:
+        return _WORD.findall(self.text.casefold())
+
+    @cached_property
+    def known(self) -> set[str]:
+        return set(self.words)
+
+    @cached_property
+    def letters(self) -> str:
+        return "".join(filter(str.isalnum, self.text.casefold()))
+
+    @cached_property
+    def text_bag(self) -> Counter:
+        return Counter(self.text)
+
+    @cached_property
+    def letter_bag(self) -> Counter:
+        return Counter(self.letters)
 
 
 def fragments_in_order(quote: str, text: str) -> bool:
@@ -76,16 +92,18 @@ def similarity(a: Form, b: Form) -> float:
     """The greatest of: ratio of characters, share of a's words, ratio of letters, share of a's letters."""
     if not a.text or not b.text:
         return 0.0
-    found = [SequenceMatcher(None, a.text, b.text, autojunk=False).ratio(), word_share(a, b)]
     letters = SequenceMatcher(None, a.letters, b.letters, autojunk=False)
-    found.append(letters.ratio())
+    found = [word_share(a, b), letters.ratio()]
     if a.letters:
         found.append(sum(m.size for m in letters.get_matching_blocks()) / len(a.letters))
+    if 2.0 * (a.text_bag & b.text_bag).total() / (len(a.text) + len(b.text)) > max(found):
+        found.append(SequenceMatcher(None, a.text, b.text, autojunk=False).ratio())
     return max(found)
 
 
 def common_subsequence(a: str, b: str) -> int:
-    """The length of the longest, by additions of integers with a bit for each character of a."""
+    """The length of the longest, by additions of integers with a bit for each character of the longer one."""
+    a, b = (a, b) if len(a) >= len(b) else (b, a)
     masks: dict[str, int] = defaultdict(int)
     for i, c in enumerate(a):
         masks[c] |= 1 << i
@@ -115,6 +133,16 @@ def order_bound(a: Form, b: Form) -> float:
     return _most(a, b, common_subsequence(a.text, b.text), common_subsequence(a.letters, b.letters))
 
 
+def below(a: Form, b: Form, need: float) -> bool:
+    """Whether a bound, the cheapest first, tells that the similarity is less than ``need``."""
+    if word_share(a, b) >= need:
+        return False
+    if bag_bound(a, b) < need:
+        return True
+    letters = common_subsequence(a.letters, b.letters)
+    return _most(a, b, 0, letters) < need and _most(a, b, common_subsequence(a.text, b.text), letters) < need
+
+
 class Slice:
     """Blocks of one document, compared with its citations one by one."""
 
@@ -122,22 +150,32 @@ class Slice:
         self.at = [i for i, _ in blocks]
         self.forms = [Form.of(t) for _, t in blocks]
         self.compared = 0
-        self.holders: dict[str, list[int]] = defaultdict(list)
+
+    @cached_property
+    def holders(self) -> dict[str, list[int]]:
+        """The blocks that hold each run of three characters."""
+        found: dict[str, list[int]] = defaultdict(list)
         for n, f in enumerate(self.forms):
             for gram in {f.letters[i : i + 3] for i in range(len(f.letters) - 2)}:
-                self.holders[gram].append(n)
+                found[gram].append(n)
+        return found
 
     def score(self, a: Form, n: int) -> float:
         self.compared += 1
         return similarity(a, self.forms[n])
 
     def containing(self, a: Form) -> int | None:
-        """The first block that holds the citation; only those with all its runs of characters are searched."""
-        if not a.text:
+        """The first block that holds the citation."""
+        return next((self.at[n] for n, f in enumerate(self.forms) if a.text in f.text), None) if a.text else None
+
+    def leading(self, a: Form, least: float, margin: float) -> tuple[float, int] | None:
+        """The block that leads by the share of words alone, and this share, if bounds tell that no other comes within the margin."""
+        shares = [word_share(a, f) for f in self.forms]
+        n = max(range(len(shares)), key=shares.__getitem__, default=0)
+        if not shares or shares[n] < least:
             return None
-        grams = {a.letters[i : i + 3] for i in range(len(a.letters) - 2)}
-        some = min((self.holders.get(g, []) for g in grams), key=len) if grams else range(len(self.forms))
-        return next((self.at[n] for n in some if a.text in self.forms[n].text), None)
+        need = shares[n] - margin - 1e-9
+        return (shares[n], n) if all(i == n or below(a, f, need) for i, f in enumerate(self.forms)) else None
 
     def best(self, a: Form, least: float, margin: float) -> tuple[float, int, float]:
         """The best score, its block, and the second, as far as they can matter: what can't come within the margin of a best of ``least`` is passed over."""
@@ -146,7 +184,7 @@ class Slice:
         best, where, second = 0.0, -1, 0.0
         for n in order:
             need = max(least, best) - margin - 1e-9
-            if bag_bound(a, self.forms[n]) < need or order_bound(a, self.forms[n]) < need:
+            if below(a, self.forms[n], need):
                 continue
             found = self.score(a, n)
             if found > best or found == best and self.at[n] < where:
@@ -162,7 +200,7 @@ def _slices(df: DataFrame, doc: str, size: int, order: Column) -> DataFrame:
     return df.join(counts, doc).withColumn("slice", F.pmod(F.xxhash64(order), F.col("slices").cast("long")).cast("int"))
 
 
-def cited(citations: DataFrame, blocks: DataFrame, doc: str, least: float = LEAST, margin: float = MARGIN, pointed: float = POINTED) -> DataFrame:
+def cited(citations: DataFrame, blocks: DataFrame, doc: str, least: float = LEAST, margin: float = MARGIN, pointed: float = POINTED, scored: bool = True) -> DataFrame:
     """The block that each citation (doc, citation_id, quote) stands for: citation_id, block_index, tier, score, excerpt, compared.
 
     A citation may point to a block (column pointed, may be null). In this order: the pointed
@@ -170,25 +208,25 @@ def cited(citations: DataFrame, blocks: DataFrame, doc: str, least: float = LEAS
     parts around the quote's ellipses in order, or a similarity of ``pointed``; then the block of
     the best similarity, if it is ``least`` or more and leads the second by ``margin``. Others
     stay without a block (null). excerpt is the quote where a block contains it, else the
-    block's text; score is null but for similar ones; compared counts the blocks whose
-    similarity was worked out.
+    block's text; score is null but for similar ones, and for them too unless ``scored``; compared
+    counts the blocks whose similarity was worked out, which shares of words and bounds often save.
 
     citation_id tells citations apart. Null quotes contain nothing but count as empty: a
     pointed block holds them. Citations of a document without blocks stay without a block.
     Null ids and null documents stay without one too. Documents with many blocks or citations are dealt out in slices of both.
     """
-    own = citations.select(doc, F.col("citation_id").cast("long"), F.col("quote").cast("string"), (F.col("pointed") if "pointed" in citations.columns else F.lit(None)).cast("int").alias("pointed"))
-    rows = blocks.select(doc, F.col("block_index").cast("int"), F.col("text").cast("string"))
+    own = checkpointed(citations.select(doc, F.col("citation_id").cast("long"), F.col("quote").cast("string"), (F.col("pointed") if "pointed" in citations.columns else F.lit(None)).cast("int").alias("pointed")))
+    rows = checkpointed(blocks.select(doc, F.col("block_index").cast("int"), F.col("text").cast("string")))
     left = _slices(own, doc, CITATIONS, F.col("citation_id"))
     right = _slices(rows.join(own.select(doc).distinct(), doc, "left_semi"), doc, BLOCKS, F.floor(F.col("block_index") / 8))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     sizes = [d.select(doc, F.col("slices").alias("others")).distinct() for d in (right, left)]
-    left = left.join(sizes[0], doc).select(doc, F.col("slice").alias("i"), each("others").alias("j"), F.col("citation_id").alias("n"), F.col("quote").alias("text"), "pointed", F.lit(0).alias("side"))
-    right = right.join(sizes[1], doc).select(doc, each("others").alias("i"), F.col("slice").alias("j"), F.col("block_index").cast("long").alias("n"), "text", F.lit(None).cast("int").alias("pointed"), F.lit(1).alias("side"))
+    left = left.join(sizes[0], doc).select(doc, F.col("slice").alias("i"), each("others").alias("j"), F.col("citation_id").alias("n"), F.col("quote").alias("text"), "pointed", F.lit(0).alias("side"), (F.col("others") == 1).alias("alone"))
+    right = right.join(sizes[1], doc).select(doc, each("others").alias("i"), F.col("slice").alias("j"), F.col("block_index").cast("long").alias("n"), "text", F.lit(None).cast("int").alias("pointed"), F.lit(1).alias("side"), F.lit(False).alias("alone"))
     schema = "citation_id long, held int, points boolean, parts boolean, near boolean, best double, at int, second double, compared long"
 
     def run(group: pa.Table) -> pa.Table:
-        return _compared(group.to_pylist(), least, margin, pointed)
+        return _compared(group.to_pylist(), least, margin, pointed, scored)
 
     found = left.unionByName(right).groupBy(doc, "i", "j").applyInArrow(run, schema)
     scores = F.reverse(F.array_sort(F.flatten(F.collect_list(F.array("best", "second")))))
@@ -200,13 +238,13 @@ def cited(citations: DataFrame, blocks: DataFrame, doc: str, least: float = LEAS
     tier = F.when(F.col("points"), "pointed").when(F.col("held").isNotNull(), "exact").when(F.col("parts"), "ellipsis").when(F.col("near"), "near_pointed").when(leads, "similar")
     named = own.join(merged, "citation_id", "left").withColumn("tier", tier)
     at = F.when(F.col("tier") == "exact", F.col("held")).when(F.col("tier") == "similar", -F.col("top.before")).when(F.col("tier").isNotNull(), F.col("pointed"))
-    placed = named.select(doc, "citation_id", "quote", at.alias("block_index"), "tier", F.when(F.col("tier") == "similar", F.col("top.best")).alias("score"), F.coalesce("compared", F.lit(0)).alias("compared"))
+    placed = named.select(doc, "citation_id", "quote", at.alias("block_index"), "tier", F.when((F.col("tier") == "similar") & F.lit(scored), F.col("top.best")).alias("score"), F.coalesce("compared", F.lit(0)).alias("compared"))
     texts = placed.join(rows, [doc, "block_index"], "left")
     return texts.select("citation_id", "block_index", "tier", "score", F.when(F.col("tier").isin("pointed", "exact"), F.col("quote")).otherwise(F.col("text")).alias("excerpt"), "compared")
 
 
-def _compared(rows: list[dict], least: float, margin: float, pointed: float) -> pa.Table:
-    """What one slice of blocks says of one slice of citations."""
+def _compared(rows: list[dict], least: float, margin: float, pointed: float, scored: bool = True) -> pa.Table:
+    """What one slice of blocks says of one slice of citations; where it has all blocks (alone), one that leads for certain is compared for its score only."""
     blocks = sorted((r["n"], r["text"]) for r in rows if r["side"])
     own = Slice([(n, t or "") for n, t in blocks])
     place = {n: k for k, n in enumerate(own.at)}
@@ -222,9 +260,13 @@ def _compared(rows: list[dict], least: float, margin: float, pointed: float) ->
             row["points"] = a.text in own.forms[k].text
             row["parts"] = fragments_in_order(a.text, own.forms[k].text)
             settled = row["points"] or row["parts"] or row["held"] is not None
-            row["near"] = not settled and order_bound(a, own.forms[k]) >= pointed and own.score(a, k) >= pointed
+            row["near"] = not settled and (word_share(a, own.forms[k]) >= pointed or not below(a, own.forms[k], pointed) and own.score(a, k) >= pointed)
         if row["held"] is None and not (row["points"] or row["parts"] or row["near"]):
-            row["best"], row["at"], row["second"] = own.best(a, least, margin)
+            led = own.leading(a, least, margin) if r["alone"] else None
+            if led is None:
+                row["best"], row["at"], row["second"] = own.best(a, least, margin)
+            else:
+                row["best"], row["at"] = own.score(a, led[1]) if scored else led[0], own.at[led[1]]
         out.append(row | {"compared": own.compared - before})
     kinds = {"citation_id": pa.int64(), "held": pa.int32(), "points": pa.bool_(), "parts": pa.bool_(), "near": pa.bool_(), "best": pa.float64(), "at": pa.int32(), "second": pa.float64(), "compared": pa.int64()}
     return pa.table({c: pa.array([r[c] for r in out], t) for c, t in kinds.items()})

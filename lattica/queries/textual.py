@@ -128,7 +128,7 @@ def cited_blocks(spark: SparkSession, folder: str) -> DataFrame:
     made = [(F.substring("text", F.lit(4), size - 6), none), (parts, F.col("block_index")), (altered, F.col("block_index")), (altered, none)]
     quotes = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), q.alias("quote"), p.alias("pointed")) for i, (q, p) in enumerate(made)]))
     citations = chosen.select("doc_id", quotes.alias("q")).select("doc_id", (F.col("doc_id") * 4 + F.col("q.i")).alias("citation_id"), "q.quote", "q.pointed")
-    return cite.cited(citations, blocks, "doc_id").select("citation_id", "block_index", "tier", F.sha2("excerpt", 256).alias("excerpt_sha256"), "compared")
+    return cite.cited(citations, blocks, "doc_id", scored=False).select("citation_id", "block_index", "tier", F.sha2("excerpt", 256).alias("excerpt_sha256"), "compared")
 
 
 @query(_PARAGRAPHS + """

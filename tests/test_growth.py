@@ -7,7 +7,7 @@ import time
 import duckdb
 from pyspark.sql import functions as F
 
-from lattica.operators import text
+from lattica.operators import citations, text
 from lattica.plans import assessment
 from lattica.queries import ORACLE, QUERIES
 from lattica.sources import blocks
@@ -106,3 +106,17 @@ def test_bounds_of_near_copies(spark, monkeypatch):
     b[::3] = ["two"] * len(b[::3])
     monkeypatch.setattr(text.difflib, "SequenceMatcher", None)
     assert text.shared_ratio(" ".join(a), " ".join(b), 0.88) < 0.88
+
+
+def test_citations_settled_by_words(spark, small):
+    """Most citations of altered blocks need no similarity at all, where before each needed one or more; with scores, one for each similar one at least."""
+    rows = QUERIES["cited_blocks"](spark, small).collect()
+    alike = [r["compared"] for r in rows if r["tier"] in ("near_pointed", "similar")]
+    assert len(alike) > 200 and sum(n == 0 for n in alike) > len(alike) / 2
+    own = ["alpha beta gamma delta epsilon zeta", "quick brown foxes jump over lazy dogs", "13 57 91 24 68 80"]
+    blocks = [(1, i, text) for i, text in enumerate(own)]
+    given = spark.createDataFrame([(1, 7, "kciuq brown foxes jump over lazy dogs")], "d int, citation_id int, quote string")
+    have = spark.createDataFrame(blocks, "d int, block_index int, text string")
+    with_score, without = (citations.cited(given, have, "d", scored=s).first() for s in (True, False))
+    assert with_score["score"] == citations.similarity(citations.Form.of(given.first()["quote"]), citations.Form.of(own[1])) and with_score["compared"] >= 1
+    assert (without["block_index"], without["tier"], without["score"], without["compared"]) == (1, "similar", None, 0)
