@@ -108,11 +108,14 @@ class Schedule:
         at = np.searchsorted(self._times, times, side="left")
         return self._gone[at] + times * self._pace[at]
 
+    def _times_of(self, goal: np.ndarray) -> np.ndarray:
+        """When all queues together have been credited so many tokens."""
+        at = np.minimum(np.searchsorted(self._done, goal.astype(float), side="left"), len(self.queues) - 1)
+        return np.where(self._pace[at] > 0, (goal - self._gone[at]) / np.maximum(self._pace[at], 1e-300), 0.0)
+
     def deficits(self, windows: np.ndarray) -> np.ndarray:
         """For each of ``windows`` (rows), what each queue carries into it: credited and not yet sent, or sent ahead if below 0."""
-        goal = self.ends(windows).astype(float)
-        at = np.minimum(np.searchsorted(self._done, goal, side="left"), len(self.queues) - 1)
-        times = np.where(self._pace[at] > 0, (goal - self._gone[at]) / np.maximum(self._pace[at], 1e-300), 0.0)
+        times = self._times_of(self.ends(windows))
         return np.minimum(self.queues[None, :], self.weights[None, :] * times[:, None]) - self.sent(windows)
 
     def sent(self, windows: np.ndarray) -> np.ndarray:
@@ -123,11 +126,20 @@ class Schedule:
         def due(time: np.ndarray) -> np.ndarray:
             return np.clip(np.floor(self.weights[None, :] * time[:, None] + 0.5).astype(np.int64), 0, q)
 
-        low, high = np.zeros(len(goal)), np.full(len(goal), float(self._times[-1]) * (1 + 1e-9) if len(self._times) else 1.0)
+        # A queue's tokens are half a token from its credit at most, so that the time lies close to that of the goal.
+        top = float(self._times[-1]) * (1 + 1e-9) if len(self._times) else 1.0
+        low = self._times_of(np.maximum(goal - len(self.queues), 0)) * (1 - 1e-9)
+        high = np.minimum(self._times_of(np.minimum(goal + len(self.queues), self.total)) * (1 + 1e-9), top)
+        low, high = np.where(due(low).sum(axis=1) > goal, 0.0, low), np.where(due(high).sum(axis=1) > goal, high, top)
+        at = np.arange(len(goal))
         for _ in range(64):
-            middle = (low + high) / 2
-            over = due(middle).sum(axis=1) > goal
-            high, low = np.where(over, middle, high), np.where(over, low, middle)
+            middle = (low[at] + high[at]) / 2
+            sums = due(middle).sum(axis=1)
+            over = sums > goal[at]
+            high[at], low[at] = np.where(over, middle, high[at]), np.where(over, low[at], middle)
+            at = at[sums != goal[at]]  # nothing falls due between a time that has just the goal and the end
+            if not len(at):
+                break
         before = due(low)
         # Tokens that fall due in the same instant go out in order of source.
         more = np.maximum(due(high) - before, 0)

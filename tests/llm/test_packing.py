@@ -135,3 +135,13 @@ def test_weights_and_many_sources(spark, small, ids_of, monkeypatch):
 
 def test_empty_table(spark):
     assert packing.pieces(edge.empty(spark)).count() == 0
+
+
+def test_windows_are_found_in_few_rounds(monkeypatch):
+    schedule = packing.Schedule([1_234_567, 7_654_321, 3_333_333, 999], 4096)
+    rounds, floor = [], np.floor
+    monkeypatch.setattr(packing.np, "floor", lambda x: rounds.append(len(x)) or floor(x))
+    windows = np.arange(0, schedule.windows + 1)
+    sent = schedule.sent(windows)
+    assert (sent.sum(axis=1) == schedule.ends(windows)).all() and (np.diff(sent, axis=0) >= 0).all()
+    assert sum(rounds) < 24 * len(windows), sum(rounds) / len(windows)
