@@ -197,11 +197,13 @@ def extraction_tables(extractions: DataFrame, done: DataFrame | None = None) ->
     ``extractions`` has notice_id, fingerprint, expression, unresolved, and requirements: an
     array of structs of id, text, evidence (structs of source_id and excerpt) and proofs
     (structs of id, document_type and evidence). Those whose notice_id and fingerprint are
-    among ``done`` are left out, so that a repeated load adds nothing.
+    among ``done`` are left out, so that a repeated load adds nothing. Trees and
+    what is done, if both are partitioned by notice_id over as many tasks, are not moved.
     """
     fresh = cleaned(extractions).dropDuplicates(["notice_id", "fingerprint"])
     if done is not None:
-        fresh = fresh.join(done.select("notice_id", "fingerprint"), ["notice_id", "fingerprint"], "left_anti")
+        seen = done.groupBy("notice_id").agg(F.collect_set("fingerprint").alias("_seen"))
+        fresh = fresh.join(seen, "notice_id", "left").where(~F.coalesce(F.array_contains("_seen", F.col("fingerprint")), F.lit(False))).drop("_seen")
     named = fresh.withColumn("extraction_id", uuid5(F.concat_ws(":", F.lit("extraction"), F.col("notice_id").cast("string"), "fingerprint")))
     needs = named.select("extraction_id", F.explode("requirements").alias("r"))
     needs = needs.withColumn("requirement_id", uuid5(F.concat_ws(":", F.lit("requirement"), "extraction_id", "r.id")))

@@ -7,9 +7,9 @@ import time
 import duckdb
 from pyspark.sql import functions as F
 
-from lattica.operators import citations, text
+from lattica.operators import citations, state, text
 from lattica.plans import assessment
-from lattica.queries import ORACLE, QUERIES
+from lattica.queries import ORACLE, QUERIES, landed
 from lattica.sources import blocks
 
 
@@ -72,6 +72,25 @@ def test_objects_travel_once(spark, small):
     assert shuffles(QUERIES["graph_objects"](spark, small)) == ["object_type, object_id"]
 
 
+def test_trees_stay_with_their_order(spark, small, monkeypatch):
+    """Lines travel once, to more tasks as there are more of them, and no tree is moved."""
+    monkeypatch.setattr(landed, "_LINES_OF_A_TASK", 100)
+    tree = QUERIES["extraction_tree"](spark, small)
+    assert set(shuffles(tree)) <= {"l_orderkey", "o_orderkey", "notice_id"}
+    physical = tree._jdf.queryExecution().executedPlan().toString()
+    lines = spark.read.parquet(f"{small}/lineitem.parquet").count()
+    assert set(re.findall(r"hashpartitioning\(l_orderkey#\d+L, (\d+)\)", physical)) == {str(-(-lines // 100))}
+    # Trees that come twice count once, and what is done is told by both values, nulls never.
+    needs = [("1", "t", [], [("p", "d", [])])]
+    kind = "notice_id long, fingerprint string, expression string, unresolved array<string>, requirements array<struct<id string, text string, evidence array<struct<source_id string, excerpt string>>, proofs array<struct<id string, document_type string, evidence array<struct<source_id string, excerpt string>>>>>>"
+    trees = [(n, f, "e", [], needs) for n, f in [(1, "a"), (1, "a"), (1, "b"), (1, "c"), (2, None), (None, "a"), (3, "x\0"), (4, "a")]]
+    done = spark.createDataFrame([(1, "b"), (1, "b"), (1, None), (2, None), (2, "q"), (None, "a"), (3, "x ")], "notice_id long, fingerprint string")
+    t = state.extraction_tables(spark.createDataFrame(trees, kind), done)
+    got = {(r["notice_id"], r["fingerprint"]) for r in t["extractions"].collect()}
+    assert got == {(1, "a"), (1, "c"), (2, None), (None, "a"), (4, "a")}
+    assert [t[k].count() for k in ("extractions", "requirements", "proofs")] == [5, 5, 5]
+
+
 def test_placements_come_together_by_case(spark, small):
     keys = shuffles(QUERIES["simplified_placements"](spark, small))
     assert "case_id" in keys and not any("scope, g, alternative_branch" in k or "requirement_id, scope" in k for k in keys)
