@@ -191,6 +191,18 @@ def cleaned(df: DataFrame) -> DataFrame:
     return df.select(*[without_nul(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields])
 
 
+def _identified(extractions: DataFrame, done: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Trees that are not done yet with their ids, and their requirements (r) with theirs."""
+    fresh = cleaned(extractions).dropDuplicates(["notice_id", "fingerprint"])
+    if done is not None:
+        seen = done.groupBy("notice_id").agg(F.collect_set("fingerprint").alias("_seen"))
+        fresh = fresh.join(seen, "notice_id", "left").where(~F.coalesce(F.array_contains("_seen", F.col("fingerprint")), F.lit(False))).drop("_seen")
+    named = fresh.withColumn("extraction_id", uuid5(F.concat_ws(":", F.lit("extraction"), F.col("notice_id").cast("string"), "fingerprint")))
+    needs = named.select("extraction_id", F.explode("requirements").alias("r"))
+    needs = needs.withColumn("requirement_id", uuid5(F.concat_ws(":", F.lit("requirement"), "extraction_id", "r.id")))
+    return named, needs
+
+
 def extraction_tables(extractions: DataFrame, done: DataFrame | None = None) -> dict[str, DataFrame]:
     """The six relations of extraction trees, with ids that follow from what they stand for.
 
@@ -200,13 +212,7 @@ def extraction_tables(extractions: DataFrame, done: DataFrame | None = None) ->
     among ``done`` are left out, so that a repeated load adds nothing. Trees and
     what is done, if both are partitioned by notice_id over as many tasks, are not moved.
     """
-    fresh = cleaned(extractions).dropDuplicates(["notice_id", "fingerprint"])
-    if done is not None:
-        seen = done.groupBy("notice_id").agg(F.collect_set("fingerprint").alias("_seen"))
-        fresh = fresh.join(seen, "notice_id", "left").where(~F.coalesce(F.array_contains("_seen", F.col("fingerprint")), F.lit(False))).drop("_seen")
-    named = fresh.withColumn("extraction_id", uuid5(F.concat_ws(":", F.lit("extraction"), F.col("notice_id").cast("string"), "fingerprint")))
-    needs = named.select("extraction_id", F.explode("requirements").alias("r"))
-    needs = needs.withColumn("requirement_id", uuid5(F.concat_ws(":", F.lit("requirement"), "extraction_id", "r.id")))
+    named, needs = _identified(extractions, done)
     proofs = needs.select("requirement_id", F.explode("r.proofs").alias("p")).withColumn("proof_id", uuid5(F.concat_ws(":", F.lit("proof"), "requirement_id", "p.id")))
 
     def evidence(rows: DataFrame, owner: str, items: str) -> DataFrame:
@@ -223,6 +229,21 @@ def extraction_tables(extractions: DataFrame, done: DataFrame | None = None) ->
     }
 
 
+def extraction_nodes(extractions: DataFrame, done: DataFrame | None = None) -> DataFrame:
+    """relation, id and parent of all extractions, requirements and proofs, as ``extraction_tables`` has them.
+
+    Trees are made once for requirements and proofs together; a union of the relations makes them once for each.
+    """
+    named, needs = _identified(extractions, done)
+    own = F.array(F.struct(F.lit(None).cast("string").alias("id"), F.lit(False).alias("proof")))
+    proofs = F.transform("r.proofs", lambda p: F.struct(p["id"].cast("string").alias("id"), F.lit(True).alias("proof")))
+    each = needs.select("extraction_id", "requirement_id", F.explode(F.coalesce(F.concat(own, proofs), own)).alias("p"))
+    proof_id = uuid5(F.concat_ws(":", F.lit("proof"), "requirement_id", "p.id"))
+    pick = lambda yes, no: F.when(F.col("p.proof"), yes).otherwise(no)
+    under = each.select(pick(F.lit("proofs"), F.lit("requirements")).alias("relation"), pick(proof_id, F.col("requirement_id")).alias("id"), pick(F.col("requirement_id"), F.col("extraction_id")).alias("parent"))
+    return named.select(F.lit("extractions").alias("relation"), F.col("extraction_id").alias("id"), F.lit(None).cast("string").alias("parent")).union(under)
+
+
 def failures(inputs: DataFrame, error: str = "error") -> DataFrame:
     """Rows of failed work: the error cut at 500 characters, status failed, to be reviewed."""
     return inputs.withColumns({error: F.left(error, F.lit(500)), "status": F.lit("failed"), "requires_review": F.lit(True)})

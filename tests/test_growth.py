@@ -88,7 +88,12 @@ def test_trees_stay_with_their_order(spark, small, monkeypatch):
     t = state.extraction_tables(spark.createDataFrame(trees, kind), done)
     got = {(r["notice_id"], r["fingerprint"]) for r in t["extractions"].collect()}
     assert got == {(1, "a"), (1, "c"), (2, None), (None, "a"), (4, "a")}
-    assert [t[k].count() for k in ("extractions", "requirements", "proofs")] == [5, 5, 5]
+    pairs = {"extractions": [None], "requirements": ["extraction_id"], "proofs": ["requirement_id"]}
+    want = sorted((k, r[f"{k[:-1]}_id"], r[of] if of else "") for k, (of,) in pairs.items() for r in t[k].collect())
+    nodes = state.extraction_nodes(spark.createDataFrame(trees, kind), done)
+    assert sorted((r["relation"], r["id"], r["parent"] or "") for r in nodes.collect()) == want and len(want) == 15
+    # One sort of lines: requirements and proofs come from the same trees.
+    assert physical.count("collect_list") == physical.count("partial_collect_list") * 2 == 2
 
 
 def test_placements_come_together_by_case(spark, small):
