@@ -1,10 +1,10 @@
 """Citations to the blocks they stand for: tiers from word-for-word to similar.
 
 Similarity is costly, so it is bounded first. The share of words that a block has bounds it from
-below and often settles which block leads. Elsewhere an index of runs of three characters puts the
-blocks that share most with a citation first. What two texts share in order can't exceed the
+below and often settles which block leads. What two texts share in order can't exceed the
 characters they have in common, nor their longest common subsequence, which big-integer
-arithmetic finds in a fraction of the time. Blocks whose bound can't matter are not compared.
+arithmetic finds in a fraction of the time, for all blocks of a slice at once. Blocks whose bound
+can't matter are not compared.
 """
 
 from __future__ import annotations
@@ -14,7 +14,6 @@ import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from difflib import SequenceMatcher
 from functools import cached_property
 
 import numpy as np
@@ -88,16 +87,46 @@ def word_share(a: Form, b: Form) -> float:
     return sum(w in b.known for w in a.words) / len(a.words) if a.words else 0.0
 
 
-def similarity(a: Form, b: Form) -> float:
-    """The greatest of: ratio of characters, share of a's words, ratio of letters, share of a's letters."""
+def matched(a: str, b: str, least: float = 0.0) -> int:
+    """The characters of the matching blocks that ``difflib`` finds where nothing is junk; some number below ``least`` if they can't be as many.
+
+    The longest run that both have, the first in a, then in b, then the same on its left and on its
+    right. A place of a counts only if a longer run than so far begins there, which a search for
+    that run tells.
+    """
+    total, left, room = 0, [(a, b)], min(len(a), len(b))
+    while left and total + room >= least:
+        x, y = left.pop()
+        room -= min(len(x), len(y))
+        at = size = i = 0
+        while i + size < len(x):
+            while i + size < len(x) and x[i : i + size + 1] in y:
+                size, at = size + 1, i
+            i += 1
+        if size:
+            total += size
+            j = y.find(x[at : at + size])
+            for p, q in (x[:at], y[:j]), (x[at + size :], y[j + size :]):
+                if p and q:
+                    left.append((p, q))
+                    room += min(len(p), len(q))
+    return total
+
+
+def similarity(a: Form, b: Form, need: float = 0.0) -> float:
+    """The greatest of: ratio of characters, share of a's words, ratio of letters, share of a's letters; some number below ``need`` if it is below."""
     if not a.text or not b.text:
         return 0.0
-    letters = SequenceMatcher(None, a.letters, b.letters, autojunk=False)
-    found = [word_share(a, b), letters.ratio()]
+    if not a.letters and not b.letters:
+        return 1.0
+    half = (len(a.letters) + len(b.letters)) / 2.0
+    letters = matched(a.letters, b.letters, need * min(half, len(a.letters)) - 1e-6)
+    found = [word_share(a, b), letters / half]
     if a.letters:
-        found.append(sum(m.size for m in letters.get_matching_blocks()) / len(a.letters))
-    if 2.0 * (a.text_bag & b.text_bag).total() / (len(a.text) + len(b.text)) > max(found):
-        found.append(SequenceMatcher(None, a.text, b.text, autojunk=False).ratio())
+        found.append(letters / len(a.letters))
+    half, most = (len(a.text) + len(b.text)) / 2.0, max(need - 1e-9, *found)
+    if (a.text_bag & b.text_bag).total() > most * half - 1e-6:
+        found.append(matched(a.text, b.text, most * half - 1e-6) / half)
     return max(found)
 
 
@@ -143,6 +172,47 @@ def below(a: Form, b: Form, need: float) -> bool:
     return _most(a, b, 0, letters) < need and _most(a, b, common_subsequence(a.text, b.text), letters) < need
 
 
+class Texts:
+    """Texts that are bounded together: each has its stretch of bits in one integer, with a bit between that carries end in."""
+
+    CLASSES = 256
+
+    def __init__(self, texts: list[str]) -> None:
+        self.sizes = np.array([len(t) for t in texts])
+        self.starts = np.cumsum(self.sizes + 1) - self.sizes - 1
+        self.codes = np.frombuffer("\0".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        self.codes[self.starts + self.sizes] = -1
+        self.every = self._bits(self.codes >= 0)
+        self.masks: dict[str, int] = {}
+
+    @staticmethod
+    def _bits(which: np.ndarray) -> int:
+        return int.from_bytes(np.packbits(which, bitorder="little").tobytes(), "little")
+
+    @cached_property
+    def bags(self) -> np.ndarray:
+        """How many characters of each class the texts have."""
+        of = np.repeat(np.arange(len(self.sizes)), self.sizes + 1)[self.codes >= 0]
+        kinds = of * self.CLASSES + self.codes[self.codes >= 0] % self.CLASSES
+        return np.bincount(kinds, minlength=len(self.sizes) * self.CLASSES).reshape(-1, self.CLASSES)
+
+    def in_common(self, a: str) -> np.ndarray:
+        """The most characters that each text can share with ``a``."""
+        codes = np.frombuffer(a.encode("utf-32-le", "surrogatepass"), "<u4") % self.CLASSES
+        return np.minimum(self.bags, np.bincount(codes, minlength=self.CLASSES)).sum(axis=1)
+
+    def in_order(self, a: str) -> np.ndarray:
+        """The length of the longest common subsequence of ``a`` and each text, as ``common_subsequence`` does it, for all at once."""
+        row = self.every
+        for c in a:
+            if (mask := self.masks.get(c)) is None:
+                mask = self.masks[c] = self._bits(self.codes == ord(c))
+            met = row & mask
+            row = (row + met | row - met) & self.every
+        bits = np.unpackbits(np.frombuffer(row.to_bytes(len(self.codes) // 8 + 1, "little"), np.uint8), bitorder="little")
+        return self.sizes - np.add.reduceat(bits, self.starts, dtype=np.int64)
+
+
 class Slice:
     """Blocks of one document, compared with its citations one by one."""
 
@@ -152,45 +222,74 @@ class Slice:
         self.compared = 0
 
     @cached_property
-    def holders(self) -> dict[str, list[int]]:
-        """The blocks that hold each run of three characters."""
-        found: dict[str, list[int]] = defaultdict(list)
-        for n, f in enumerate(self.forms):
-            for gram in {f.letters[i : i + 3] for i in range(len(f.letters) - 2)}:
-                found[gram].append(n)
-        return found
-
-    def score(self, a: Form, n: int) -> float:
+    def texts(self) -> Texts:
+        return Texts([f.text for f in self.forms])
+
+    @cached_property
+    def letters(self) -> Texts:
+        return Texts([f.letters for f in self.forms])
+
+    def score(self, a: Form, n: int, need: float) -> float:
         self.compared += 1
-        return similarity(a, self.forms[n])
+        return similarity(a, self.forms[n], need)
 
     def containing(self, a: Form) -> int | None:
         """The first block that holds the citation."""
         return next((self.at[n] for n, f in enumerate(self.forms) if a.text in f.text), None) if a.text else None
 
-    def leading(self, a: Form, least: float, margin: float) -> tuple[float, int] | None:
-        """The block that leads by the share of words alone, and this share, if bounds tell that no other comes within the margin."""
-        shares = [word_share(a, f) for f in self.forms]
-        n = max(range(len(shares)), key=shares.__getitem__, default=0)
-        if not shares or shares[n] < least:
-            return None
-        need = shares[n] - margin - 1e-9
-        return (shares[n], n) if all(i == n or below(a, f, need) for i, f in enumerate(self.forms)) else None
-
-    def best(self, a: Form, least: float, margin: float) -> tuple[float, int, float]:
-        """The best score, its block, and the second, as far as they can matter: what can't come within the margin of a best of ``least`` is passed over."""
-        shared = Counter(n for i in range(len(a.letters) - 2) for n in self.holders.get(a.letters[i : i + 3], ()))
-        order = sorted(range(len(self.forms)), key=lambda n: -shared[n])
+    def bounds(self, a: Form, shares: np.ndarray, need: float) -> np.ndarray:
+        """The most that the similarity to each block can be, as close as it takes to tell that it is less than ``need``."""
+        if not a.text:
+            return np.zeros(len(shares))
+        ratio = 2.0 / (self.texts.sizes + len(a.text))
+
+        def by_letters(shared: np.ndarray) -> np.ndarray:
+            if not a.letters:
+                return np.ones(len(shares))  # two empty strings of letters are equal
+            return np.maximum(shares, shared * np.maximum(2.0 / (self.letters.sizes + len(a.letters)), 1.0 / len(a.letters)))
+
+        rough = self.texts.in_common(a.text) * ratio
+        letters = by_letters(self.letters.in_common(a.letters))
+        if ((np.maximum(letters, rough) >= need) & (shares < need)).any():
+            letters = by_letters(self.letters.in_order(a.letters))
+            if ((letters < need) & (rough >= need)).any():
+                rough = self.texts.in_order(a.text) * ratio
+        return np.where(self.texts.sizes > 0, np.maximum(letters, rough), 0.0)
+
+    def best(self, a: Form, least: float, margin: float, alone: bool = False, scored: bool = True) -> tuple[float, int, float]:
+        """The best score, its block, and the second, as far as they can matter: what can't come within the margin of a best of ``least`` is passed over.
+
+        A block scores its share of words at least, so that the greatest share tells from the start
+        what can matter. If no other slice has blocks (alone) and two are within the margin, only
+        what would lead both is compared; and where the greatest share leads for certain, it is
+        the score unless ``scored``.
+        """
+        if not self.forms:
+            return 0.0, -1, 0.0
+        shares = np.array([word_share(a, f) for f in self.forms])
+        top = int(shares.argmax())
+        floor = max(least, float(shares[top]))
+        most = self.bounds(a, shares, floor - margin - 1e-9)
+        most[top] += 2.0  # comes first
+        order = [n for n in np.argsort(-most, kind="stable").tolist() if most[n] >= floor - margin - 1e-9]
+        most[top] -= 2.0
+        if alone and not scored and shares[top] >= least and order == [top]:
+            return float(shares[top]), self.at[top], 0.0
         best, where, second = 0.0, -1, 0.0
-        for n in order:
-            need = max(least, best) - margin - 1e-9
-            if below(a, self.forms[n], need):
-                continue
-            found = self.score(a, n)
-            if found > best or found == best and self.at[n] < where:
-                best, where, second = found, self.at[n], max(best, second)
-            else:
-                second = max(second, found)
+        while order:
+            later = []
+            for n in order:
+                close = alone and best - second < margin
+                need = (best + margin if close else max(floor, best) - margin) - 1e-9
+                found = self.score(a, n, need) if most[n] >= need else -1.0
+                if found < need:
+                    later += [n] if close else []
+                elif found > best or found == best and self.at[n] < where:
+                    best, where, second = found, self.at[n], max(best, second)
+                else:
+                    second = max(second, found)
+            # If one leads after all, what was passed over may be within its margin.
+            order = later if best - second >= margin else []
         return best, where, second
 
 
@@ -260,13 +359,9 @@ def _compared(rows: list[dict], least: float, margin: float, pointed: float, sco
             row["points"] = a.text in own.forms[k].text
             row["parts"] = fragments_in_order(a.text, own.forms[k].text)
             settled = row["points"] or row["parts"] or row["held"] is not None
-            row["near"] = not settled and (word_share(a, own.forms[k]) >= pointed or not below(a, own.forms[k], pointed) and own.score(a, k) >= pointed)
+            row["near"] = not settled and (word_share(a, own.forms[k]) >= pointed or not below(a, own.forms[k], pointed) and own.score(a, k, pointed) >= pointed)
         if row["held"] is None and not (row["points"] or row["parts"] or row["near"]):
-            led = own.leading(a, least, margin) if r["alone"] else None
-            if led is None:
-                row["best"], row["at"], row["second"] = own.best(a, least, margin)
-            else:
-                row["best"], row["at"] = own.score(a, led[1]) if scored else led[0], own.at[led[1]]
+            row["best"], row["at"], row["second"] = own.best(a, least, margin, r["alone"], scored)
         out.append(row | {"compared": own.compared - before})
     kinds = {"citation_id": pa.int64(), "held": pa.int32(), "points": pa.bool_(), "parts": pa.bool_(), "near": pa.bool_(), "best": pa.float64(), "at": pa.int32(), "second": pa.float64(), "compared": pa.int64()}
     return pa.table({c: pa.array([r[c] for r in out], t) for c, t in kinds.items()})
