@@ -171,3 +171,27 @@ def test_matches_and_leads_of_citations(monkeypatch):
     begun = time.time()
     assert 0 < citations.matched(*long, least=19_000) < 19_000
     assert time.time() - begun < 5
+
+
+def test_assessments_stay_with_their_notice(spark, small):
+    """Lines and orders travel once, as numbers; what the graph is made of does not, but for facts that meet their types."""
+    graph = QUERIES["assessment_graph"](spark, small)
+    assert set(shuffles(graph)) <= {"l_orderkey", "o_orderkey", "fact", "fact, qualification"}
+    # Within notices or not, the same objects and links, each once: companies share evidence, requirements and coverage come twice.
+    row = "company_id long, notice_id string, requirement_id string, requirement_object string, mandatory boolean, rule string, value_text string, outcome int, reason string, actual string, evidence array<string>"
+    needs = [("a", "x", True, 2, ["s1", "p"]), ("b", "x", False, 1, ["s1", None]), ("c", "y", None, 0, None), ("c", "y", None, 0, None), ("d", None, True, None, ["s1"]), ("e", "", True, 2, [])]
+    rows = [(c, n, i, o and o + n, m, "q", "v", k, "r", "a", e) for c in (1, 2, None) for n in ("n", "k") for i, o, m, k, e in needs]
+    assessed, covered = spark.createDataFrame(rows, row), spark.createDataFrame([("n", True), ("n", True), ("k", False), ("z", True)], "notice_id string, complete boolean")
+    kinds = spark.createDataFrame([("s1", "qualification"), ("s1", "qualification"), ("p", "other")], "object_id string, object_type string")
+    own = assessed.where("requirement_object <> ''")
+    both = [sorted(map(repr, assessment.stated(own, covered, "1996-01-01", fact_types=kinds, within_notice=w).collect())) for w in (True, False)]
+    assert both[0] == both[1] and len(both[0]) == len(set(both[0]))
+    whole = assessment.stated(assessed, covered, "1996-01-01", fact_types=kinds).collect()
+    objects, links = assessment.materialized(assessed, covered, "1996-01-01", fact_types=kinds)
+    assert {r["object_id"] for r in objects.collect()} == {r["source_id"] for r in whole if r["properties"] is not None}
+    assert sorted(map(repr, links.collect())) == sorted(repr(r) for r in spark.createDataFrame([r for r in whole if r["properties"] is None], assessment.stated(assessed, covered, "d").schema).selectExpr("type link_type", "source_id", "target_id").collect())
+    # Requirements of "" and null are one decision that speaks of both; its outcome is the least.
+    of = [r["properties"] for r in whole if r["type"] == assessment.DECISION]
+    assert len(of) == 2 * 2 * 3 and sorted(p["outcome"] for p in of if p["requirement_id"] == "a") == ["satisfied"] * 4
+    tops = [r["properties"] for r in whole if r["type"] == assessment.ASSESSMENT]
+    assert [(p["satisfied_count"], p["unsatisfied_count"], p["needs_review_count"]) for p in tops] == [("2", "2", "1")] * 4
