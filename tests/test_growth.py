@@ -195,3 +195,35 @@ def test_assessments_stay_with_their_notice(spark, small):
     assert len(of) == 2 * 2 * 3 and sorted(p["outcome"] for p in of if p["requirement_id"] == "a") == ["satisfied"] * 4
     tops = [r["properties"] for r in whole if r["type"] == assessment.ASSESSMENT]
     assert [(p["satisfied_count"], p["unsatisfied_count"], p["needs_review_count"]) for p in tops] == [("2", "2", "1")] * 4
+
+
+def test_large_groups_of_sketches(spark, monkeypatch):
+    """In a large group of strangers few pairs are judged one by one, and none that is alike is lost; roles and orders count as in small ones."""
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghijkl", k=rng.randrange(2, 9))) for _ in range(5000)]
+    strangers = [" ".join(rng.choices(words, k=rng.randrange(250, 350))) for _ in range(6000)]
+    copies = [" ".join(w[::-1] if 100 <= i < 110 else w for i, w in enumerate(t.split())) for t in strangers[:40]]
+    docs = [("h", i, t) for i, t in enumerate(strangers + copies)]
+    marked = text._sketched(spark.createDataFrame(docs, "home string, k long, text string").select("home", F.struct("k").alias("rank"), "text"), 16)
+    key = {r["id"]: r["rank"]["k"] for r in marked.select("id", "rank").collect()}
+    roles = ["pmod(id, 9) < 8 as heads", "pmod(id, 7) < 6 as tails", "if(pmod(id, 5) = 0, id - 1, null) as least", "false as part", "false as across", "false as upper"]
+    whole = marked.orderBy("id").selectExpr("'g' as group", "0 as band", "*", *roles).toArrow().combine_chunks()
+
+    def pairs(rows):
+        (batch,) = rows.to_batches()
+        return [(key[a], key[b]) for x, y in text._may_be_alike(batch, 0.75, 0.88) for a, b in zip(x.tolist(), y.tolist(), strict=True)]
+
+    begun = time.time()
+    found = pairs(whole)
+    assert time.time() - begun < 15  # 67 s when all pairs were judged
+    alike = {(i, 6000 + i) for i in range(40) if text.shared_ratio(strangers[i], copies[i]) >= 0.88}
+    given = {key[r["id"]]: r for r in whole.select(["id", "heads", "tails", "least"]).to_pylist()}
+    of = {(i, j) for i, j in alike if given[i]["heads"] and given[j]["tails"] and (given[j]["least"] is None or given[j]["least"] > given[i]["id"])}
+    assert len(of) > 15 and of <= set(found) and len(found) == len(set(found)) < 10_000
+    some = whole.filter([key[i] < 400 or key[i] >= 6000 for i in whole["id"].to_pylist()]).combine_chunks()
+    by_lookup = pairs(some)
+    monkeypatch.setattr(text, "FEW", 10**9)
+    one_by_one = pairs(some)
+    assert set(by_lookup) <= set(one_by_one) and of <= set(by_lookup)
+    lengths = [len(t) for _, _, t in docs]
+    assert all(max(lengths[a], lengths[b]) * 0.88 > min(lengths[a], lengths[b]) * 1.12 for a, b in set(one_by_one) - set(by_lookup))
